@@ -4,5 +4,6 @@ from siltstone.llm.bit_packing import op9_bit_packing
 from siltstone.llm.packing import op2_pattern_packing
 from siltstone.llm.sharding import op7_hypergeometric_shards
 
-QUERIES = {f.__name__: f for f in (op2_pattern_packing, op7_hypergeometric_shards, op9_bit_packing)}
+from siltstone.llm.minhash import op10_circulant_minhash
+QUERIES = {f.__name__: f for f in (op2_pattern_packing, op7_hypergeometric_shards, op9_bit_packing, op10_circulant_minhash)}
 ORACLES: dict[str, str] = {}
