@@ -1,9 +1,19 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
 from siltstone.llm.bit_packing import op9_bit_packing
+from siltstone.llm.decontamination import OP8_SQL, op8_prefix_join_decontamination
+from siltstone.llm.minhash import op10_circulant_minhash
 from siltstone.llm.packing import op2_pattern_packing
 from siltstone.llm.sharding import op7_hypergeometric_shards
 
-from siltstone.llm.minhash import op10_circulant_minhash
-QUERIES = {f.__name__: f for f in (op2_pattern_packing, op7_hypergeometric_shards, op9_bit_packing, op10_circulant_minhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_pattern_packing,
+        op7_hypergeometric_shards,
+        op8_prefix_join_decontamination,
+        op9_bit_packing,
+        op10_circulant_minhash,
+    )
+}
+ORACLES: dict[str, str] = {"op8_prefix_join_decontamination": OP8_SQL}
