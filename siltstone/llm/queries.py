@@ -4,12 +4,16 @@ from siltstone.llm.bit_packing import op9_bit_packing
 from siltstone.llm.decontamination import OP8_SQL, op8_prefix_join_decontamination
 from siltstone.llm.minhash import op10_circulant_minhash
 from siltstone.llm.packing import op2_pattern_packing
+from siltstone.llm.quality_classifier import op3_neighbour_votes
+from siltstone.llm.quality_rules import op6_covariance_outliers
 from siltstone.llm.sharding import op7_hypergeometric_shards
 
 QUERIES = {
     f.__name__: f
     for f in (
         op2_pattern_packing,
+        op3_neighbour_votes,
+        op6_covariance_outliers,
         op7_hypergeometric_shards,
         op8_prefix_join_decontamination,
         op9_bit_packing,
