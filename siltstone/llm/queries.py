@@ -7,12 +7,14 @@ from siltstone.llm.packing import op2_pattern_packing
 from siltstone.llm.quality_classifier import op3_neighbour_votes
 from siltstone.llm.quality_rules import op6_covariance_outliers
 from siltstone.llm.sharding import op7_hypergeometric_shards
+from siltstone.llm.toxicity import op5_block_max_neighbours
 
 QUERIES = {
     f.__name__: f
     for f in (
         op2_pattern_packing,
         op3_neighbour_votes,
+        op5_block_max_neighbours,
         op6_covariance_outliers,
         op7_hypergeometric_shards,
         op8_prefix_join_decontamination,

@@ -21,8 +21,8 @@ PIECES = {
     "byte_level": re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
     "word_end": re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{SPACES}{LETTERS}{NUMBERS}]+"),
 }
-#: Pieces kept by a worker; beyond that the cache starts anew.
-CACHE_PIECES = 500_000
+#: Pieces, and chunks between spaces, kept by a worker; beyond that a cache starts anew.
+CACHE_PIECES = 400_000
 
 
 class PieceIds(dict):
@@ -35,22 +35,44 @@ class PieceIds(dict):
         self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
         self.lower = self.tokenizer.normalizer is not None
         self.find = PIECES["word_end" if self.lower else "byte_level"].findall
+        self.chunks = ChunkIds(self)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self._by_library(piece)
+        ids = self[piece] = self.by_library(piece)
         return ids
 
-    def _by_library(self, text: str) -> bytes:
+    def by_library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def by_pieces(self, text: str) -> bytes:
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._by_library(text)
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        return b"".join(map(self.__getitem__, self.find(text.lower() if self.lower else text)))
+            return self.by_library(text)
+        if self.lower:
+            text = text.lower()
+        elif "  " in text:  # a run of spaces is cut by what follows it
+            return self.by_pieces(text)
+        if len(self.chunks) > CACHE_PIECES:
+            self.chunks.clear()
+        first, *rest = text.split(" ")
+        return self.by_pieces(first) + b"".join(map(self.chunks.__getitem__, rest))
+
+
+class ChunkIds(dict):
+    """What stands between two spaces -> the ids of the space and it: no piece goes on over a single space."""
+
+    def __init__(self, pieces: PieceIds):
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.pieces.by_pieces(f" {chunk}")
+        return ids
 
 
 _OPEN: dict[str, PieceIds] = {}
