@@ -2,6 +2,7 @@
 
 from siltstone.llm.bit_packing import op9_bit_packing
 from siltstone.llm.decontamination import OP8_SQL, op8_prefix_join_decontamination
+from siltstone.llm.language_model import op4_log_bilinear
 from siltstone.llm.minhash import op10_circulant_minhash
 from siltstone.llm.packing import op2_pattern_packing
 from siltstone.llm.quality_classifier import op3_neighbour_votes
@@ -14,6 +15,7 @@ QUERIES = {
     for f in (
         op2_pattern_packing,
         op3_neighbour_votes,
+        op4_log_bilinear,
         op5_block_max_neighbours,
         op6_covariance_outliers,
         op7_hypergeometric_shards,
