@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
 from siltstone.llm.bit_packing import op9_bit_packing
+from siltstone.llm.chat_format import OP1_SQL, op1_budgeted_windows
 from siltstone.llm.decontamination import OP8_SQL, op8_prefix_join_decontamination
 from siltstone.llm.language_model import op4_log_bilinear
 from siltstone.llm.minhash import op10_circulant_minhash
@@ -13,6 +14,7 @@ from siltstone.llm.toxicity import op5_block_max_neighbours
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_budgeted_windows,
         op2_pattern_packing,
         op3_neighbour_votes,
         op4_log_bilinear,
@@ -24,4 +26,4 @@ QUERIES = {
         op10_circulant_minhash,
     )
 }
-ORACLES: dict[str, str] = {"op8_prefix_join_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_budgeted_windows": OP1_SQL, "op8_prefix_join_decontamination": OP8_SQL}
