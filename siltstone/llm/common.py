@@ -83,3 +83,12 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Rows whose crc32(doc_id as text) leaves this remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents, in their own columns, whose (doc_id, text_key) is not among the rejected; nulls match nulls.
+
+    The rejected keys are hashed in each partition, so the texts are shuffled but not sorted."""
+    keyed = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_text_": F.xxhash64(F.col("text").cast("string"))})
+    bad = rejected.select(F.col("doc_id").cast("long").alias("_bad_id_"), F.col("text_key").alias("_bad_text_")).hint("shuffle_hash")
+    return keyed.join(bad, F.col("_id_").eqNullSafe(F.col("_bad_id_")) & F.col("_text_").eqNullSafe(F.col("_bad_text_")), "left_anti").select(*docs.columns)

@@ -198,5 +198,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, in their own columns: one of each component, the first by doc_id, and one row of each doc_id. Rows
+    with a null doc_id all stay."""
+    judged = common.settle(near_duplicates(docs))
+    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_bad_")).distinct()
+    repeated = common.settle(judged.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_bad_")).count().where("count > 1").select("_bad_"))
+    on = F.col("doc_id").cast("long") == F.col("_bad_")
+    if not repeated.limit(1).count():
+        return docs.join(dropped.hint("shuffle_hash"), on, "left_anti")
+    single = docs.join(dropped.unionByName(repeated).hint("shuffle_hash"), on, "left_anti")
+    return single.unionByName(docs.join(repeated.hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

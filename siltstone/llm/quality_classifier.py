@@ -160,5 +160,20 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     return scored.select("doc_id", "text_key", common.held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, in their own columns, whose score reaches the threshold; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    common.prepare(docs.sparkSession)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = common.utf8_column(batch, "text")
+            for at in range(0, len(texts), 256):
+                scores = held.value.score(np.stack([term_counts(t) for t in texts[at : at + 256]]))
+                yield batch.slice(at, len(scores)).filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(passing, docs.schema)
+
+
 def op3_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).drop("text_key")
