@@ -1,5 +1,6 @@
 """All registered queries and their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siltstone.plans import code_queries, report_queries, source_queries  # noqa: F401  they register themselves
+
+FLAGSHIP = "q_scan_report"
+QUERIES, ORACLES = source_queries.QUERIES, source_queries.ORACLES
