@@ -8,7 +8,7 @@ table of log-probabilities that scoring looks up; a rarer word's share of its un
 count.
 
 What grows with the corpus stays distributed: the table of word counts and the look-up of rare words, by join. The driver
-gets the FREQUENT most frequent words, at most UNITS^2 pair counts and the units' totals. Passes over the texts: counting,
+gets up to FREQUENT of the most frequent words, at most UNITS^2 pair counts and the units' totals. Passes over the texts: counting,
 pair counting and scoring.
 
 Nulls: a null text is empty, so it is one end; a null doc_id counts as the empty text when folds are dealt. Repeated rows
@@ -35,7 +35,7 @@ UNITS = WORD_UNITS + ENDINGS + 1
 END = UNITS - 1
 #: Words whose counts every worker holds; the others are looked up by a join.
 FREQUENT = 200_000
-DIMENSIONS, NOISE, STEPS, RATE = 32, 20, 300, 0.05
+DIMENSIONS, NOISE, STEPS, RATE = 32, 20, 200, 0.05
 SMOOTH = 0.1
 
 
@@ -148,7 +148,15 @@ def train(docs: DataFrame) -> tuple[DataFrame, object, np.ndarray]:
     counts = common.settle(word_counts(docs))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = sum(r.n for r in counts.where("word = ''").collect())
-    top = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    # the least count of which there are no more words than FREQUENT, from how many words have each count; words that tie
+    # below it are looked up like all others
+    least, room = 1, FREQUENT
+    for r in counts.where("word <> ''").groupBy(F.col("n").alias("times")).count().orderBy(F.desc("times")).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
+            least = r.times + 1
+            break
+    top = counts.where((F.col("word") != "") & (F.col("n") >= least)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words = [w.encode() for w in top["word"].to_pylist()]
     frequency = top["n"].to_numpy()
     # totals of the endings' units, over all words but those that are units themselves: these are subtracted again
