@@ -40,6 +40,8 @@ SUBSET = 0.75
 CONSISTENCY = 1.412
 CUTOFF = 6.0
 MIN_ROWS, MAX_STEPS = 50, 6
+#: Groups (of about 1 KB each) up to which their table is broadcast.
+BROADCAST_GROUPS = 20_000
 DIMENSIONS = len(FLOORS)
 PAIRS = list(combinations_with_replacement(range(DIMENSIONS), 2))
 
@@ -131,16 +133,19 @@ def estimates(vectors: DataFrame) -> DataFrame:
     centre = F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)])
     spread = F.array(*[F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2 for i in range(DIMENSIONS)])
     robust = common.settle(quartiles.select("g", centre.alias("centre"), spread.alias("spread")))
+    # the rows meet the groups' table in every step; while that is small it is broadcast, so that they are not shuffled
+    few = robust.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else lambda frame: frame
     diagonal = F.array(*[1 / F.col("spread")[i] if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)])
     first = robust.select("g", F.lit(0).alias("start"), "centre", diagonal.alias("inverse"), F.lit(1e300).alias("logdet"))
     # the second start: rows pulled in to three robust deviations, so that scatter between statistics shows
-    pulled = vectors.join(robust, "g").select("g", F.lit(1).alias("start"), F.array(*[F.col("centre")[i] + 3 * F.sqrt(F.col("spread")[i]) * F.tanh((F.col("x")[i] - F.col("centre")[i]) / (3 * F.sqrt(F.col("spread")[i]))) for i in range(DIMENSIONS)]).alias("x"))
+    pulled = vectors.join(small(robust), "g").select("g", F.lit(1).alias("start"), F.array(*[F.col("centre")[i] + 3 * F.sqrt(F.col("spread")[i]) * F.tanh((F.col("x")[i] - F.col("centre")[i]) / (3 * F.sqrt(F.col("spread")[i]))) for i in range(DIMENSIONS)]).alias("x"))
     second = _estimates(_moments(pulled), 1.0).withColumn("logdet", F.lit(1e300))
     now = common.settle(first.unionByName(second))
     for _ in range(MAX_STEPS):
-        near = vectors.join(now, "g").select("g", "start", "x", _distance2().alias("d2"))
+        near = vectors.join(small(now), "g").select("g", "start", "x", _distance2().alias("d2"))
         cut = near.groupBy("g", "start").agg(F.percentile_approx("d2", SUBSET, 1000).alias("cut"))
-        inside = near.join(cut, ["g", "start"]).where(F.col("d2") <= F.col("cut"))
+        inside = near.join(small(cut), ["g", "start"]).where(F.col("d2") <= F.col("cut"))
         new = _estimates(_moments(inside), CONSISTENCY)
         old = now.select("g", "start", F.col("logdet").alias("_before"))
         now = common.settle(new.join(old, ["g", "start"]).withColumn("_fell", F.col("_before") - F.col("logdet")).drop("_before"))
@@ -148,12 +153,12 @@ def estimates(vectors: DataFrame) -> DataFrame:
         now = now.drop("_fell")
         if not falling:
             break
-    return now.groupBy("g").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("_e")).select("g", "_e.*")
+    return small(now.groupBy("g").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("_e")).select("g", "_e.*"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, lang, source, the statistics, base_failed, distance (null if base_failed), kept."""
-    rows = common.settle(_grouped(_measured(docs)))
+    rows = common.settle(_grouped(common.settle(_measured(docs))))
     vectors = rows.where(~F.col("base_failed")).select("g", _vector().alias("x"))
     judged = rows.withColumn("x", _vector()).join(estimates(vectors), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance2()))).drop("x", "centre", "inverse", "g")
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
