@@ -35,7 +35,7 @@ def top_k(queries: DataFrame, records: DataFrame, k: int, query_id: str = "query
 def _pass(queries: DataFrame, records: DataFrame, k: int, record_id: str, vector: str) -> DataFrame:
     rows = queries.toArrow().sort_by("query_id")  # one bounded block
     ids = rows["query_id"].to_numpy()
-    matrix = np.array(rows["v"].to_pylist(), np.float64).reshape(len(ids), -1)
+    matrix = np.array(rows["v"].to_pylist(), np.float64)
     held = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
