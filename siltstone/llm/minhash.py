@@ -5,9 +5,10 @@ the first scatters the shingles over the ring of 2^32 places, the second, shifte
 its least value over the set. 32 bands of 4 coordinates miss a pair at similarity 0.75 with a chance of 5e-6.
 
 Equal sets form classes first, so exact copies never meet again. In a bucket of classes nothing is paired with
-everything: each member is held against the bucket's pivot, then, in buckets that still hold several components, against
-a pivot of its largest component, and only members of still different components are paired at last, under bounds on
-their sizes and on the agreement of their signatures. Every link is confirmed on the full sets.
+everything. Each class is held against the pivot it shares most buckets with. Where a bucket still has several components,
+a class that some class of another component resembles by signature stays; blocks of these, bounded in shingles, are
+multiplied as 0/1 matrices within tasks, which gives all their intersections exactly and lets only true links out. Every
+link is confirmed on the full sets.
 
 Nulls: a null or empty text, or one without words, has an empty set and links with nothing. Rows with a null doc_id are
 not linked: their component_id is null, and they are kept. Rows that share a doc_id are one node. An empty table gives
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import common
@@ -34,6 +35,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Coordinates that must agree before a pair is verified: at similarity 0.75, 96 of 128 on average, 64 or fewer once in 10^10.
 AGREE = 64
+#: A block of classes that are compared with each other: shingles and rows at most.
+BLOCK_SHINGLES, BLOCK_ROWS = 300_000, 1024
 CACHE_WORDS = 400_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -96,8 +99,8 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_key (of the whole set), bands, signature."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int32()))])
+    """doc_id, text_key, n_shingles, set_key (of the whole set), bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -105,14 +108,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), common.utf8_column(batch, "text"), strict=True):
                     shingles = shingle_set(text)
                     if len(shingles):
-                        s = signature(shingles)
-                        yield doc_id, key, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), band_keys(s), s.view(np.int32)
+                        yield doc_id, key, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), band_keys(signature(shingles))
                     else:
-                        yield doc_id, key, 0, None, None, None
+                        yield doc_id, key, 0, None, None
 
         yield from common.emit(schema, rows(), lambda row: 1000)
 
-    return _keyed(docs).mapInArrow(sketch, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<bigint>, signature array<int>")
+    return _keyed(docs).mapInArrow(sketch, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<bigint>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -120,22 +122,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles (binary) of the wanted rows (node, text_key): their texts are read again, all others only pass by."""
+    """node, n, shingles, signature of the wanted rows (node, text_key): their texts are read again, all others only pass by."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-        rows = ((node, shingle_set(text).tobytes()) for batch in batches for node, text in zip(batch.column("doc_id").to_pylist(), common.utf8_column(batch, "text"), strict=True))
-        yield from common.emit(schema, rows, lambda row: len(row[1]))
+        schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("shingles", pa.list_(pa.int64())), ("signature", pa.list_(pa.int32()))])
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for node, text in zip(batch.column("doc_id").to_pylist(), common.utf8_column(batch, "text"), strict=True):
+                    shingles = shingle_set(text)
+                    yield node, len(shingles), shingles.view(np.int64), signature(shingles).view(np.int32)
+
+        yield from common.emit(schema, rows(), lambda row: 8 * row[1])
 
     # the small side is hashed, so that the texts need no sort
     there = _keyed(docs).join(wanted.select(F.col("node").alias("doc_id"), "text_key").hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi")
-    return there.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node", "shingles"])
+    return there.mapInArrow(make, "node long, n int, shingles array<bigint>, signature array<int>")
+
+
+def _similar(n, m, same):
+    return 100 * same >= SIMILAR * (n + m - same)
 
 
 def _possible(a: str, b: str):
-    """Bounds that a link cannot break: the sizes', and the signatures' up to chance."""
+    """Bounds that a link cannot break: by sizes exactly, by the signatures up to chance."""
     agree = F.aggregate(F.zip_with(f"{a}.signature", f"{b}.signature", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (agree >= AGREE)
 
 
@@ -145,57 +157,98 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * same >= SIMILAR * (len(p) + len(q) - same))
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                p, q = x.values.to_numpy(), y.values.to_numpy()
+                ok.append(_similar(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+def intersections(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of one side shares with each of the other: products of 0/1 matrices, some columns at a time."""
+    sizes = [len(x) for x in one + other]
+    _, place, count = np.unique(np.concatenate([*one, *other]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    shared = np.flatnonzero(count[place] > 1)  # the others are in no intersection
+    columns = np.full(len(count), -1)
+    columns[count > 1] = np.arange((count > 1).sum())
+    row, column = row[shared], columns[place[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(other)), np.float32)
+    for at in range(0, int((count > 1).sum()), 1024):
+        lo, hi = np.searchsorted(column, (at, at + 1024))
+        m = np.zeros((len(sizes), 1024), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out
+
+
+def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each bucket, of rows (bucket, node, component, n).
+
+    A bucket's rows are cut into blocks of a bounded number of shingles and of rows; each pair of blocks is one group."""
+    in_bucket = Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("block", F.greatest(F.floor(F.sum("n").over(in_bucket) / BLOCK_SHINGLES), F.floor(F.count("*").over(in_bucket) / BLOCK_ROWS)).cast("int"))
+    last = placed.groupBy("bucket").agg(F.greatest(F.floor(F.sum("n") / BLOCK_SHINGLES), F.floor(F.count("*") / BLOCK_ROWS)).cast("int").alias("last"))
+    # block k meets every other block: as the lower of the pair with those above, as the upper with those below and itself
+    meets = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("with")
+    spread = numbered.join(last, "bucket").select("bucket", "node", "component", "block", meets)
+    spread = spread.select("bucket", "node", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+
+    def multiply(group: pa.Table) -> pa.Table:
+        node, component, block = (group[c].to_numpy() for c in ("node", "component", "block"))
+        shingles = [x.values.to_numpy() for x in group["shingles"]]
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(i) and len(j):
+            n = np.array([len(x) for x in shingles])
+            same = intersections([shingles[k] for k in i], [shingles[k] for k in j])
+            p, q = np.nonzero(_similar(n[i][:, None], n[j][None, :], same) & (component[i][:, None] != component[j][None, :]))
+            a, b = node[i[p]], node[j[q]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    grouped = spread.join(sets.select("node", "shingles"), "node").groupBy("bucket", "low", "high")
+    return grouped.applyInArrow(multiply, "a long, b long").where("a <> b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (the one of each component)."""
     common.prepare(docs.sparkSession)
     base = common.settle(sketches(docs))
     linkable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = common.settle(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("text_key", "n_shingles", "bands", "signature"), "doc_id").alias("_r")).select("set_key", "node", "_r.*"))
+    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("text_key", "bands"), "doc_id").alias("_r"))
+    classes = common.settle(classes.select("set_key", "node", "_r.*"))
     class_members = linkable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     crowded = common.settle(banded.join(pivots, "bucket"))
-    info = classes.select("node", "n_shingles", "signature")
-    sets = common.settle(_sets(docs, classes.join(crowded.select("node").distinct(), "node", "left_semi")))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs of nodes, those that are links."""
-        x, y = info.alias("x"), info.alias("y")
-        bounded = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y")).select("a", "b")
-        return _verified(bounded, sets)
-
-    # nodes with one doc_id are one node; a class whose rows have several doc_ids ties them together
-    links = common.settle(confirmed(crowded.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
-    for last in (False, True):
-        labels = components(links)
-        split = crowded.select("node", "bucket").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        tally = split.groupBy("bucket", "component").agg(F.count("*").alias("_n"), F.max("node").alias("_end"))
-        open_ = tally.groupBy("bucket").agg(F.count("*").alias("_c"), F.max_by(F.struct("component", "_end"), F.struct("_n", "component")).alias("_main")).where("_c > 1").select("bucket", "_main")
-        split = common.settle(split.join(open_, "bucket"))
-        if last:
-            x, y = (split.select("bucket", "node", "component").join(info, "node").alias(k) for k in "xy")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            found = _verified(pairs.distinct(), sets)
-        else:
-            pairs = split.where(F.col("component") != F.col("_main.component")).select(F.col("_main._end").alias("a"), F.col("node").alias("b"))
-            found = confirmed(pairs.distinct())
-        links = common.settle(links.unionByName(found))
-    labels = components(links.unionByName(class_members.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")))
+    sets = common.settle(_sets(docs, classes.join(crowded.select("node").distinct(), "node", "left_semi")).dropDuplicates(["node"]))
+    facts = sets.select("node", "n", "signature")
+
+    # first each class against the pivot of most of its buckets
+    often = crowded.where("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("a")).select("a", F.col("node").alias("b"))
+    x, y = facts.alias("x"), facts.alias("y")
+    pairs = often.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y")).select("a", "b")
+    links = common.settle(_verified(pairs, sets))
+
+    # then, in buckets of several components, classes that resemble one of another component
+    labels = components(links)
+    split = crowded.select("node", "bucket").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = split.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("bucket")
+    split = common.settle(split.join(open_, "bucket").join(facts, "node"))
+    x, y = split.alias("x"), split.alias("y")
+    resembling = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"), "left_semi").select("bucket", "node", "component", "n")
+    links = links.unionByName(_block_links(common.settle(resembling), sets)).unionByName(class_members.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+
+    labels = components(links)
     out = base.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
