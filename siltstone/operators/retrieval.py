@@ -85,7 +85,7 @@ def hashed_vector(text: Column, dimensions: int = 64) -> Column:
     return F.transform(counts, lambda x: x / length)
 
 
-def status(records: DataFrame, vector: str = "embedding") -> DataFrame:
-    """records, dimension, consistent: whether there are records and all vectors have one length."""
+def status(records: DataFrame, vector: str = "embedding", *more: Column) -> DataFrame:
+    """records, dimension, consistent: whether there are records and all vectors have one length; and more aggregates."""
     n = F.size(vector)
-    return records.agg(F.count("*").alias("records"), F.max(n).alias("dimension"), (F.coalesce(F.min(n) == F.max(n), F.lit(False)) & (F.count("*") > 0)).alias("consistent"))
+    return records.agg(F.count("*").alias("records"), F.max(n).alias("dimension"), (F.coalesce(F.min(n) == F.max(n), F.lit(False)) & (F.count("*") > 0)).alias("consistent"), *more)

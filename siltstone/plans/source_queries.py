@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.vectors import norm
 from siltstone.operators import retrieval
 from siltstone.sources import files, history, knowledge
 
@@ -199,8 +200,5 @@ def q_topk_merge(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS records, max(len(embedding))::INT AS dimension, min(len(embedding)) = max(len(embedding)) AS consistent, round(max(abs(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1)), 3) AS off_unit FROM embeddings")
 def q_retriever_status(spark, sf_dir):
-    from siltstone.functions.vectors import norm
-
-    e = table(spark, sf_dir, "embeddings")
-    off = e.agg(F.round(F.max(F.abs(norm(F.col("embedding")) ** 2 - 1)), 3).alias("off_unit"))
-    return retrieval.status(e).join(F.broadcast(off))  # one row each
+    off = F.round(F.max(F.abs(norm(F.col("embedding")) ** 2 - 1)), 3).alias("off_unit")
+    return retrieval.status(table(spark, sf_dir, "embeddings"), "embedding", off)
