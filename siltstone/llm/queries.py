@@ -4,7 +4,7 @@ from siltstone.llm.bit_packing import op9_bit_packing
 from siltstone.llm.chat_format import OP1_SQL, op1_budgeted_windows
 from siltstone.llm.decontamination import OP8_SQL, op8_prefix_join_decontamination
 from siltstone.llm.language_model import op4_log_bilinear
-from siltstone.llm.minhash import op10_circulant_minhash
+from siltstone.llm.minhash import OP10_SQL, op10_circulant_minhash
 from siltstone.llm.packing import op2_pattern_packing
 from siltstone.llm.quality_classifier import op3_neighbour_votes
 from siltstone.llm.quality_rules import op6_covariance_outliers
@@ -26,4 +26,8 @@ QUERIES = {
         op10_circulant_minhash,
     )
 }
-ORACLES: dict[str, str] = {"op1_budgeted_windows": OP1_SQL, "op8_prefix_join_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op1_budgeted_windows": OP1_SQL,
+    "op8_prefix_join_decontamination": OP8_SQL,
+    "op10_circulant_minhash": OP10_SQL,
+}
