@@ -57,12 +57,17 @@ def declarations(files: DataFrame) -> DataFrame:
     function = F.when(~F.col("line").rlike(r"\bclass\s"), F.coalesce(*names))
     found = lines.withColumn("chunk_type", F.when(cls != "", "class").when(function.isNotNull() & ~function.isin(CONTROL), "function")).withColumn("name", F.when(cls != "", cls).otherwise(function))
     heads = found.where("chunk_type IS NOT NULL").select("file", "chunk_type", "name", F.col("ln").alias("line_start"), "before")
-    # the first line from the head on whose depth is the head's again, after it was deeper
-    later = lines.select("file", "ln", "depth", F.col("before").alias("was"))
-    ends = heads.join(later, "file").where((F.col("ln") >= F.col("line_start")) & (F.col("depth") <= F.col("before")) & ((F.col("was") > F.col("before")) | F.col("line_start").eqNullSafe(F.col("ln")) & F.lit(False)))
-    first = ends.groupBy("file", "chunk_type", "name", "line_start").agg(F.min("ln").alias("line_end"))
+    # a line closes the levels between its depths, or its own level if it opens and closes a block; a head ends at the next
+    # line that closes its level, which one window finds without pairing heads and lines
+    opened = F.contains(code, F.lit("{"))
+    levels = F.when(F.col("before") > F.col("depth"), F.sequence(F.col("depth"), F.col("before") - 1)).when(opened & (F.col("before") == F.col("depth")), F.array("depth"))
+    closing = lines.select("file", F.explode(levels).alias("level"), F.col("ln").alias("at"), F.lit(1).alias("order"), F.col("ln").alias("closes"))
+    opening = heads.select("file", F.col("before").alias("level"), F.col("line_start").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("int").alias("closes"), "chunk_type", "name")
+    onward = Window.partitionBy("file", "level").orderBy("at", "order").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ends = opening.unionByName(closing, allowMissingColumns=True).withColumn("line_end", F.first("closes", ignorenulls=True).over(onward))
+    first = ends.where("order = 0").select("file", "chunk_type", "name", F.col("at").alias("line_start"), "line_end")
     total = lines.groupBy("file").agg(F.max("ln").alias("_total"))
-    whole = heads.drop("before").join(first, ["file", "chunk_type", "name", "line_start"], "left").join(total, "file")
+    whole = first.join(total, "file")
     return whole.withColumn("line_end", F.coalesce("line_end", F.least(F.col("line_start") + BLOCK_LINES, "_total"))).drop("_total")
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.lineage import settled
+
 ANALYSIS = "finding_id long, cause string, solution string, replacement_code string, confidence int, unavailable boolean"
 
 
@@ -48,7 +50,8 @@ def evidence_text(description: Column, title: Column, number: Column, kind: Colu
 def numbered(reports: DataFrame, *order: str, partitions: int = 64) -> DataFrame:
     """Reports with `number` from 1 in order. Ranges of the order are counted and ranked each on its own, so no task sees
     all rows."""
-    ranged = reports.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
+    # ranges are drawn by sampling, so they are settled before they are used twice
+    ranged = settled(reports.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
     ranked = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranked.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -28,8 +28,9 @@ def latest(events: DataFrame, job: str, order: str, *state: str) -> DataFrame:
 
 
 def after(log: DataFrame, cursor: int, number: str = "number") -> DataFrame:
-    """What was appended after the cursor, with the next cursor."""
-    return log.where(F.col(number) > cursor).withColumn("next_cursor", F.max(number).over(Window.partitionBy()))
+    """What was appended after the cursor, with the next cursor: the largest number there is when this is called."""
+    last = log.agg(F.max(number)).first()[0]
+    return log.where((F.col(number) > cursor) & (F.col(number) <= last)).withColumn("next_cursor", F.lit(last).cast(log.schema[number].dataType))
 
 
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
