@@ -6,9 +6,10 @@ its least value over the set. 32 bands of 4 coordinates miss a pair at similarit
 
 Equal sets form classes first, so exact copies never meet again. In a bucket of classes nothing is paired with
 everything. Each class is held against the pivot it shares most buckets with. Where a bucket still has several components,
-a class that some class of another component resembles by signature stays; blocks of these, bounded in shingles, are
-multiplied as 0/1 matrices within tasks, which gives all their intersections exactly and lets only true links out. Every
-link is confirmed on the full sets.
+a class that some class of another component resembles by signature stays. These form clusters over the buckets they
+share, so that a class's set moves once and not once a bucket; blocks of a cluster, bounded in shingles, are multiplied as
+0/1 matrices within tasks, which gives all their intersections exactly and lets only true links out. Every link is
+confirmed on the full sets.
 
 Nulls: a null or empty text, or one without words, has an empty set and links with nothing. Rows with a null doc_id are
 not linked: their component_id is null, and they are kept. Rows that share a doc_id are one node. An empty table gives
@@ -187,16 +188,16 @@ def intersections(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the components of each bucket, of rows (bucket, node, component, n).
+    """Links (a, b) between the components of each cluster, of rows (cluster, node, component, n).
 
-    A bucket's rows are cut into blocks of a bounded number of shingles and of rows; each pair of blocks is one group."""
-    in_bucket = Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = placed.withColumn("block", F.greatest(F.floor(F.sum("n").over(in_bucket) / BLOCK_SHINGLES), F.floor(F.count("*").over(in_bucket) / BLOCK_ROWS)).cast("int"))
-    last = placed.groupBy("bucket").agg(F.greatest(F.floor(F.sum("n") / BLOCK_SHINGLES), F.floor(F.count("*") / BLOCK_ROWS)).cast("int").alias("last"))
+    A cluster's rows are cut into blocks of a bounded number of shingles and of rows; each pair of blocks is one group."""
+    in_cluster = Window.partitionBy("cluster").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("block", F.greatest(F.floor(F.sum("n").over(in_cluster) / BLOCK_SHINGLES), F.floor(F.count("*").over(in_cluster) / BLOCK_ROWS)).cast("int"))
+    last = placed.groupBy("cluster").agg(F.greatest(F.floor(F.sum("n") / BLOCK_SHINGLES), F.floor(F.count("*") / BLOCK_ROWS)).cast("int").alias("last"))
     # block k meets every other block: as the lower of the pair with those above, as the upper with those below and itself
     meets = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("with")
-    spread = numbered.join(last, "bucket").select("bucket", "node", "component", "block", meets)
-    spread = spread.select("bucket", "node", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    spread = numbered.join(last, "cluster").select("cluster", "node", "component", "block", meets)
+    spread = spread.select("cluster", "node", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
     def multiply(group: pa.Table) -> pa.Table:
         node, component, block = (group[c].to_numpy() for c in ("node", "component", "block"))
@@ -211,7 +212,7 @@ def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = node[i[p]], node[j[q]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    grouped = spread.join(sets.select("node", "shingles"), "node").groupBy("bucket", "low", "high")
+    grouped = spread.join(sets.select("node", "shingles"), "node").groupBy("cluster", "low", "high")
     return grouped.applyInArrow(multiply, "a long, b long").where("a <> b")
 
 
@@ -243,7 +244,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = common.settle(split.join(open_, "bucket").join(facts, "node"))
     x, y = split.alias("x"), split.alias("y")
     resembling = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"), "left_semi").select("bucket", "node", "component", "n")
-    links = links.unionByName(_block_links(common.settle(resembling), sets)).unionByName(class_members.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    resembling = common.settle(resembling)
+    stars = resembling.join(resembling.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    clustered = common.settle(resembling.select("node", "component", "n").distinct().join(clusters, "node"))
+    links = links.unionByName(_block_links(clustered, sets)).unionByName(class_members.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
 
     labels = components(links)
     out = base.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
