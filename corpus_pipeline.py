@@ -18,8 +18,9 @@ def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose predicted quality is 0; labels are those of documents still here."""
-    return quality_classifier.keep(docs, quality_classifier.train(docs, common.table(spark, sf_dir, "labels"), "quality"))
+    """Drops documents whose predicted quality is 0; learnt from labelled input documents, since those still here may all be of one class."""
+    model = quality_classifier.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), "quality")
+    return quality_classifier.keep(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import random
+
 import pytest
 
+from tests.llm.helpers import DOCS
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -20,3 +24,19 @@ def test_stages_drop_what_they_should_and_keep_the_rest(spark, tmp_path):
     packed = spark.read.parquet(str(tmp_path / "packing"))
     assert packed.select("doc_id").distinct().count() == rows.count()
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_classifier_drops_what_the_rules_leave(spark, tmp_path):
+    """The rules reject every labelled junk text, since it repeats itself; an unlabelled one that does not is the classifier's."""
+    rng = random.Random(4)
+    made = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(120))
+    good, bad = "abcdeghilmnoprstu", "ABCDEGHILMNOPRS0123456789"
+    rows = [(i, made(good), "en", "a", 1) for i in range(80)] + [(100 + i, " ".join([made(bad)] * 2), "en", "a", 1) for i in range(80)]
+    rows += [(200, made(bad), "en", "a", 1), (201, made(good), "en", "a", 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r[0], int(r[0] < 100), 0) for r in rows if r[0] < 200]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda frame: {r.doc_id for r in frame.select("doc_id").collect()}
+    ruled = corpus_pipeline.quality_rule_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert ids(ruled) == {*range(80), 200, 201}
+    assert ids(corpus_pipeline.quality_classifier_stage(spark, ruled, str(tmp_path))) == {*range(80), 201}
