@@ -130,10 +130,17 @@ def Counter_of(text: str, template: bool) -> dict[str, int]:  # noqa: N802
 
 #: Extensions whose unreachable statements are reported.
 UNREACHABLE = ".js .jsx .ts .tsx .java .c .cpp .cs .php .rs .kt .kts .swift".split()
+#: Extensions of the languages that the scan reads.
+BRACED = [*UNREACHABLE, ".go", ".rb"]
 
 
 def bracket_findings(files: DataFrame) -> DataFrame:
     """file, line_start, rule of files (file, source) in brace languages."""
+    return located_findings(files).drop("current_code")
+
+
+def located_findings(files: DataFrame) -> DataFrame:
+    """bracket_findings with the trimmed line as current_code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +148,9 @@ def bracket_findings(files: DataFrame) -> DataFrame:
             for file, source in zip(batch.column("file").to_pylist(), batch.column("source").to_pylist(), strict=True):
                 ext = "." + (file or "").lower().rpartition(".")[2]
                 js = ext in (".js", ".jsx", ".ts", ".tsx")
-                rows += [(file, line, rule) for line, rule in scan(source or "", js or ext == ".go", js, ext in UNREACHABLE)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["file", "line_start", "rule"])
+                if got := scan(source or "", js or ext == ".go", js, ext in UNREACHABLE):
+                    lines = source.split("\n")
+                    rows += [(file, line, rule, lines[line - 1].strip()) for line, rule in got]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file", "line_start", "rule", "current_code"])
 
-    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, line_start int, rule string")
+    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, line_start int, rule string, current_code string")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import balance, extension, line_text, mask, parity
+from siltstone.operators import brackets
 
 MARK = "\u0001"
 _CATCH = r"catch\s*(\([^)]*\))?\s*\{\s*\}"
@@ -64,8 +65,13 @@ def structural_findings(files: DataFrame) -> DataFrame:
 
 
 def detect(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Structural errors; files without any get the pattern rules."""
-    broken = structural_findings(files)
-    sound = files.join(broken.select("file"), "file", "left_anti")
-    shaped = broken.select("file", F.lit(None).cast("int").alias("line_start"), "rule", "bug_type", F.lit("").alias("current_code"))
-    return shaped.unionByName(pattern_findings(sound, rules))
+    """Structural errors; files without any get unreachable statements and the pattern rules.
+
+    Brace languages are scanned and give lines; for other files brackets alone are compared and the line is null."""
+    braced = F.coalesce(extension(F.col("file")).isin(brackets.BRACED), F.lit(False))
+    dead = F.col("rule") == "unreachable_code"
+    scanned = brackets.located_findings(files.where(braced)).withColumn("bug_type", F.when(dead, "Unnecessary Code").otherwise("Syntax Error"))
+    uneven = structural_findings(files.where(~braced)).withColumn("line_start", F.lit(None).cast("int")).withColumn("current_code", F.lit(""))
+    shaped = scanned.unionByName(uneven)
+    sound = files.join(shaped.where(~dead).select("file"), "file", "left_anti")
+    return shaped.select("file", "line_start", "rule", "bug_type", "current_code").unionByName(pattern_findings(sound, rules))

@@ -18,7 +18,7 @@ def q_scan_report(spark, sf_dir):
     from siltstone.operators import repair
 
     made = _scripts(spark, sf_dir)
-    found = rules.detect(made).where("line_start IS NOT NULL").withColumn("finding_id", F.xxhash64("file", "line_start", "rule")).withColumn("line_end", F.col("line_start"))
+    found = rules.detect(made).withColumn("finding_id", F.xxhash64("file", "line_start", "rule")).withColumn("line_end", F.col("line_start"))
     parts = chunks.blocks(made).select("file", "line_start", "line_end", F.col("line_start").alias("chunk"), "code")
     placed = chunks.best_chunk(found, parts, "finding_id", "chunk").join(parts.select("file", "chunk", "code"), ["file", "chunk"])
     fixed = placed.withColumn("fix", repair.repaired(F.col("rule"), F.col("code"), F.lit(".js"), F.col("line_start")))

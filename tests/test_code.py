@@ -78,6 +78,24 @@ def test_rules_are_rows_that_users_extend(spark):
     assert sorted((r.file, r.line_start) for r in rules.detect(made, table).where("rule = 'todo'").collect()) == [("a.js", 1), ("a.js", 2), ("a.js", 2)]
 
 
+def test_detect_gives_structural_findings_alone_and_joins_unreachable_ones(spark):
+    made = spark.createDataFrame([("a.js", "var a;\nf(["), ("b.js", "var b;\n x = 'open"), ("c.js", "function f() {\n return 1;\n g();\n}\nvar c;"), ("d.py", "f(")], "file string, source string")
+    got = sorted((r.file, r.line_start, r.rule, r.current_code) for r in rules.detect(made).collect())
+    assert got == [
+        ("a.js", 2, "unclosed_bracket", "f(["), ("b.js", 2, "unterminated_string", "x = 'open"),
+        ("c.js", 3, "unreachable_code", "g();"), ("c.js", 5, "var_declaration", "var c;"), ("d.py", None, "unclosed_bracket", ""),
+    ]
+
+
+def test_scan_report_counts_broken_and_unreachable_scripts(spark, tmp_path):
+    from siltstone.plans import registry
+
+    scripts = ["f([", "x = 'open", "function f() {\n return 1;\n g();\n}", "var a = 1;"]
+    spark.createDataFrame([(i, "u", f"<p><script>{s}</script>") for i, s in enumerate(scripts)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.rule: r.bugs for r in registry.QUERIES["q_scan_report"](spark, str(tmp_path)).collect()}
+    assert got == {"unclosed_bracket": 1, "unterminated_string": 1, "unreachable_code": 1, "var_declaration": 1}
+
+
 def test_repairs(spark):
     assert one(spark, repair.strict_equality, c="a != b == c === d !== e <= f") == "a !== b === c === d !== e <= f"
     assert one(spark, repair.none_default, c="x = 1\n  def f(a={}, b=2):\n    return a\n") == "x = 1\n  def f(a=None, b=2):\n      if a is None:\n          a = {}\n    return a\n"
