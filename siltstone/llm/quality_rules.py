@@ -12,7 +12,7 @@ partial sums, so a group with a third of all rows is no burden; the table of gro
 three quarters is an approximate percentile with bounded memory. A scatter never falls below FLOORS, so that a statistic
 which is constant in a group does not reject everything else.
 
-Groups under MIN_ROWS rows are pooled by language, and pools under MIN_ROWS rows into one. Nulls: a null text is empty
+Groups with under MIN_ROWS rows that pass the plain rules are pooled by language, and such pools into one. Nulls: a null text is empty
 and fails the plain rules; a null language or source is a group of its own. Repeated rows count as often as they occur.
 An empty table gives no rows. The result carries the columns asked for; a column of an added name is replaced.
 """
@@ -84,10 +84,10 @@ def _vector() -> Column:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """The rows with their group `g`."""
+    """The rows with their group `g`; only rows that pass the plain rules count towards its size."""
     lang, source = F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))
     rows = rows.withColumn("_fine", F.concat_ws("\1", lang, source)).withColumn("_coarse", F.concat_ws("\1", F.lit("\2"), lang))
-    fine = rows.groupBy("_fine", "_coarse").agg(F.count("*").alias("_n"))
+    fine = rows.groupBy("_fine", "_coarse").agg(F.count_if(~F.col("base_failed")).alias("_n"))
     pools = fine.where(F.col("_n") < MIN_ROWS).groupBy("_coarse").agg(F.sum("_n").alias("_m"))
     named = fine.join(pools, "_coarse", "left").select("_fine", F.when(F.col("_n") >= MIN_ROWS, F.col("_fine")).when(F.col("_m") >= MIN_ROWS, F.col("_coarse")).otherwise(F.lit("\2")).alias("g"))
     return rows.join(named, "_fine").drop("_fine", "_coarse")

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -48,6 +49,15 @@ def test_quality_rules(spark):
     assert quality_rules.judge(empty(spark)).count() == 0 and rng_docs.count()
 
 
+def test_survivors_of_a_junk_source_are_pooled(spark):
+    rng = random.Random(6)
+    good = [(i, words(rng, 120), "en", "a", 1) for i in range(40)]
+    junk = [(100 + i, "too short", "en", "junk", 1) for i in range(60)]
+    left = (200, " ".join(f"###$$$%%%{i}" for i in range(80)), "en", "junk", 1)
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame([*good, *junk, left], "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not kept[200] and sum(kept[i] for i in range(40)) > 35
+
+
 def test_c_steps_find_the_covariance_of_the_bulk(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, [1, 2, 3, 1, 1], (2000, 5)), rng.normal(40, 1, (300, 5))])
