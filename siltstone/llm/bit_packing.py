@@ -14,8 +14,9 @@ Since bits are fixed, id i of a block starts at bit i * bits: any range is unpac
 and Parquet's statistics on shard and start_in_shard find the block. Spark's writer commits the parts, so a lost
 executor leaves no half-written shard, and any store that Spark writes to will do.
 
-Nulls: a null text is empty (the end id alone); rows with a null doc_id come first. Rows with the same doc_id follow each
-other in any order. An empty table gives an empty data set.
+Nulls: a null text is empty (the end id alone); rows with a null doc_id come first. Rows with the same doc_id go by a hash of
+their texts, so that equal inputs give equal files; many of them are dealt to several shards. A very long text makes a
+longer block of its own. An empty table gives an empty data set; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import common, token_ids
 
 END_ID = 1
-VOCABULARY, VOCABULARY_SIZE = "word_bpe_49k.json", 49_408
+VOCABULARY = "word_bpe_49k.json"
 BLOCK_IDS = 1 << 16
 
 
@@ -40,6 +41,9 @@ def bits_for(vocabulary_size: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
+    """The ids' lowest bits, back to back. An id that needs more of them is an error, never cut."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} does not fit {bits} bits")
     if bits % 8 == 0:
         return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     spread = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
@@ -57,32 +61,32 @@ def unpack_bits(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return (window >> (first & 7).astype(np.uint64) & np.uint64((1 << bits) - 1)).astype("<u4")
 
 
-def write(docs: DataFrame, path: str, vocabulary_file: str, vocabulary_size: int, end_id: int, block_ids: int = BLOCK_IDS) -> None:
+def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, block_ids: int = BLOCK_IDS, control_as_text: bool = False) -> None:
     """Encode every document, with its end id, and write the data set in ascending doc_id order.
 
-    One range shuffle of the texts; ids are made after it, so they are never shuffled."""
+    One range shuffle of the texts, by id and a hash of the text; ids are made after it, so they are never shuffled."""
     common.prepare(docs.sparkSession)
-    bits = bits_for(max(vocabulary_size, end_id + 1))
+    bits = bits_for(max(token_ids.encoder(vocabulary_file, control_as_text).size, end_id + 1))
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start_in_shard", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = token_ids.encoder(vocabulary_file).encode, np.array([end_id], "<u4").tobytes()
+        encoder = token_ids.encoder(vocabulary_file, control_as_text)
         shard = TaskContext.get().partitionId()
 
         def rows() -> Iterator[tuple]:
-            held: list[bytes] = []
+            held: list[np.ndarray] = []
             doc_ids: list[int | None] = []
             n = block = start = 0
 
             def close() -> tuple:
-                return shard, block, start, n, bits, list(doc_ids), [len(x) // 4 for x in held], pack_bits(np.frombuffer(b"".join(held), "<u4"), bits)
+                return shard, block, start, n, bits, list(doc_ids), [len(x) for x in held], pack_bits(np.concatenate(held), bits)
 
-            for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = encode(text or "") + end
-                    held.append(ids)
+            for batch in common.gathered(batches, "text"):
+                every, ends = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(every, ends[:-1]), strict=True):
+                    held.append(np.append(ids, np.uint32(end_id)))
                     doc_ids.append(doc_id)
-                    n += len(ids) // 4
+                    n += len(ids) + 1
                     if n >= block_ids:
                         yield close()
                         held, doc_ids, n, block, start = [], [], 0, block + 1, start + n
@@ -91,7 +95,9 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, vocabulary_size: int
 
         yield from common.emit(schema, rows(), lambda row: len(row[7]))
 
-    in_order = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("_text_key"), text.alias("text"))
+    in_order = keyed.repartitionByRange("doc_id", "_text_key").sortWithinPartitions("doc_id", "_text_key").drop("_text_key")
     packed = in_order.mapInArrow(blocks, "shard int, block int, start_in_shard long, n_ids long, bits int, doc_ids array<bigint>, lengths array<int>, payload binary")
     packed.write.option("compression", "zstd").parquet(path)
 
@@ -136,5 +142,5 @@ def read_range(spark: SparkSession, path: str, start: int, n: int) -> np.ndarray
 
 def op9_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.fresh_path(spark, "token-ids")
-    write(common.table(spark, sf_dir, "documents"), path, token_ids.vocabulary_file(VOCABULARY), VOCABULARY_SIZE, END_ID)
+    write(common.table(spark, sf_dir, "documents"), path, token_ids.vocabulary_file(VOCABULARY), END_ID)
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

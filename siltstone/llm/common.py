@@ -62,6 +62,19 @@ def utf8_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int = FLUSH_BYTES) -> Iterator[pa.Table]:
+    """The rows in larger batches, closed once their texts reach so many bytes."""
+    held, heavy = [], 0
+    for batch in batches:
+        held.append(batch)
+        heavy += batch.column(text).nbytes
+        if heavy >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, heavy = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def emit(schema: pa.Schema, rows: Iterator[tuple], weight: Callable[[tuple], int] = lambda _: 0, most: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches from rows, closed by number of rows or by weight in bytes."""
     held: list[tuple] = []

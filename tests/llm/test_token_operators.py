@@ -1,7 +1,10 @@
+import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import bit_packing, packing, sharding, token_ids
@@ -10,11 +13,24 @@ from tests.llm.helpers import documents, empty
 BYTES, WORDS = token_ids.vocabulary_file("byte_bpe_50k.json"), token_ids.vocabulary_file("word_bpe_49k.json")
 
 
-def test_cached_ids_are_the_librarys():
-    texts = ["It's  a\n\n test,isn't it? 42²", "\xa0\x85 x\x1c y ", "<|endoftext|> ''s", "日本語 and more", "", "  lead", "Ünïcode É'S 'LL we'll"]
-    for path in (BYTES, WORDS):
-        e = token_ids.encoder(path)
-        assert [e.encode(t) for t in texts] == [e.by_library(t) for t in texts]
+def test_ids_are_the_librarys(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    signs = list("ab .,'slé1日Σ\u0301") + ["\n", "\t", "\r", "\x1c", "\xa0", "\u3000", "  ", "<|endoftext|>", "word", "İ"]
+    texts = ["It's  a\n\n test,isn't it? 42²", "\xa0\x85 x\x1c y ", "a <|endoftext|> b", "foo\n \nbar", "日本語 and more", "", " ", "\n", "  lead", "Ünïcode É'S 'LL we'll", "x" * 50_000 + " " + "y" * 200]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for most in (token_ids.CACHE_CHUNKS, 50):  # the cache with and without trimming
+        monkeypatch.setattr(token_ids, "CACHE_CHUNKS", most)
+        for path in (BYTES, WORDS):
+            for control_as_text in (False, True):
+                plain = Tokenizer.from_file(path)
+                plain.encode_special_tokens = control_as_text
+                e = token_ids.Encoder(path, control_as_text)
+                for at in range(0, len(texts), 400):
+                    part = texts[at : at + 400]
+                    ids, ends = e.encode_batch(part)
+                    assert [r.tolist() for r in np.split(ids, ends[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in part]
 
 
 def test_packing_is_gapless_and_whole(spark):
@@ -22,7 +38,7 @@ def test_packing_is_gapless_and_whole(spark):
     out = packing.pack_documents(docs).toPandas()
     e = token_ids.encoder(BYTES)
     for d in docs.select("doc_id", "text").distinct().collect():
-        ids = e.encode(d.text or "") + b"\0\0\0\0"
+        ids = e.encode(d.text or "").astype("<u4").tobytes() + b"\0\0\0\0"
         mine = out[out.doc_id.isna() if d.doc_id is None else out.doc_id == d.doc_id].drop_duplicates(["piece"]).sort_values("piece")
         assert mine.length.sum() * 4 == len(ids) and list(mine.start) == [0, *mine.length.cumsum()[:-1]]
         assert all(zlib.crc32(ids[4 * s : 4 * (s + n)]) == c for s, n, c in zip(mine.start, mine.length, mine.ids_crc32))
@@ -32,19 +48,77 @@ def test_packing_is_gapless_and_whole(spark):
         assert list(s.offset) == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= packing.CAPACITY
     assert out.sequence_id.nunique() <= -(-out.length.sum() // packing.CAPACITY) + 1
     assert packing.pack_documents(empty(spark)).count() == 0
+    whole = packing.sequences(packing.pack_documents(docs, with_ids=True)).collect()
+    for r in whole:
+        mine = out[out.sequence_id == r.sequence_id].sort_values("offset")
+        at = np.cumsum([0, *r.lengths])
+        assert len(r.ids) == 4 * at[-1] and [zlib.crc32(r.ids[4 * a : 4 * b]) for a, b in zip(at, at[1:])] == list(mine.ids_crc32)
+    assert len(whole) == out.sequence_id.nunique()
 
 
-def test_plan_uses_every_piece_once_and_fits_patterns():
-    rng = np.random.default_rng(0)
-    counts = np.bincount(np.minimum(rng.lognormal(4, 0.8, 20_000).astype(int) + 1, 256), minlength=257)
-    patterns, stats = packing.plan(counts)
-    used = Counter()
-    for held, n in patterns:
-        assert sum(held) <= 256
+def check_plan(counts):
+    """Sequences in all, and how many are whole, fitted and best fit."""
+    patterns, used, n = packing.plan(counts), Counter(), Counter()
+    for held, times, origin in patterns:
+        assert times > 0 and sum(held) < len(counts)
+        n[origin] += times
         for x in held:
-            used[x] += n
-    assert all(used[i] == counts[i] for i in range(1, 257)) and stats["fitted"] > 0
-    assert sum(n for _, n in patterns) <= 1.02 * (counts * np.arange(257)).sum() / 256 + 1
+            used[x] += times
+    assert all(used[i] == counts[i] for i in range(1, len(counts)))
+    return sum(n.values()), n[0], n[1], n[2]
+
+
+def test_plan_fits_patterns():
+    rng = np.random.default_rng(0)
+    for times in (1, 10**12):
+        counts = times * np.bincount(np.minimum(rng.lognormal(4, 0.8, 20_000).astype(int) + 1, 256), minlength=257)
+        total, _, fitted, _ = check_plan(counts)
+        assert total <= 1.02 * (counts * np.arange(257)).sum() / 256 + 1 and fitted > 0.2 * total
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_most_sequences_of_the_corpus_are_fitted_patterns(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    counts = np.zeros(packing.CAPACITY + 1, np.int64)
+    for length, n in packing.pieces(docs, BYTES).groupBy("length").count().collect():
+        counts[length] = n
+    began = time.time()
+    total, whole, fitted, rest = check_plan(counts)
+    assert time.time() - began < 6
+    assert fitted > 0.8 * (total - whole) and total <= 1.005 * -(-(counts * np.arange(len(counts))).sum() // packing.CAPACITY)
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = len(pieces)
+
+    def place(i, spaces):
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if i == len(pieces):
+            best = len(spaces)
+            return
+        for k in range(len(spaces)):
+            if spaces[k] >= pieces[i]:
+                place(i + 1, [*spaces[:k], spaces[k] - pieces[i], *spaces[k + 1 :]])
+        place(i + 1, [*spaces, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_against_all_ways_of_packing():
+    rng = random.Random(5)
+    more = 0
+    for _ in range(120):
+        capacity = rng.randint(4, 12)
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 8))]
+        counts = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
+        extra = check_plan(counts)[0] - fewest(sorted(lengths, reverse=True), capacity)
+        assert 0 <= extra <= 1
+        more += extra
+    assert more <= 12
 
 
 def test_bits_round_trip_and_random_access(spark, tmp_path):
@@ -55,15 +129,17 @@ def test_bits_round_trip_and_random_access(spark, tmp_path):
         assert len(packed) == -(-1001 * bits // 8)
         assert (bit_packing.unpack_bits(packed, bits, 0, 1001) == ids).all() and (bit_packing.unpack_bits(packed, bits, 500, 77) == ids[500:577]).all()
     path, docs = str(tmp_path / "ids"), documents(spark)
-    bit_packing.write(docs, path, WORDS, bit_packing.VOCABULARY_SIZE, 1, block_ids=500)
+    bit_packing.write(docs.withColumn("start", F.lit("clash")), path, WORDS, 1, block_ids=500)
     out = bit_packing.read_documents(spark, path).toPandas().sort_values("start")
     e = token_ids.encoder(WORDS)
-    texts = {(r.doc_id, e.encode(r.text or "") + b"\1\0\0\0") for r in docs.collect()}
+    texts = {(r.doc_id, e.encode(r.text or "").astype("<u4").tobytes() + b"\1\0\0\0") for r in docs.collect()}
     assert len(out) == docs.count() and {(None if d != d else int(d), bytes(b)) for d, b in zip(out.doc_id, out.ids)} == texts
     assert list(out.start) == [0, *out.n_tokens.cumsum()[:-1]] and out.doc_id.dropna().is_monotonic_increasing
     every = b"".join(bytes(b) for b in out.ids)
     assert bit_packing.read_range(spark, path, 450, 1200).tobytes() == every[1800:6600]
-    bit_packing.write(empty(spark), str(tmp_path / "none"), WORDS, 100, 1)
+    with pytest.raises(ValueError):
+        bit_packing.pack_bits(np.array([8], "<u4"), 3)
+    bit_packing.write(empty(spark), str(tmp_path / "none"), WORDS, 1)
     assert bit_packing.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
