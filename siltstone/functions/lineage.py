@@ -1,15 +1,31 @@
-"""Cutting lineage where rows must stay the same between two uses."""
+"""Cutting lineage where rows must stay the same between two uses, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A session that names none gets one of its own in local mode, as in tests; on a cluster
+    that is an error, since executors do not share the driver's disk."""
+    context = spark.sparkContext
+    there = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not there:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="siltstone-")
+        context.setCheckpointDir(there)
+    return there
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that all executors share; one of our own only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+    """The rows, written once to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +71,32 @@ def record_text(description: Column, error: Column, bug_type: Column, lang: Colu
 
 
 def finding_query(error: Column, cause: Column, code: Column, bug_type: Column, context: Column) -> Column:
-    """What similar records are looked up by: five lines, empty ones included."""
+    """What similar records are looked up by in a scan: five lines, empty ones included."""
     return F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in (error, cause, code, bug_type, context)])
 
 
+def labelled_query(file: Column, bug_type: Column, rule: Column, error: Column, cause: Column, code: Column) -> Column:
+    """What the retriever looks a single finding up by: the fields that there are, each with its name."""
+    return labelled([("File: ", file), ("Bug type: ", bug_type), ("Detection rule: ", rule), ("Error: ", error), ("Cause: ", cause), ("Code: ", code)])
+
+
+def schema_text(description: Column, error: Column, code: Column) -> Column:
+    """The short text of a knowledge-base record: description, error, code."""
+    return labelled([("", description), ("Error: ", error), ("Code: ", code)])
+
+
+def described_chunk(file: Column, lang: Column, kind: Column, name: Column, parent: Column, first: Column, last: Column, code: Column) -> Column:
+    """A chunk as the text that it is embedded by; missing fields are empty."""
+    there = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = [("File", there(file)), ("Language", there(lang)), ("Chunk type", there(kind)), ("Name", there(name)), ("Parent", there(parent)), ("Lines", F.concat(there(first), F.lit("-"), there(last)))]
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in rows], F.lit("Code:"), there(code))
+
+
+def code_context(*candidates: Column) -> Column:
+    """The first of the texts that is not blank, trimmed; empty if all are."""
+    return F.coalesce(*[F.nullif(safe_text(c), F.lit("")) for c in candidates], F.lit(""))
+
+
 def chunk_context(kind: Column, name: Column, first: Column, last: Column, code: Column) -> Column:
     return F.format_string("%s %s\nLines %d-%d\n%s", kind, name, first, last, code)
 
@@ -90,6 +114,25 @@ TOKENS = {
 }
 
 
+#: How each extension's strings and templates are read; the others are "plain".
+KINDS = {"template": ".js .jsx .ts .tsx .mjs .cjs".split(), "raw": [".go"]}
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often `use` names it: Catalyst writes a column out at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def by_kind(path: Column, make: Callable[[str], Column]) -> Column:
+    """make(kind) for the kind of a file's extension."""
+    ext = extension(path)
+    return F.when(ext.isin(KINDS["template"]), make("template")).when(ext.isin(KINDS["raw"]), make("raw")).otherwise(make("plain"))
+
+
+def tokens(source: Column, kind: str = "template") -> Column:
+    return F.regexp_extract_all(source, F.lit(TOKENS[kind]), F.lit(1))
+
+
 def mask(source: Column, kind: str = "template") -> Column:
     """The text with strings and comments blanked, of the same length and with the same line ends; a template's closing
     quote stays. Quantifiers are possessive, so a string of any length needs no stack."""
@@ -99,14 +142,22 @@ def mask(source: Column, kind: str = "template") -> Column:
         empty = F.regexp_replace(t, r"[^\n]", " ")
         return F.when(closed, F.concat(F.substr(empty, F.lit(1), F.char_length(t) - 1), F.lit("`"))).when(t.rlike(r"^(?:[\"'`]|//|/\*)"), empty).otherwise(t)
 
-    return F.array_join(F.transform(F.regexp_extract_all(source, F.lit(TOKENS[kind]), F.lit(1)), blank), "")
+    return F.array_join(F.transform(tokens(source, kind), blank), "")
+
+
+def brackets(text: Column) -> Column:
+    """The brackets of a text, in order."""
+    return F.regexp_replace(text, r"[^()\[\]{}]", "")
+
+
+def _even(b: Column) -> Column:
+    count = lambda c: F.char_length(b) - F.char_length(F.replace(b, F.lit(c), F.lit("")))
+    return (count("(") == count(")")) & (count("[") == count("]")) & (count("{") == count("}"))
 
 
 def parity(source: Column, kind: str | None = "template") -> Column:
     """Whether each kind of bracket is opened as often as it is closed, outside strings and comments."""
-    text = mask(source, kind) if kind else source
-    count = lambda c: F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))
-    return (count("(") == count(")")) & (count("[") == count("]")) & (count("{") == count("}"))
+    return let(brackets(mask(source, kind) if kind else source), _even)
 
 
 def strip_line(line: Column) -> Column:
@@ -116,25 +167,28 @@ def strip_line(line: Column) -> Column:
     return F.regexp_replace(line, r"//.*$", "")
 
 
-def balance(code: Column) -> Column:
-    """The first structural error of a code text, or null: an unexpected or mismatched closing bracket, an unclosed bracket.
-    A fold over the brackets outside strings and comments keeps the stack as a string."""
-    brackets = F.regexp_extract_all(mask(code, "template"), F.lit(r"([()\[\]{}])"), F.lit(1))
+def balance(code: Column, kind: str = "template") -> Column:
+    """The first structural error of a code text, or null: an unexpected or mismatched closing bracket, an open string, an
+    unclosed bracket. A fold over the brackets outside strings and comments keeps the stack as a string."""
 
-    def step(state: Column, b: Column) -> Column:
-        stack = F.substr(state, F.lit(1))
-        top = F.right(stack, F.lit(1))
-        opener = F.translate(b, ")]}", "([{")
+    def step(stack: Column, b: Column) -> Column:
+        top, opener = F.right(stack, F.lit(1)), F.translate(b, ")]}", "([{")
         return (
-            F.when(state.startswith("!"), state)
+            F.when(stack.startswith("!"), stack)
             .when(b.isin("(", "[", "{"), F.concat(stack, b))
             .when(stack == "", F.lit("!unexpected_closing_bracket"))
             .when(top == opener, F.substr(stack, F.lit(1), F.char_length(stack) - 1))
             .otherwise(F.lit("!mismatched_bracket"))
         )
 
-    end = F.aggregate(brackets, F.lit(""), step)
-    return F.when(end.startswith("!"), F.substr(end, F.lit(2))).when(end != "", F.lit("unclosed_bracket"))
+    def fault(end: Column, last: Column) -> Column:
+        quote = F.substr(last, F.lit(1), F.lit(1))
+        opened = quote.isin('"', "'", "`") & ((F.char_length(last) == 1) | (F.right(last, F.lit(1)) != quote) | last.rlike(r"(?s)^.(?:[^\\]|\\.)*\\.\z"))
+        return F.when(end.startswith("!"), F.substr(end, F.lit(2))).when(opened, F.lit("unterminated_string")).when(end != "", F.lit("unclosed_bracket"))
+
+    ends = lambda b: F.aggregate(F.regexp_extract_all(b, F.lit(r"(.)"), F.lit(1)), F.lit(""), step)
+    last = F.coalesce(F.try_element_at(tokens(code, kind), F.lit(-1)), F.lit(""))
+    return let(F.struct(let(brackets(mask(code, kind)), ends).alias("e"), last.alias("l")), lambda x: fault(x["e"], x["l"]))
 
 
 def clean_json_fence(text: Column) -> Column:
@@ -142,11 +196,22 @@ def clean_json_fence(text: Column) -> Column:
     return safe_text(F.regexp_replace(F.regexp_replace(safe_text(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
-#: Lines of a reply that tell about the code instead of being code.
-META_LINE = r"(?i)^\s*(?:error|bug type|cause|why it occurs|solution|explanation|confidence|replacement code)\s*:"
+#: Words of the lines in a reply that tell about the code instead of being code.
+_PLACES, _TITLES = "function|method|file|filename|path", "solution|corrected code|replacement code|replace with this code|explanation|description|reason|cause"
+META_LINES = [
+    r"lines?\s*:?\s*\d+\s*[-–—]\s*\d+",
+    rf"(?:{_PLACES})\s*:\s*\S.*",
+    rf"(?:{_TITLES})\s*:?",
+    r"(?:function|method|class|file)\s+[A-Za-z_$][\w$.\-]*",
+    r"(?:replace|use)(?:\s+with)?(?:\s+this)?\s+code\s*:?",
+    r"#{1,6}\s*(?:corrected code|solution|replacement|code)",
+]
 
 
 def clean_replacement(text: Column) -> Column:
-    """Replacement code without fences and lines of commentary."""
-    body = F.regexp_replace(F.regexp_replace(safe_text(text), r"^```[A-Za-z]*\n?", ""), r"\n?```$", "")
-    return F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~x.rlike(META_LINE)), "\n")
+    """Replacement code without code fences, lines of commentary and quotes around the whole."""
+    body = F.filter(F.split(safe_text(text), "\n", -1), lambda x: ~x.rlike(r"^\s*```"))
+    kept = F.filter(body, lambda x: ~F.trim(x).rlike("(?i)^(?:" + "|".join(META_LINES) + r")\s*$"))
+    code = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\A(?:[ \t]*\n)+", ""), r"\s+\z", "")
+    quoted = code.rlike(r"(?s)\A([\"']).*\1\z") & (F.char_length(code) > 1) & ~code.rlike(r"(?s)\A(.).*\1.*\1\z")
+    return F.when(quoted, F.substr(code, F.lit(2), F.char_length(code) - 2)).otherwise(code)

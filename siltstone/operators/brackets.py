@@ -1,7 +1,8 @@
 """Brackets, strings and unreachable statements of brace languages, by one pass over tokens of each file.
 
-What Catalyst expressions cannot hold is a stack of frames with template interpolation; the pass is a small function over
-Arrow batches. Markup in code (JSX) is not tracked: its text is read as code.
+What Catalyst expressions cannot hold is a stack of frames with template interpolation and markup; the pass is a small
+function over Arrow batches. In scripts, markup (JSX) that begins where a value may stand is a frame of its own: its text
+holds no brackets or quotes, `{...}` in it is code again.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ PAIRS = {"(": ")", "[": "]", "{": "}"}
 _TOKEN = re.compile(r"//[^\n]*|/\*|\"|'|`|[()\[\]{}]|;|\n|\\.|\$\{|[A-Za-z_$][\w$]*|\S|[^\S\n]+", re.S)
 #: After these a slash begins a regular expression, not a division.
 _REGEX_AFTER = set("(,=:[!&|?{};+-*%<>~^") | {"return", "typeof", "case", ""}
+_TAG = re.compile(r"<(?:[A-Za-z][\w.:-]*|>)")
+#: In a tag: a quoted value, code, the tag's end, or anything else. In markup text: a tag, code, or text.
+_IN_TAG = re.compile(r"\"[^\"]*\"|'[^']*'|\{|/>|>|[^\"'{/>]+|.", re.S)
+_IN_TEXT = re.compile(r"</[^>]*>|<(?:[A-Za-z][\w.:-]*|>)|\{|[^<{]+|.", re.S)
 _REGEX = re.compile(r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\n\\])*\]|[^/\n\\])+/[a-z]*")
 LEAVES = {"return", "throw"}
 
@@ -39,7 +44,34 @@ def scan(source: str, template: bool, interpolation: bool = True, unreachable: b
                 return []
         return [(where, rule)]
 
+    markup: list[list] = []  # open markup: how many elements deep, whether in a tag, the code frame it stands in
     while at < len(source):
+        if markup and markup[-1][2] == len(stack):
+            here = markup[-1]
+            t = (_IN_TAG if here[1] else _IN_TEXT).match(source, at)[0]
+            at += len(t)
+            if t == "{":
+                counts["{"] += 1
+                stack.append({"open": "{", "line": line, "left": False, "dead": False})
+                previous = "{"
+                continue
+            line += t.count("\n")
+            if here[1]:
+                if t in ("/>", ">"):
+                    here[0] += 1 if t == ">" else 0
+                    here[1] = False
+            elif t.startswith("</"):
+                here[0] -= 1
+            elif _TAG.fullmatch(t):
+                here[0], here[1] = here[0] + (t == "<>"), t != "<>"
+            if not here[0] and not here[1]:
+                markup.pop()
+                previous = "x"
+            continue
+        if template and interpolation and source[at] == "<" and previous in _REGEX_AFTER - {"x"} and (m := _TAG.match(source, at)):
+            markup.append([int(m[0] == "<>"), m[0] != "<>", len(stack)])
+            at = m.end()
+            continue
         if source[at] == "/" and previous in _REGEX_AFTER and template and (m := _REGEX.match(source, at)):
             at, previous = m.end(), "x"
             continue
@@ -134,23 +166,45 @@ UNREACHABLE = ".js .jsx .ts .tsx .java .c .cpp .cs .php .rs .kt .kts .swift".spl
 BRACED = [*UNREACHABLE, ".go", ".rb"]
 
 
-def bracket_findings(files: DataFrame) -> DataFrame:
-    """file, line_start, rule of files (file, source) in brace languages."""
-    return located_findings(files).drop("current_code")
+def findings(source: str, ext: str) -> list[tuple[int, str, str, str]]:
+    """(line, rule, bug type, detail) of one file."""
+    js = ext in (".js", ".jsx", ".ts", ".tsx")
+    return [(line, rule, "Unnecessary Code" if rule == "unreachable_code" else "Syntax Error", "") for line, rule in scan(source, js or ext == ".go", js, ext in UNREACHABLE)]
 
 
-def located_findings(files: DataFrame) -> DataFrame:
-    """bracket_findings with the trimmed line as current_code."""
+def bracket_findings(files: DataFrame) -> DataFrame:
+    """file, line_start, rule of files (file, source) in brace languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file, source in zip(batch.column("file").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                ext = "." + (file or "").lower().rpartition(".")[2]
-                js = ext in (".js", ".jsx", ".ts", ".tsx")
-                if got := scan(source or "", js or ext == ".go", js, ext in UNREACHABLE):
-                    lines = source.split("\n")
-                    rows += [(file, line, rule, lines[line - 1].strip()) for line, rule in got]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file", "line_start", "rule", "current_code"])
-
-    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, line_start int, rule string, current_code string")
+                rows += [(file, line, rule) for line, rule, _, _ in findings(source or "", "." + (file or "").lower().rpartition(".")[2])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["file", "line_start", "rule"])
+
+    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, line_start int, rule string")
+
+
+_PART = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|[()\[\]{}]|[^()\[\]{}\"'`/]+|.", re.S)
+
+
+def balanced_code(code: str) -> str:
+    """The code with its brackets, strings and comments closed: a closer that fits a bracket further out gets the missing
+    ones before it, one that fits none goes, and what is open at the end is closed there."""
+    out: list[str] = []
+    stack: list[str] = []
+    for t in _PART.findall(code):
+        if t in PAIRS:
+            stack.append(PAIRS[t])
+        elif t in PAIRS.values():
+            if t not in stack:
+                continue
+            while stack[-1] != t:
+                out.append(stack.pop())
+            stack.pop()
+        elif t[0] in "\"'`" and (len(t) == 1 or t[-1] != t[0] or re.search(r"(?<!\\)(?:\\\\)*\\.\Z", t, re.S)):
+            t += t[0]
+        elif t.startswith("/*") and (len(t) < 4 or not t.endswith("*/")):
+            t += " */"
+        out.append(t)
+    return "".join(out) + "".join(reversed(stack))

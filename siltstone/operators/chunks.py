@@ -1,4 +1,10 @@
-"""Chunks of source files: tumbling blocks of lines, declarations, duplicates, and the chunk that a finding belongs to."""
+"""Chunks of source files: declarations with their code, tumbling blocks of lines, duplicates, and the chunk that a finding
+belongs to.
+
+`chunked` is the dispatcher. Ranges of declarations are found by windows over a file's lines (Python's by its parser);
+ranges alone come back to the file's lines, so its text is shuffled once for them. Nulls: a null or blank source has no
+chunks. Ties between equal ranges go to the first by kind and name. Files of one name and key columns are one file.
+"""
 
 from __future__ import annotations
 
@@ -9,26 +15,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import lines_of, safe_text, strip_line
+from siltstone.functions.text import chunk_id, described_chunk, extension, language, let, lines_of, safe_text, strip_line
 
 BLOCK_LINES, MOST_LINES, CONTEXT = 80, 120, 3
-#: Declarations, as patterns with the name in group 1.
-CLASS_LINE = r"(?U)\b(?:class|interface|struct)\s+([A-Za-z_$][\w$]*)"
+_NAME = r"([A-Za-z_$][\w$]*)"
+#: What a line that opens a class, or a function, looks like; group 1 is the name. The last is a C-like head: words and
+#: types, a name, an argument list and a brace on one line.
+CLASS_LINE = rf"(?U)\b(?:class|interface|struct)\s+{_NAME}"
 FUNCTION_LINES = [
-    r"(?U)\bfunction\s+([A-Za-z_$][\w$]*)\s*\(",
-    r"(?U)\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>",
-    r"(?U)^\s*(?:async\s+)?def\s+([A-Za-z_]\w*[!?=]?)",
-    r"(?U)^\s*(?:(?:public|private|protected|static|async|virtual|override|inline|extern|final|abstract|synchronized)\s+)*(?:[\w:<>,\[\].?]++\s+)+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:throws\s+[^{]+)?\{",
+    rf"(?U)\bfunction\s+{_NAME}\s*\(",
+    rf"(?U)\b(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\b\s*)?\([^()]*\)\s*=>",
+    r"(?U)^\s*(?:async\s+)?def\s+(\w+[?!=]?)",
+    rf"(?U)^\s*(?:[^\s()={{}};]+\s+)+{_NAME}\s*\([^;{{}}]*\)[^;{{}}()]*\{{",
 ]
-CONTROL = "if for while switch catch else return do try".split()
+CONTROL = "if for while switch catch else return do try new throw".split()
+#: Languages whose blocks end with a keyword.
+KEYWORD_ENDED = [".rb", ".ex", ".exs"]
+
+
+def blocks(files: DataFrame, size: int = BLOCK_LINES, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Blocks of `size` lines: the keys, name, line_start, line_end, code. Blocks of blank lines are left out."""
 
+    def cut(lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(size))
+        return F.transform(starts, lambda s: F.struct((s + 1).alias("line_start"), F.least(s + size, F.size(lines)).alias("line_end"), safe_text(F.array_join(F.slice(lines, s + 1, F.lit(size)), "\n")).alias("code")))
 
-def blocks(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
-    """Blocks of `size` lines: file, name, line_start, line_end, code. Blocks of blank lines are left out."""
-    lines = lines_of(F.col("source"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(size))
-    cut = files.select("file", F.explode(F.transform(starts, lambda s: F.struct((s + 1).alias("line_start"), F.least(s + size, F.size(lines)).alias("line_end"), F.array_join(F.slice(lines, s + 1, F.lit(size)), "\n").alias("code")))).alias("b"))
-    return cut.select("file", F.format_string("block_%d", F.col("b.line_start")).alias("name"), "b.*").where(safe_text(F.col("code")) != "").withColumn("code", safe_text(F.col("code")))
+    found = F.filter(let(lines_of(F.col("source")), cut), lambda b: b["code"] != "")
+    return files.select(*key, F.explode(found).alias("b")).select(*key, F.format_string("block_%d", F.col("b.line_start")).alias("name"), "b.*")
 
 
 def limited(first: Column, last: Column, total: Column, most: int = MOST_LINES, context: int = CONTEXT) -> Column:
@@ -37,42 +50,47 @@ def limited(first: Column, last: Column, total: Column, most: int = MOST_LINES,
     return F.struct(F.greatest(first - context, F.lit(1)).alias("line_start"), F.least(end + context, total).alias("line_end"))
 
 
-def deduplicated(chunks: DataFrame, order: str) -> DataFrame:
+def deduplicated(chunks: DataFrame, order: str, key: tuple[str, ...] = ("file",)) -> DataFrame:
     """The first chunk of each file, type, name and range."""
-    same = Window.partitionBy("file", "chunk_type", "name", "line_start", "line_end").orderBy(order)
+    same = Window.partitionBy(*key, "chunk_type", "name", "line_start", "line_end").orderBy(order)
     return chunks.withColumn("_k", F.row_number().over(same)).where("_k = 1").drop("_k")
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """Classes and functions of brace languages by their first lines: file, chunk_type, name, line_start, line_end.
+def declarations(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Classes and functions by their first lines: the keys, chunk_type, name, line_start, line_end.
 
-    A declaration ends where the running depth of braces comes back to its own; one that never does takes 80 more lines."""
-    lines = files.select("file", F.posexplode(lines_of(F.col("source"))).alias("_p", "line")).withColumn("ln", F.col("_p") + 1)
+    A declaration ends where the running depth of braces comes back to its own, or, in languages that end blocks with a
+    keyword and if its line opens no brace, at the next line that is `end`; one that never ends takes 80 lines in all."""
+    lines = files.select(*key, F.coalesce(extension(F.col("file")).isin(KEYWORD_ENDED), F.lit(False)).alias("worded"), F.posexplode(lines_of(F.col("source"))).alias("_p", "line")).withColumn("ln", F.col("_p") + 1)
     code = strip_line(F.col("line"))
     delta = F.char_length(F.replace(code, F.lit("}"), F.lit(""))) - F.char_length(F.replace(code, F.lit("{"), F.lit("")))
-    so_far = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("depth", F.sum(delta).over(so_far)).withColumn("before", F.col("depth") - delta)
+    so_far = Window.partitionBy(*key).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("code", code).withColumn("delta", delta).withColumn("depth", F.sum("delta").over(so_far)).withColumn("before", F.col("depth") - F.col("delta"))
     cls = F.regexp_extract("line", CLASS_LINE, 1)
     names = [F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in FUNCTION_LINES]
     function = F.when(~F.col("line").rlike(r"\bclass\s"), F.coalesce(*names))
     found = lines.withColumn("chunk_type", F.when(cls != "", "class").when(function.isNotNull() & ~function.isin(CONTROL), "function")).withColumn("name", F.when(cls != "", cls).otherwise(function))
-    heads = found.where("chunk_type IS NOT NULL").select("file", "chunk_type", "name", F.col("ln").alias("line_start"), "before")
+    # a head by keyword has a level of its own, below all braces; `end` lines close it
+    worded = F.col("worded") & ~F.contains("code", F.lit("{"))
+    heads = found.where("chunk_type IS NOT NULL").select(*key, "chunk_type", "name", F.col("ln").alias("line_start"), F.when(worded, F.lit(-1_000_000)).otherwise(F.col("before")).alias("before"))
     # a line closes the levels between its depths, or its own level if it opens and closes a block; a head ends at the next
     # line that closes its level, which one window finds without pairing heads and lines
-    opened = F.contains(code, F.lit("{"))
-    levels = F.when(F.col("before") > F.col("depth"), F.sequence(F.col("depth"), F.col("before") - 1)).when(opened & (F.col("before") == F.col("depth")), F.array("depth"))
-    closing = lines.select("file", F.explode(levels).alias("level"), F.col("ln").alias("at"), F.lit(1).alias("order"), F.col("ln").alias("closes"))
-    opening = heads.select("file", F.col("before").alias("level"), F.col("line_start").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("int").alias("closes"), "chunk_type", "name")
-    onward = Window.partitionBy("file", "level").orderBy("at", "order").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    opened = F.contains("code", F.lit("{"))
+    levels = F.when(F.col("before") > F.col("depth"), F.sequence(F.col("depth"), F.col("before") - 1)).when(opened & (F.col("before") == F.col("depth")), F.array("depth")).otherwise(F.array().cast("array<bigint>"))
+    words = F.when(F.col("worded") & (F.trim("line") == "end"), F.array(F.lit(-1_000_000).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    closing = lines.select(*key, F.explode(F.concat(levels, words)).alias("level"), F.col("ln").alias("at"), F.lit(1).alias("order"), F.col("ln").alias("closes"))
+    opening = heads.select(*key, F.col("before").alias("level"), F.col("line_start").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("int").alias("closes"), "chunk_type", "name")
+    onward = Window.partitionBy(*key, "level").orderBy("at", "order").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     ends = opening.unionByName(closing, allowMissingColumns=True).withColumn("line_end", F.first("closes", ignorenulls=True).over(onward))
-    first = ends.where("order = 0").select("file", "chunk_type", "name", F.col("at").alias("line_start"), "line_end")
-    total = lines.groupBy("file").agg(F.max("ln").alias("_total"))
-    whole = first.join(total, "file")
-    return whole.withColumn("line_end", F.coalesce("line_end", F.least(F.col("line_start") + BLOCK_LINES, "_total"))).drop("_total")
+    first = ends.where("order = 0").select(*key, "chunk_type", "name", F.col("at").alias("line_start"), "line_end")
+    total = lines.groupBy(*key).agg(F.max("ln").alias("_total"))
+    whole = first.join(total, list(key))
+    return whole.withColumn("line_end", F.coalesce("line_end", F.least(F.col("line_start") + BLOCK_LINES - 1, "_total"))).drop("_total")
 
 
-def python_chunks(files: DataFrame) -> DataFrame:
-    """Functions, classes and other top-level statements of Python files: file, chunk_type, name, parent, line_start, line_end."""
+def python_chunks(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Functions, classes and other top-level statements of Python files: the keys, chunk_type, name, parent, line_start,
+    line_end. A file that does not parse is one chunk."""
 
     def parts(body: list, parent: str | None, top: bool) -> Iterator[tuple]:
         for node in body:
@@ -84,26 +102,78 @@ def python_chunks(files: DataFrame) -> DataFrame:
                 yield "module_code", type(node).__name__.lower(), parent, node.lineno, node.end_lineno
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        kind = pa.list_(pa.struct([("chunk_type", pa.string()), ("name", pa.string()), ("parent", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]))
         for batch in batches:
             rows = []
-            for file, source in zip(batch.column("file").to_pylist(), batch.column("source").to_pylist(), strict=True):
+            for source in batch.column("source").to_pylist():
                 try:
-                    rows += [(file, *r) for r in parts(ast.parse(source or "").body, None, True)]
+                    rows.append(list(parts(ast.parse(source or "").body, None, True)))
                 except (SyntaxError, ValueError, RecursionError):
-                    rows.append((file, "file", "file", None, 1, source.count("\n") + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["file", "chunk_type", "name", "parent", "line_start", "line_end"])
+                    rows.append([("file", "file", None, 1, source.rstrip("\n").count("\n") + 1)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(rows, kind)], names=[*key, "c"])
+
+    rows = files.select(*key, F.col("source").cast("string"))
+    columns = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "source")
+    made = rows.mapInArrow(run, f"{columns}, c array<struct<chunk_type: string, name: string, parent: string, line_start: int, line_end: int>>")
+    return made.select(*key, F.explode("c").alias("c")).select(*key, "c.*")
+
+
+def chunked(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The chunks of files (keys with `file`, source): the keys, language, chunk_type, name, parent, line_start, line_end, code
+    (trimmed), raw (as in the file), text (what it is embedded by), chunk_id; ordered within a file by lines and type.
 
-    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, chunk_type string, name string, parent string, line_start int, line_end int")
+    Python by its parser, others by their declarations, at most 120 lines each and three more around them; a file without
+    any is cut into blocks. Declarations of equal type, name and range are one chunk."""
+    some = files.select(*key, F.col("source").cast("string")).where(safe_text(F.col("source")) != "")
+    python = F.coalesce(extension(F.col("file")).isin(".py", ".pyi"), F.lit(False))
+    ranges = declarations(some.where(~python), key).withColumn("parent", F.lit(None).cast("string")).unionByName(python_chunks(some.where(python), key))
+    range_ = F.struct("line_start", "line_end", "chunk_type", "name", "parent")
+    ranges = ranges.groupBy(*key).agg(F.collect_set(range_).alias("_r"))
+
+    def placed(r: Column) -> Column:
+        cut = limited(r["line_start"], r["line_end"], F.size("_lines"))
+        return F.struct(cut["line_start"].alias("line_start"), cut["line_end"].alias("line_end"), r["chunk_type"].alias("chunk_type"), r["name"].alias("name"), r["parent"].alias("parent"))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_lines"), F.lit(1)), F.lit(BLOCK_LINES))
+    fallback = F.transform(starts, lambda s: F.struct(s.alias("line_start"), F.least(s + BLOCK_LINES - 1, F.size("_lines")).alias("line_end"), F.lit("code_block").alias("chunk_type"), F.format_string("block_%d", s).alias("name"), F.lit(None).cast("string").alias("parent")))
+    chosen = F.array_sort(F.array_distinct(F.coalesce(F.transform("_r", placed), fallback)))
+    with_code = F.transform(chosen, lambda c: F.struct(c.alias("c"), F.array_join(F.slice("_lines", c["line_start"], c["line_end"] - c["line_start"] + 1), "\n").alias("raw")))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    rows = some.select(*key, lines_of(F.col("source")).alias("_lines")).alias("l").join(ranges.alias("r"), on, "left").select(*[F.col(f"l.{k}") for k in key], "_lines", "_r")
+    rows = rows.select(*key, F.explode(with_code).alias("x")).select(*key, "x.c.*", "x.raw").withColumn("code", safe_text(F.col("raw"))).where("code <> ''").withColumn("language", language(F.col("file")))
+    text = described_chunk(*[F.col(c) for c in ("file", "language", "chunk_type", "name", "parent", "line_start", "line_end", "code")])
+    rows = rows.withColumn("text", text).withColumn("chunk_id", chunk_id(*[F.col(c) for c in ("file", "line_start", "line_end", "name")]))
+    return rows.select(*key, "language", "chunk_type", "name", "parent", "line_start", "line_end", "code", "raw", "text", "chunk_id")
+
+
+#: Lines of a bin by which findings and chunks meet.
+BIN_LINES = 256
 
 
 def best_chunk(findings: DataFrame, chunks: DataFrame, finding: str, chunk: str) -> DataFrame:
     """Each finding (file, line_start, line_end) with the chunk of its file that it overlaps most, else the nearest; ties
-    go to the first by `chunk`. The join is on the file; pairs are reduced by a partial maximum before they are shuffled."""
+    go to the first by `chunk`; a finding without a line gets the first chunk.
+
+    A finding first meets the chunks that reach into its bins of lines; only those without an overlap there look for the
+    nearest chunk, before and after, by one window. So a file of many lines is not paired with all its findings."""
     f = findings.select("file", finding, F.col("line_start").alias("_s"), F.coalesce("line_end", "line_start").alias("_e"))
     c = chunks.select("file", chunk, F.col("line_start").alias("_cs"), F.col("line_end").alias("_ce"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN_LINES), F.floor(F.greatest(a, b) / BIN_LINES))).alias("_bin")
     overlap = F.least("_e", "_ce") - F.greatest("_s", "_cs") + 1
-    gap = F.greatest(F.col("_cs") - F.col("_e"), F.col("_s") - F.col("_ce"))
-    score = F.struct(F.coalesce(F.when(overlap > 0, overlap), -gap, F.lit(0)).alias("score"), (-F.col(chunk)).alias("_o"))
-    best = f.join(c, "file").groupBy(finding).agg(F.max(score).alias("_b"))
+    near = f.where("_s IS NOT NULL").select("*", bins("_s", "_e")).join(c.select("*", bins("_cs", "_ce")), ["file", "_bin"]).where(overlap > 0)
+    best = near.groupBy(finding).agg(F.max(F.struct(overlap.alias("score"), (-F.col(chunk)).alias("_o"))).alias("_b"))
+    left = f.join(best, finding, "left_anti")
+    # the nearest: before it the chunk with the greatest end, after it the one with the least start
+    spots = c.select("file", F.col("_ce").alias("at"), F.lit(0).alias("order"), F.struct(F.col("_ce").alias("at"), (-F.col(chunk)).alias("_o")).alias("ended"), F.lit(None).cast(f"struct<at:int,_o:{dict(c.dtypes)[chunk]}>").alias("begun"))
+    heads = c.select("file", F.col("_cs").alias("at"), F.lit(2).alias("order"), F.lit(None).cast(spots.schema["ended"].dataType).alias("ended"), F.struct((-F.col("_cs")).alias("at"), (-F.col(chunk)).alias("_o")).alias("begun"))
+    asked = left.select("file", F.coalesce("_s", F.lit(-1_000_000_000)).alias("at"), F.lit(1).alias("order"), finding, "_s", "_e")
+    rows = spots.unionByName(heads).unionByName(asked, allowMissingColumns=True)
+    by_line = Window.partitionBy("file").orderBy("at", "order")
+    rows = rows.withColumn("_before", F.max("ended").over(by_line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.max("begun").over(by_line.rowsBetween(1, Window.unboundedFollowing)))
+    first = c.groupBy("file").agg(F.min(chunk).alias("_first"))
+    rows = rows.where("order = 1").join(first, "file", "left")
+    before = F.struct((F.col("_before.at") - F.col("_s")).alias("score"), F.col("_before._o").alias("_o"))
+    after = F.struct((F.col("_e") + F.col("_after.at")).alias("score"), F.col("_after._o").alias("_o"))
+    nearest = F.when(F.col("_s").isNull(), F.struct(F.lit(0).alias("score"), (-F.col("_first")).alias("_o"))).otherwise(F.greatest(F.when(F.col("_before").isNotNull(), before), F.when(F.col("_after").isNotNull(), after)))
+    best = best.unionByName(rows.select(finding, nearest.alias("_b")))
     return findings.join(best.select(finding, (-F.col("_b._o")).alias(chunk), F.col("_b.score").alias("overlap")), finding, "left")

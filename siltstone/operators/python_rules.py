@@ -1,7 +1,8 @@
 """Rules for Python files, which need the language's own parser: one pass of Arrow batches, one parse a file.
 
-Findings come as rows; definitions and calls come as rows of kinds `def` and `call`, so that unused functions are a
-left anti join and not a loop.
+Findings, definitions and calls of a file come together; a function is unused if its file never calls its name, so the
+anti join stays within the row. A file that does not parse is mended step by step in a scratch copy, so that each of its
+syntax errors is found and not the first alone.
 """
 
 from __future__ import annotations
@@ -77,8 +78,9 @@ def rows_of(source: str) -> Iterator[tuple[str, int, str, str]]:
     """(kind, line, rule or name, detail): kinds finding, def and call."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        yield "finding", getattr(e, "lineno", None) or 1, "syntax_error", getattr(e, "msg", None) or str(e)
+    except (SyntaxError, ValueError, RecursionError):
+        for line, message in syntax_errors(source):
+            yield "finding", line, "syntax_error", message
         return
     for line, name in _undefined(tree, source):
         yield "finding", line, "undefined_name", name
@@ -112,71 +114,137 @@ def rows_of(source: str) -> Iterator[tuple[str, int, str, str]]:
         yield "finding", line, "unreachable_code", ""
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """file, kind, line, name, detail of Python files (file, source)."""
+def findings(source: str | None) -> list[tuple[int, str, str, str]]:
+    """(line, rule, bug type, detail) of one file, unused functions last."""
+    rows = list(rows_of(source or ""))
+    out = [(line, name, detail) for kind, line, name, detail in rows if kind == "finding"]
+    called = {name for kind, _, name, _ in rows if kind == "call"}
+    own = {name: line for kind, line, name, _ in rows if kind == "def" and not name.startswith("_") and name != "main"}
+    out += [(line, "possibly_unused_function", name) for name, line in own.items() if name not in called]
+    return [(line, rule, BUG_TYPES.get(rule, "Other"), detail) for line, rule, detail in out]
+
+
+def detect(files: DataFrame) -> DataFrame:
+    """file, line_start, rule, bug_type, detail of Python files (file, source)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(file, *r) for file, source in zip(batch.column("file").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in rows_of(source or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file", "kind", "line", "name", "detail"])
+            rows = [(file, *r) for file, source in zip(batch.column("file").to_pylist(), batch.column("source").to_pylist(), strict=True) for r in findings(source)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["file", "line_start", "rule", "bug_type", "detail"])
 
-    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, kind string, line int, name string, detail string")
+    return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, line_start int, rule string, bug_type string, detail string")
 
 
-def detect(files: DataFrame) -> DataFrame:
-    """file, line_start, rule, bug_type, detail."""
-    rows = parsed(files)
-    kinds = F.create_map(*[F.lit(x) for pair in BUG_TYPES.items() for x in pair])
-    found = rows.where("kind = 'finding'").select("file", F.col("line").alias("line_start"), F.col("name").alias("rule"), "detail")
-    calls = rows.where("kind = 'call'").select("file", "name").distinct()
-    own = rows.where("kind = 'def' AND NOT startswith(name, '_') AND name <> 'main'").groupBy("file", "name").agg(F.max("line").alias("line_start"))
-    unused = own.join(calls, ["file", "name"], "left_anti").select("file", "line_start", F.lit("possibly_unused_function").alias("rule"), F.col("name").alias("detail"))
-    return found.unionByName(unused).withColumn("bug_type", F.coalesce(kinds[F.col("rule")], F.lit("Other")))
+CLOSERS = {"(": ")", "[": "]", "{": "}"}
 
 
 def balanced_line(line: str) -> str:
-    """A line with its open string closed and its open brackets closed in turn."""
+    """A line whose brackets and strings are closed: a closer that fits a bracket further out gets the missing ones before
+    it, one that fits none goes, and what is open at the end is closed there, before a final colon."""
+    out: list[str] = []
     stack, quote, k = [], "", 0
     while k < len(line):
         c = line[k]
         if quote:
             if c == "\\":
+                out.append(c)
                 k += 1
+                c = line[k : k + 1]
             elif c == quote:
                 quote = ""
         elif c in "\"'":
             quote = c
-        elif c in "([{":
-            stack.append({"(": ")", "[": "]", "{": "}"}[c])
-        elif stack and c == stack[-1]:
+        elif c in CLOSERS:
+            stack.append(CLOSERS[c])
+        elif c in CLOSERS.values():
+            if c not in stack:
+                k += 1
+                continue
+            while stack[-1] != c:
+                out.append(stack.pop())
             stack.pop()
+        elif c == "#":
+            return _closed("".join(out).rstrip(), quote, stack) + "  " + line[k:]
+        out.append(c)
         k += 1
-    return line + quote + "".join(reversed(stack))
+    return _closed("".join(out), quote, stack)
 
 
-def syntax_repair(source: str) -> str:
-    """The source with its first syntax error mended, if one of the known ways makes it compile; else as it is."""
+def _closed(text: str, quote: str, stack: list[str]) -> str:
+    closers = quote + "".join(reversed(stack))
+    if closers and not quote and text.rstrip().endswith(":"):
+        return text.rstrip()[:-1] + closers + ":"
+    return text + closers
+
+
+#: Ways to mend a line, in order of trial.
+WAYS = (
+    balanced_line,
+    lambda x: re.sub(r"^(\s*(?:if|elif|else|for|while|def|class|try|except|finally|with)\b[^:#]*?)\s*$", r"\1:", x),
+    lambda x: re.sub(r"^(\s*(?:if|elif|while)\b[^=!<>]*)=(?!=)", r"\1==", x),
+    lambda x: "    " + x,
+    lambda x: x.removeprefix("    "),
+    lambda x: re.sub(r"[)\]}]\s*$", "", x),
+    lambda x: re.sub(r"\b(break|continue|return\b.*)$", "pass", x),
+    lambda x: re.sub(r"^(\s*)from\s+(\S+)\s+import\s*$", r"\1import \2", x),
+)
+MOST_ERRORS = 40
+
+
+def _error(source: str) -> tuple[int, str] | None:
+    """Line and message of the first syntax error."""
     try:
         compile(source, "file", "exec")
-        return source
-    except (SyntaxError, ValueError) as e:
-        lines, at = source.split("\n"), (getattr(e, "lineno", None) or 1) - 1
-    ways = (
-        balanced_line,
-        lambda x: re.sub(r"^(\s*(?:if|elif|else|for|while|def|class|try|except|finally|with)\b[^:#]*?)\s*$", r"\1:", x),
-        lambda x: re.sub(r"^(\s*(?:if|elif|while)\b[^=!<>]*)=(?!=)", r"\1==", x),
-        lambda x: "    " + x,
-        lambda x: re.sub(r"[)\]}]\s*$", "", x),
-        lambda x: re.sub(r"\b(break|continue|return\b.*)$", "pass", x),
-        lambda x: re.sub(r"^(\s*)from\s+(\S+)\s+import\s*$", r"\1import \2", x),
-    )
-    for k in dict.fromkeys((at, at - 1)):
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return getattr(e, "lineno", None) or 1, getattr(e, "msg", None) or str(e)
+    return None
+
+
+def _mended(source: str, line: int) -> str | None:
+    """The source with its error at that line mended: the first way after which it compiles, else the way after which the
+    next error is furthest down, but below this one; null if none gets further."""
+    lines, best = source.split("\n"), (line, None)
+    for k in dict.fromkeys((line - 1, line - 2)):
         if 0 <= k < len(lines):
-            for way in ways:
-                mended = "\n".join([*lines[:k], way(lines[k]), *lines[k + 1 :]])
-                try:
-                    compile(mended, "file", "exec")
-                    return mended
-                except (SyntaxError, ValueError):
-                    continue
+            for way in WAYS:
+                text = "\n".join([*lines[:k], way(lines[k]), *lines[k + 1 :]])
+                wrong = _error(text) if text != source else (0, "")
+                if wrong is None:
+                    return text
+                if wrong[0] > best[0]:
+                    best = wrong[0], text
+    return best[1]
+
+
+def syntax_errors(source: str) -> list[tuple[int, str]]:
+    """(line, message) of up to MOST_ERRORS syntax errors: each is mended in a scratch copy, or its line emptied, and the
+    next one looked for. It ends when nothing changes any more."""
+    found: list[tuple[int, str]] = []
+    while len(found) < MOST_ERRORS and (wrong := _error(source)) is not None:
+        if wrong in found:
+            break
+        found.append(wrong)
+        mended = _mended(source, wrong[0])
+        if mended is None:
+            lines, k = source.split("\n"), wrong[0] - 1
+            if not 0 <= k < len(lines):
+                break
+            lines[k] = re.match(r"\s*", lines[k])[0] + "pass"
+            mended = "\n".join(lines)
+        if mended == source:
+            break
+        source = mended
+    return sorted(found)
+
+
+def syntax_repair(source: str) -> str:
+    """The source with its syntax errors mended, if the known ways make it compile; else as it is."""
+    text = source
+    for _ in range(MOST_ERRORS):
+        wrong = _error(text)
+        if wrong is None:
+            return text
+        text = _mended(text, wrong[0])
+        if text is None:
+            break
     return source

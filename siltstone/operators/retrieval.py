@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from siltstone.functions.lineage import settled
+from siltstone.functions.vectors import dot, normalised
+
 LEAST_SCORE = 0.05
-#: Query vectors that go to every task at once; more queries take more passes over the records.
-QUERY_BLOCK = 20_000
+#: Query vectors that go to every task at once; more queries take more passes over the records. Products at once in a task.
+QUERY_BLOCK, PRODUCTS = 20_000, 4_000_000
 
 
 def top_k(queries: DataFrame, records: DataFrame, k: int, query_id: str = "query_id", record_id: str = "vec_id", vector: str = "embedding", least: float = LEAST_SCORE) -> DataFrame:
     """query_id, record id, similarity, rank: the k nearest records of each query by inner product, ties to the smaller id;
     then those over `least`, at most 1.
 
-    Queries are a stated set. Blocks of them are multiplied with the records of each partition, of which only the best k a
-    query go on, so the shuffle holds k rows a query and partition."""
+    Queries are a stated set. Blocks of them, one after another, are multiplied with the records of each partition, of which
+    only the best k a query go on, so the shuffle holds k rows a query and partition."""
     total = queries.count()
     numbered = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
     blocks = max(1, -(-total // QUERY_BLOCK))
-    found = [_pass(numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), records, k, record_id, vector) for b in range(blocks)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    every = None
+    for b in range(blocks):
+        found = _pass(numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), records, k, record_id, vector)
+        found = settled(found) if blocks > 1 else found  # one block's vectors at a time
+        every = found if every is None else every.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), record_id)
     ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.where(F.col("similarity") > least).withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
@@ -41,20 +46,32 @@ def _pass(queries: DataFrame, records: DataFrame, k: int, record_id: str, vector
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
         best, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        step = max(1, PRODUCTS // max(len(ids), 1))
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            here = batch.column(record_id).to_numpy(zero_copy_only=False).astype(np.int64)
-            block = np.array(batch.column(vector).to_pylist(), np.float64)
-            scores = np.concatenate([scores, matrix @ block.T], axis=1)
-            best = np.concatenate([best, np.broadcast_to(here, (len(ids), len(here)))], axis=1)
-            order = np.lexsort((best, -scores), axis=1)[:, :k]
-            best, scores = np.take_along_axis(best, order, 1), np.take_along_axis(scores, order, 1)
+            for at in range(0, len(batch) if len(ids) else 0, step):
+                part = batch.slice(at, step)
+                here = part.column(record_id).to_numpy(zero_copy_only=False).astype(np.int64)
+                block = np.array(part.column(vector).to_pylist(), np.float64)
+                scores = np.concatenate([scores, matrix @ block.T], axis=1)
+                best = np.concatenate([best, np.broadcast_to(here, (len(ids), len(here)))], axis=1)
+                order = np.lexsort((best, -scores), axis=1)[:, :k]
+                best, scores = np.take_along_axis(best, order, 1), np.take_along_axis(scores, order, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1]), pa.int64()), pa.array(best.ravel(), pa.int64()), pa.array(scores.ravel(), pa.float64())], names=["query_id", record_id, "similarity"])
 
     return records.select(F.col(record_id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(multiply, f"query_id long, {record_id} long, similarity double")
 
 
+def top_k_within(queries: DataFrame, artifacts: DataFrame, by: str, k: int, query_id: str = "query_id", record_id: str = "number", vector: str = "embedding", least: float = LEAST_SCORE) -> DataFrame:
+    """As top_k among the artifacts of the query's own group (`by`, a repository): ties go to the later artifact. A group holds
+    the bounded history of one repository, so its vectors travel as one array and no query meets another's."""
+    held = artifacts.where(F.col(vector).isNotNull()).groupBy(by).agg(F.collect_list(F.struct(F.col(record_id).alias("r"), F.col(vector).alias("v"))).alias("_held"))
+    scored = F.transform("_held", lambda h: F.struct(dot(F.col("_q"), h["v"]).alias("similarity"), h["r"].alias("r")))
+    best = F.slice(F.sort_array(scored, asc=False), 1, k)
+    rows = queries.select(F.col(query_id).alias("query_id"), by, F.col(vector).alias("_q")).join(held, by).select("query_id", F.posexplode(best).alias("_p", "h"))
+    found = rows.select("query_id", F.col("h.r").alias(record_id), F.col("h.similarity").alias("similarity"), (F.col("_p") + 1).alias("rank"))
+    return found.where(F.col("similarity") > least).withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
+
+
 def merged(hits: list[DataFrame], most: int = 6) -> DataFrame:
     """The best hits of several sources: by similarity, then source, then rank; at most `most` a query."""
     every = hits[0].withColumn("source_ord", F.lit(0))
@@ -79,10 +96,50 @@ def tf_idf_vocabulary(texts: DataFrame, stop_words: list[str], most: int = 5000)
 
 def hashed_vector(text: Column, dimensions: int = 64) -> Column:
     """A text as a normalised vector of hashed term counts: the encoder that needs no model."""
-    buckets = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    length = F.greatest(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
-    return F.transform(counts, lambda x: x / length)
+    buckets = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+    add = lambda v, b: F.transform(v, lambda x, i: F.when(i == b, x + 1.0).otherwise(x))
+    return normalised(F.aggregate(buckets, zero, add))
+
+
+#: What an artifact's vector is kept by.
+CACHE_KEY = ["source", "artifact_type", "number", "url"]
+
+
+def with_vectors(artifacts: DataFrame, cache: DataFrame, encode: Callable[[Column], Column] = hashed_vector, text: str = "text") -> DataFrame:
+    """Artifacts (CACHE_KEY, text) with `embedding`: the cached one, else the text's. Of several cached vectors of a key the
+    least counts; null parts of a key equal null."""
+    once = cache.groupBy(*CACHE_KEY).agg(F.min("embedding").alias("_cached"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in CACHE_KEY]
+    joined = artifacts.drop("embedding").alias("a").join(once.alias("c"), on, "left")
+    kept = [F.col(f"a.{c}") for c in artifacts.columns if c != "embedding"]
+    return joined.select(*kept, F.when(F.col("_cached").isNull(), encode(F.col(f"a.{text}"))).otherwise(F.col("_cached")).alias("embedding"), F.col("_cached").isNotNull().alias("was_cached"))
+
+
+def stored_vectors(records: DataFrame, path: str, encode: Callable[[Column], Column] = hashed_vector, text: str = "text", record_id: str = "id") -> tuple[DataFrame, bool]:
+    """The records' vectors (id, embedding) kept at a path, and whether they were made anew: stored ones count only if there
+    are as many as records and all have one length."""
+    spark = records.sparkSession
+    there = None
+    try:
+        there = spark.read.schema(f"{record_id} {dict(records.dtypes)[record_id]}, embedding array<double>").parquet(path)
+        found = status(there).first()
+        if found.consistent and found.records == records.count():
+            return there, False
+    except AnalysisException:  # nothing is stored yet
+        pass
+    records.select(record_id, encode(F.col(text)).alias("embedding")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), True
+
+
+def retrieved(findings: DataFrame, records: DataFrame, artifacts: DataFrame, repo: str = "repo", encode: Callable[[Column], Column] = hashed_vector, k: int = 3, most: int = 6) -> DataFrame:
+    """query_id, source_ord (0 knowledge base, 1 history), hit (id of the record, number of the artifact), similarity,
+    position: what is most like each finding (finding_id, repo, query: its text), of all records (id, embedding) and of its
+    repository's artifacts (number, embedding). Records and artifacts must come from the same encoder."""
+    queries = settled(findings.select(F.col("finding_id").cast("long").alias("query_id"), repo, encode(F.col("query")).alias("embedding")))
+    known = top_k(queries, records, k, record_id="id").withColumnRenamed("id", "hit")
+    own = top_k_within(queries, artifacts, repo, k).select("query_id", F.col("number").cast("long").alias("hit"), "similarity", "rank")
+    return merged([known.select("query_id", "hit", "similarity", "rank"), own], most).drop("rank")
 
 
 def status(records: DataFrame, vector: str = "embedding", *more: Column) -> DataFrame:

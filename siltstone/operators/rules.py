@@ -1,16 +1,24 @@
-"""Pattern rules: a table of rules joined to files by extension, matched on masked text inside the JVM.
+"""The detect driver: bracket scan, unreachable statements, pattern rules and Python rules, each file in one row.
 
-Users extend the table with rows of the same columns. A match's line comes from a marker put before each match of the
-whole text, so patterns may span lines and the work is linear in the text.
+Pattern rules are a table joined to files by extension; users extend it with rows of the same columns. They are matched
+on masked text inside the JVM. A match's line comes from a marker put before each match of the whole text, so patterns
+may span lines and the work is linear in the text. A file's findings are made where its row is: no text is shuffled, and
+files of different repositories never meet.
+
+Nulls: a null source is an empty file; a null file name has no extension and no findings. Repeated files are reported
+each. A structural error is its file's only finding. Further columns named as keys are carried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import balance, extension, line_text, mask, parity
-from siltstone.operators import brackets
+from siltstone.functions.text import balance, by_kind, extension, let, mask
+from siltstone.operators import brackets, python_rules
 
 MARK = "\u0001"
 _CATCH = r"catch\s*(\([^)]*\))?\s*\{\s*\}"
@@ -29,49 +37,92 @@ RULES = [
     ("leftover_debug_print", "Unnecessary Code", ".rb", r"\b(puts|p)\s*\(?"),
     ("leftover_debug_print", "Unnecessary Code", ".rs", r"\b(?:println!|print!|dbg!)\s*\("),
 ]
-#: How each extension's strings and templates are read; the others are "plain".
-TEMPLATE, RAW = ".js .jsx .ts .tsx".split(), [".go"]
 #: Extensions that a scan hands to the rules; for the others the rules exist but wait to be asked for.
 DISPATCHED = ".py .pyi .js .jsx .ts .tsx .java .c .cpp .cs .go .php".split()
 
 
+PYTHON = (".py", ".pyi")
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     rows = [(rule, kind, ext, "(?U)" + pattern, ext in DISPATCHED) for rule, kind, exts, pattern in RULES for ext in exts.split()]
     return spark.createDataFrame(rows, "rule string, bug_type string, ext string, pattern string, dispatched boolean")
 
 
-def masked(files: DataFrame) -> DataFrame:
-    """The files (file, source) with ext and masked text."""
-    ext = F.col("ext")
-    text = F.when(ext.isin(TEMPLATE), mask(F.col("source"), "template")).when(ext.isin(RAW), mask(F.col("source"), "raw")).otherwise(mask(F.col("source"), "plain"))
-    return files.withColumn("ext", extension(F.col("file"))).withColumn("masked", text)
+def _grouped(rules: DataFrame) -> DataFrame:
+    """One row an extension: its rules as an array, in order of rule and pattern."""
+    return rules.groupBy("ext").agg(F.array_sort(F.collect_list(F.struct("rule", "bug_type", "pattern"))).alias("_rules"))
 
 
-def pattern_findings(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """file, line_start, rule, bug_type, current_code for every match of every rule of a file's extension."""
-    rules = rule_table(files.sparkSession) if rules is None else rules
+def _with_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """The files with their masked text and the rules of their extension."""
     small = rules.limit(10_001).count() <= 10_000  # the table is broadcast only while it is small
-    hits = masked(files).join(F.broadcast(rules) if small else rules, "ext").withColumn("marked", F.regexp_replace(F.col("masked"), F.col("pattern"), F.lit(f"{MARK}$0")))
-    lines = hits.where(F.contains("marked", F.lit(MARK))).select("file", "source", "rule", "bug_type", F.posexplode(F.split("marked", "\n", -1)).alias("_pos", "_line"))
-    marks = F.char_length("_line") - F.char_length(F.replace("_line", F.lit(MARK), F.lit("")))
-    found = lines.where(marks > 0).select("file", "source", "rule", "bug_type", (F.col("_pos") + 1).alias("line_start"), F.explode(F.sequence(F.lit(1), marks)).alias("_k"))
-    return found.select("file", "line_start", "rule", "bug_type", line_text(F.col("source"), F.col("line_start")).alias("current_code"))
-
-
-def structural_findings(files: DataFrame) -> DataFrame:
-    """file, rule, bug_type of files whose brackets do not match; none if every bracket is closed as often as opened."""
-    wrong = F.when(~parity(F.col("source")), balance(F.col("source")))
-    return files.withColumn("rule", wrong).where(F.col("rule").isNotNull()).select("file", "rule", F.lit("Syntax Error").alias("bug_type"))
-
-
-def detect(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Structural errors; files without any get unreachable statements and the pattern rules.
-
-    Brace languages are scanned and give lines; for other files brackets alone are compared and the line is null."""
-    braced = F.coalesce(extension(F.col("file")).isin(brackets.BRACED), F.lit(False))
-    dead = F.col("rule") == "unreachable_code"
-    scanned = brackets.located_findings(files.where(braced)).withColumn("bug_type", F.when(dead, "Unnecessary Code").otherwise("Syntax Error"))
-    uneven = structural_findings(files.where(~braced)).withColumn("line_start", F.lit(None).cast("int")).withColumn("current_code", F.lit(""))
-    shaped = scanned.unionByName(uneven)
-    sound = files.join(shaped.where(~dead).select("file"), "file", "left_anti")
-    return shaped.select("file", "line_start", "rule", "bug_type", "current_code").unionByName(pattern_findings(sound, rules))
+    rows = files.withColumn("masked", by_kind(F.col("file"), lambda k: mask(F.col("source"), k)))
+    grouped = _grouped(rules)
+    return rows.join(F.broadcast(grouped) if small else grouped, "ext", "left")
+
+
+def _matches() -> F.Column:
+    """Array of (line_start, rule, bug_type, current_code) of all matches, from masked, source and _rules."""
+
+    def of_rule(r):
+        def of_lines(marked):
+            both = F.arrays_zip(F.split(marked, "\n", -1).alias("m"), F.split("source", "\n", -1).alias("s"))
+            lines = F.filter(F.transform(both, lambda z, i: F.struct((i + 1).alias("n"), z["m"].alias("m"), z["s"].alias("s"))), lambda x: F.contains(x["m"], F.lit(MARK)))
+            times = lambda x: F.char_length(x["m"]) - F.char_length(F.replace(x["m"], F.lit(MARK), F.lit("")))
+            finding = lambda x: F.struct(x["n"].alias("line_start"), r["rule"].alias("rule"), r["bug_type"].alias("bug_type"), F.trim(x["s"]).alias("current_code"))
+            return F.flatten(F.transform(lines, lambda x: F.array_repeat(finding(x), times(x))))
+
+        return let(F.regexp_replace("masked", r["pattern"], F.lit(f"{MARK}$0")), of_lines)
+
+    return F.flatten(F.transform("_rules", of_rule))
+
+
+def pattern_findings(files: DataFrame, rules: DataFrame | None = None, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The keys, line_start, rule, bug_type, current_code for every match of every rule of a file's extension."""
+    rules = rule_table(files.sparkSession) if rules is None else rules
+    rows = _with_rules(files.select(*key, "source").withColumn("ext", extension(F.col("file"))), rules).where("_rules IS NOT NULL")
+    return rows.select(*key, F.explode(_matches()).alias("f")).select(*key, "f.*")
+
+
+def structural_findings(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The keys, rule, bug_type of files whose brackets do not match; none if every bracket is closed as often as opened."""
+    wrong = by_kind(F.col("file"), lambda k: balance(F.col("source"), k))
+    return files.select(*key, F.explode(F.filter(F.array(wrong), lambda w: w.isNotNull() & (w != "unterminated_string"))).alias("rule")).withColumn("bug_type", F.lit("Syntax Error"))
+
+
+_SHAPES = "array<struct<line_start: int, rule: string, bug_type: string, current_code: string, detail: string>>"
+
+
+def _shapes(files: DataFrame) -> DataFrame:
+    """The rows with `_shapes`, what the bracket scan or the Python rules find, and `_open`, whether patterns are asked too."""
+    kind = pa.list_(pa.struct([("line_start", pa.int32()), ("rule", pa.string()), ("bug_type", pa.string()), ("current_code", pa.string()), ("detail", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes, open_ = [], []
+            for ext, source in zip(batch.column("ext").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                found = python_rules.findings(source) if ext in PYTHON else brackets.findings(source, ext) if ext in brackets.BRACED else []
+                lines = source.split("\n") if found else []
+                shapes.append([(line, rule, bug_type, lines[line - 1].strip() if 0 < line <= len(lines) else "", detail) for line, rule, bug_type, detail in found])
+                open_.append(all(rule == "unreachable_code" for _, rule, _, _ in found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, kind), pa.array(open_, pa.bool_())], names=[*batch.schema.names, "_shapes", "_open"])
+
+    columns = ", ".join(f"`{c}` {t}" for c, t in files.dtypes)
+    return files.mapInArrow(run, f"{columns}, _shapes {_SHAPES}, _open boolean")
+
+
+def detect(files: DataFrame, rules: DataFrame | None = None, key: tuple[str, ...] = ("file",), dispatched_only: bool = True) -> DataFrame:
+    """The keys, line_start, rule, bug_type, current_code, detail of all findings, in order of lines within a file.
+
+    Brace languages: a structural error alone, or unreachable statements and the pattern rules. Python: its own rules. Files
+    of other extensions have none. `dispatched_only` leaves out extensions that a scan does not hand to the rules."""
+    rules = rule_table(files.sparkSession) if rules is None else rules
+    files = files.select(*key, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(extension(F.col("file")), F.lit("")).alias("ext"))
+    if dispatched_only:
+        extra = [r.ext for r in rules.where("dispatched").select("ext").distinct().limit(10_000).collect()]
+        files = files.where(F.col("ext").isin(sorted({*DISPATCHED, *extra})))
+    rows = _with_rules(_shapes(files), rules)
+    patterns = F.transform(F.coalesce(_matches(), F.array().cast("array<struct<line_start: int, rule: string, bug_type: string, current_code: string>>")), lambda x: F.struct(x["line_start"], x["rule"], x["bug_type"], x["current_code"], F.lit("").alias("detail")))
+    both = F.concat(F.col("_shapes"), F.when(F.col("_open"), patterns).otherwise(F.array().cast(_SHAPES)).cast(_SHAPES))
+    return rows.select(*key, F.explode(F.array_sort(both)).alias("f")).select(*key, "f.*")

@@ -18,12 +18,15 @@ def q_mask_pages(spark, sf_dir):
 
 
 def _scripts(spark, sf_dir):
-    script = F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1)
-    return table(spark, sf_dir, "pages").select(F.format_string("page%d.js", "page_id").alias("file"), script.alias("source"))
+    """Every script of every page: page_id, file, source."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("k", "source"))
+    return rows.select("page_id", F.format_string("page%d_%d.js", "page_id", "k").alias("file"), "source")
 
 
-@query(r"""SELECT 'page' || page_id || '.js' AS file, 1 AS line_start, 'var_declaration' AS rule, trim(regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS current_code
-FROM pages WHERE regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) LIKE 'var %'""")
+SCRIPTS = r"(SELECT page_id, i - 1 AS k, s[i] AS source FROM (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages)))"
+
+
+@query(f"SELECT 'page' || page_id || '_' || k || '.js' AS file, 1 AS line_start, 'var_declaration' AS rule, trim(source) AS current_code FROM {SCRIPTS} WHERE source LIKE 'var %'")
 def q_page_scripts(spark, sf_dir):
     return rules.detect(_scripts(spark, sf_dir)).select("file", "line_start", "rule", "current_code")
 
@@ -65,7 +68,7 @@ def q_debug_print(spark, sf_dir):
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % 7 + 1).cast("int"))
     code = F.concat(F.lit("f(1)\n"), F.when(F.col("p_size") % 2 == 0, pick(prints)).otherwise(F.concat(F.lit("// "), pick(prints))))
     made = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey", pick(exts)).alias("file"), code.alias("source"))
-    return rules.detect(made).select("file", "line_start", "rule")
+    return rules.detect(made, dispatched_only=False).select("file", "line_start", "rule")
 
 
 def _brackets(spark, sf_dir):
@@ -203,6 +206,6 @@ def q_validate(spark, sf_dir):
     kind = F.when(k == 4, F.lit("add")).when(k == 5, F.lit("remove")).otherwise(F.lit("replace"))
     new = F.when(k == 1, F.lit("f(x")).when(k == 2, F.lit(" f(y) ")).when(k == 3, F.lit(" ")).otherwise(F.lit("f(x)"))
     line = validation.reported_line(F.lit("f(y)"), F.when(k == 5, F.lit(9)).otherwise(F.lit(1)), F.lit(1), F.lit("absent"))
-    wrong = validation.message(kind, F.lit("f(y)"), new, F.lit(""), line)
+    wrong = validation.message(kind, F.lit("a.java"), F.lit("f(y)"), new, F.lit(""), line)
     rows = table(spark, sf_dir, "part").select("p_partkey", wrong.alias("message"), (F.col("p_size") * 2).cast("string").alias("sure"))
-    return rows.select("p_partkey", "message", validation.applied(F.col("message"), F.col("sure"), F.lit(False)).alias("a")).select("p_partkey", "message", "a.*")
+    return rows.select("p_partkey", "message", validation.applied(F.col("message"), F.col("sure"), F.lit(False)).alias("a")).select("p_partkey", "message", "a.status", "a.confidence", "a.level")

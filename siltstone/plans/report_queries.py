@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunks, report, rules, validation
-from siltstone.plans.code_queries import _scripts
+from siltstone.functions.lineage import fresh_path
+from siltstone.operators import report, retrieval
+from siltstone.plans import scan
+from siltstone.plans.code_queries import SCRIPTS, _scripts
 from siltstone.plans.source_queries import query, table
+from siltstone.sources import history
 from siltstone.streaming import scan_jobs
 
 
-def q_scan_report(spark, sf_dir):
-    """Flagship: page scripts through the rules, each finding in its chunk, repaired, validated and summed up by rule."""
-    from siltstone.operators import repair
+def _explains(frames):
+    """An analyzer for the scan's own test: a cause and a solution for each finding, and no code."""
+    for frame in frames:
+        yield frame.assign(cause="seen", solution="mend it", confidence="80", unavailable=False)
 
-    made = _scripts(spark, sf_dir)
-    found = rules.detect(made).withColumn("finding_id", F.xxhash64("file", "line_start", "rule")).withColumn("line_end", F.col("line_start"))
-    parts = chunks.blocks(made).select("file", "line_start", "line_end", F.col("line_start").alias("chunk"), "code")
-    placed = chunks.best_chunk(found, parts, "finding_id", "chunk").join(parts.select("file", "chunk", "code"), ["file", "chunk"])
-    fixed = placed.withColumn("fix", repair.repaired(F.col("rule"), F.col("code"), F.lit(".js"), F.col("line_start")))
-    judged = fixed.withColumn("a", validation.applied(validation.message(F.lit("replace"), F.col("code"), F.col("fix"), F.lit(""), F.lit(1)), F.lit("80"), F.lit(False)))
-    return report.summary(judged.select("rule", "a.confidence", F.lit(True).alias("unavailable")), "rule")
 
+def q_scan_report(spark, sf_dir):
+    """Flagship: all page scripts through detection, chunks, retrieval, analysis, repair and validation, summed up by rule."""
+    files = _scripts(spark, sf_dir).select((F.col("page_id") % 20).cast("string").alias("repo"), "file", "source")
+    known = table(spark, sf_dir, "benchmark").select(F.monotonically_increasing_id().alias("id"), F.col("text").alias("bug_description"), retrieval.hashed_vector(F.col("text")).alias("embedding"))
+    said = table(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") % 20).cast("string").alias("repo"), F.col("conv_id").alias("number"), F.lit("issue").alias("artifact_type"), F.col("text").alias("body"), F.date_format(F.timestamp_seconds("conv_id"), "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), F.lit(False).alias("is_pull_request"))
+    past = history.issues(said).withColumn("embedding", retrieval.hashed_vector(F.col("body")))
+    found = scan.scan(files, known, past, _explains)
+    return report.summary(found.withColumn("unavailable", F.col("unavailable") | (F.col("validation_status") != "valid")), "rule")
 
-query("""
-SELECT 'var_declaration' AS rule, count(*)::BIGINT AS bugs, 80 AS confidence, true AS any_unavailable, CASE WHEN count(*) <= 10 THEN 'Less Errors' WHEN count(*) <= 30 THEN 'Medium Errors' ELSE 'More Errors' END AS error_level, 'High' AS confidence_level
-FROM pages WHERE regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) LIKE 'var %' HAVING count(*) > 0""")(q_scan_report)
+
+query(f"""
+SELECT 'var_declaration' AS rule, count(*)::BIGINT AS bugs, 80 AS confidence, false AS any_unavailable, CASE WHEN count(*) <= 10 THEN 'Less Errors' WHEN count(*) <= 30 THEN 'Medium Errors' ELSE 'More Errors' END AS error_level, 'High' AS confidence_level
+FROM {SCRIPTS} WHERE source LIKE 'var %' HAVING count(*) > 0""")(q_scan_report)
 
 
 @query("""
@@ -54,13 +57,6 @@ def q_report_numbers(spark, sf_dir):
     return report.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", partitions=8).select("o_orderkey", F.col("number").cast("long").alias("number"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE 'Pull Request - #' || p_partkey || ' - ' || p_brand END AS description, round_even(p_size / 7.0 * 10, 0) / 10 AS similarity FROM part""")
-def q_evidence_projection(spark, sf_dir):
-    text = report.evidence_text(F.when(F.col("p_size") % 3 == 0, F.col("p_name")), F.col("p_brand"), F.col("p_partkey"), F.lit("pull_request"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("description"), (F.bround(F.col("p_size") / F.lit(7.0) * 10, 0) / 10).alias("similarity"))
-
-
 @query("""
 SELECT s_suppkey, s_nationkey AS provider, ((place - 2 + 1000000 * n) % n)::INT AS use FROM (
   SELECT *, row_number() OVER (ORDER BY turn, s_nationkey) - 1 AS place, count(*) OVER () AS n FROM (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS turn FROM supplier))""")
@@ -69,12 +65,6 @@ def q_key_rotation(spark, sf_dir):
     return report.rotated(s.unionByName(s), 2).select(F.col("number").alias("s_suppkey"), "provider", "use")
 
 
-@query("SELECT s_suppkey, '' AS cause, true AS unavailable FROM supplier")
-def q_offline_analysis(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("finding_id"), report.prompt(F.col("s_name"), F.lit("eq_none"), F.lit("e"), F.lit("x == None"), F.array(F.lit("similar"))).alias("prompt"))
-    return report.analyzed(rows).select(F.col("finding_id").alias("s_suppkey"), "cause", "unavailable")
-
-
 @query("""
 SELECT event_id, done::BIGINT AS done, (25 + floor(done / total * 45))::INT AS percent FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events)""")
 def q_progress(spark, sf_dir):
@@ -95,7 +85,7 @@ def q_cursor(spark, sf_dir):
 def q_stream_cursor(spark, sf_dir):
     """The events as a stream of files, drained into a table; a second call finds nothing new."""
     events = table(spark, sf_dir, "events")
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-")).rstrip("/") + f"/stream-{uuid4().hex}"
+    shared = fresh_path(spark, "stream")
     log = f"{shared}/log"
     events.select("event_id", "user_id").write.parquet(log)
     for _ in range(2):

@@ -70,10 +70,10 @@ def q_language_map(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, (len(regexp_extract_all(b, '[\x00-\x08\x0E-\x1F]')) > 0.3 * length(b)) AND length(b) > 0 AS is_binary
-FROM (SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN repeat(chr(2), (doc_id % 50)::INT) || substr(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 1, 60) ELSE regexp_replace(text, '[^\x00-\x7F]', '', 'g') END, '') AS b FROM documents)""")
+FROM (SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN replace(p, ' ', repeat(chr(2), (doc_id % 9)::INT)) ELSE p END, '')[:8192] AS b FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS p FROM documents))""")
 def q_binary_ratio(spark, sf_dir):
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    noisy = F.concat(F.repeat(F.lit("\x02"), (F.col("doc_id") % 50).cast("int")), F.substring(plain, 1, 60))
+    noisy = F.replace(plain, F.lit(" "), F.repeat(F.lit("\x02"), (F.col("doc_id") % 9).cast("int")))
     content = F.coalesce(F.when(F.col("doc_id") % 3 == 0, noisy).otherwise(plain), F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", files.is_binary(content.cast("binary")).alias("is_binary"))
 
@@ -170,11 +170,11 @@ STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "
 
 
 @query(r"""
-WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+WITH w AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents),
 c AS (SELECT term, count(*)::BIGINT AS total, count(DISTINCT item_id)::BIGINT AS docs FROM w WHERE length(term) > 1 AND term NOT IN (""" + ", ".join(f"'{w}'" for w in STOP_WORDS) + r""") GROUP BY term ORDER BY total DESC, term LIMIT 5000)
-SELECT term, total, docs, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + docs)) + 1, 6) AS idf FROM c""")
+SELECT term, total, docs, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1 + docs)) + 1, 6) AS idf FROM c""")
 def q_tfidf_fit(spark, sf_dir):
-    return retrieval.tf_idf_vocabulary(table(spark, sf_dir, "benchmark"), STOP_WORDS).withColumn("idf", F.round("idf", 6))
+    return retrieval.tf_idf_vocabulary(table(spark, sf_dir, "documents"), STOP_WORDS).withColumn("idf", F.round("idf", 6))
 
 
 @query("""

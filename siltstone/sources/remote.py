@@ -1,23 +1,31 @@
-"""A repository host as a Spark data source: the tree is planned on the driver, files are fetched by the tasks.
-
-    spark.dataSource.register(RepositorySource)
-    spark.read.format("repository").option("owner", o).option("repo", r).option("branch", b).load()
-
-Options `api` and `raw` name the host's addresses; `token` is sent as a bearer and never logged. A file that cannot be
-fetched, holds a NUL or is not UTF-8 gives no row.
+"""A repository host as Spark data sources: what to read is planned on the driver, the tasks fetch it.
+
+    for source in (RepositorySource, StatusSource, HistorySource):
+        spark.dataSource.register(source)
+    spark.read.format("repository").option("owner", o).option("repo", r).option("branch", b).load()     # file, source
+    spark.read.format("repository_status").option("owner", o).option("repo", r).load()                  # one row
+    spark.read.format("repository_history").option("owner", o).option("repo", r).option("kind", "issue").load()
+
+Options `api` and `raw` name the host's addresses; `token` is sent as a bearer and never logged. A request that fails is
+tried again; one that keeps failing ends the job, as part of a repository is no repository, unless `skip_failures` is
+true: then it gives a row with a null source and its reason in `failure`. A file that holds a NUL or is not UTF-8 gives no
+row. A listing that the host has cut short is an error, unless `allow_truncated` is true.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltstone.sources.files import REMOTE_SKIP_ENDINGS, SKIP_FOLDERS, SOURCE_EXTENSIONS
 
-FILES_A_TASK, SECONDS = 50, 25
+FILES_A_TASK, SECONDS, ATTEMPTS, WAIT = 50, 25, 3, 1.0
+PAGE, MOST_ITEMS, MOST_COMMENTS, PATCH_CHARS = 100, 30, 20, 30_000
 
 
 def wanted(entry: dict) -> bool:
@@ -27,12 +35,37 @@ def wanted(entry: dict) -> bool:
     return bool(entry.get("type") == "blob" and isinstance(entry.get("size"), int) and entry["size"] > 0 and not set(folders) & set(SKIP_FOLDERS) and not name.endswith(tuple(REMOTE_SKIP_ENDINGS)) and dot > 0 and name[dot:] in SOURCE_EXTENSIONS)
 
 
-class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def paginated(fetch: Callable[[str], bytes], url: str, most: int) -> list[dict]:
+    """Items of a paged listing, at most `most`: pages are asked for until one is short, empty or no list."""
+    found: list[dict] = []
+    size, page = min(PAGE, most), 1
+    while 0 < size and len(found) < most:
+        items = json.loads(fetch(f"{url}{'&' if '?' in url else '?'}page={page}&per_page={size}"))
+        if not isinstance(items, list) or not items:
+            break
+        found += items
+        if len(items) < size:
+            break
+        page += 1
+    return found[:most]
+
+
+def reason(error: Exception) -> str:
+    """A failed request in a few words, without its address."""
+    if isinstance(error, urllib.error.HTTPError):
+        limited = error.code == 403 and error.headers.get("X-RateLimit-Remaining") == "0"
+        return "rate limit exceeded" if limited else {401: "credentials rejected", 403: "access denied", 404: "not found"}.get(error.code, f"status {error.code}")
+    return "unreachable"
+
 
+class Part(InputPartition):
+    def __init__(self, items: list):
+        self.items = items
+
+
+class HostReader(DataSourceReader):
+    """Requests with the options' token, tried again after what may pass."""
 
-class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
@@ -40,26 +73,83 @@ class RepositoryReader(DataSourceReader):
         request = urllib.request.Request(url)
         if token := self.options.get("token"):
             request.add_header("Authorization", f"Bearer {token}")
-        with urllib.request.urlopen(request, timeout=SECONDS) as reply:
-            return reply.read()
+        for attempt in range(ATTEMPTS):
+            try:
+                with urllib.request.urlopen(request, timeout=SECONDS) as reply:
+                    return reply.read()
+            except OSError as e:
+                lasting = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code != 429
+                if lasting or attempt == ATTEMPTS - 1:
+                    raise
+                time.sleep(WAIT * (attempt + 1))
+        raise AssertionError
+
+    def on(self, name: str) -> bool:
+        return str(self.options.get(name, "")).lower() == "true"
+
+    def address(self, tail: str) -> str:
+        o = self.options
+        return f"{o['api']}/repos/{o['owner']}/{o['repo']}{tail}"
 
+
+class RepositoryReader(HostReader):
     def partitions(self) -> list[InputPartition]:
-        o = self.options
-        tree = json.loads(self.fetch(f"{o['api']}/repos/{o['owner']}/{o['repo']}/git/trees/{o['branch']}?recursive=1"))["tree"]
-        paths = sorted(e["path"] for e in tree if wanted(e))
+        listing = json.loads(self.fetch(self.address(f"/git/trees/{self.options['branch']}?recursive=1")))
+        if listing.get("truncated") and not self.on("allow_truncated"):
+            raise ValueError("the host cut the listing short; allow_truncated takes what there is")
+        paths = sorted(e["path"] for e in listing["tree"] if wanted(e))
         if not paths:
             raise ValueError("the repository has no source files")
-        return [Files(paths[k : k + FILES_A_TASK]) for k in range(0, len(paths), FILES_A_TASK)]
+        return [Part(paths[k : k + FILES_A_TASK]) for k in range(0, len(paths), FILES_A_TASK)]
 
-    def read(self, partition: Files) -> Iterator[tuple[str, str]]:
+    def read(self, partition: Part) -> Iterator[tuple[str, str | None, str | None]]:
         o = self.options
-        for path in partition.paths:
+        for path in partition.items:
             try:
                 content = self.fetch(f"{o['raw']}/{o['owner']}/{o['repo']}/{o['branch']}/{path}")
-                if b"\x00" not in content:
-                    yield path, content.decode("utf-8")
-            except (OSError, UnicodeDecodeError):
+            except OSError as e:
+                if not self.on("skip_failures"):
+                    raise ValueError(f"{path}: {reason(e)}") from e
+                yield path, None, reason(e)
                 continue
+            if b"\x00" not in content:
+                try:
+                    yield path, content.decode("utf-8"), None
+                except UnicodeDecodeError:
+                    continue
+
+
+class StatusReader(HostReader):
+    def read(self, partition) -> Iterator[tuple]:
+        o = self.options
+        try:
+            found = json.loads(self.fetch(self.address("")))
+            yield o["owner"], o["repo"], "valid", None, found.get("full_name") or f"{o['owner']}/{o['repo']}", found.get("default_branch") or "main", found.get("description"), bool(found.get("private"))
+        except (OSError, ValueError) as e:
+            yield o["owner"], o["repo"], "invalid", reason(e) if isinstance(e, OSError) else "no JSON", None, None, None, None
+
+
+class HistoryReader(HostReader):
+    """The latest issues, or pull requests with their patches, and the first comments of each."""
+
+    def partitions(self) -> list[InputPartition]:
+        kind = self.options.get("kind", "issue")
+        most = int(self.options.get("most", MOST_ITEMS))
+        path = "/issues" if kind == "issue" else "/pulls"
+        items = paginated(self.fetch, self.address(f"{path}?state=all&sort=updated&direction=desc"), 2 * most)
+        items = [i for i in items if kind != "issue" or not i.get("pull_request")][:most]
+        return [Part([i]) for i in items]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        o = self.options
+        for item in partition.items:
+            number, comments, patch = item.get("number"), [], None
+            if number is not None:
+                comments = [c.get("body") for c in paginated(self.fetch, self.address(f"/issues/{number}/comments"), MOST_COMMENTS)]
+                if o.get("kind", "issue") != "issue":
+                    patch = self.fetch(self.address(f"/pulls/{number}.patch")).decode("utf-8", "replace")[:PATCH_CHARS]
+            labels = [(x.get("name") if isinstance(x, dict) else str(x),) for x in item.get("labels") or []]
+            yield f"{o['owner']}/{o['repo']}", number, item.get("title"), item.get("body"), item.get("state"), labels, comments, item.get("html_url"), item.get("created_at"), item.get("updated_at"), item.get("merged_at"), patch
 
 
 class RepositorySource(DataSource):
@@ -68,7 +158,36 @@ class RepositorySource(DataSource):
         return "repository"
 
     def schema(self) -> str:
-        return "file string, source string"
+        return "file string, source string, failure string"
 
     def reader(self, schema) -> RepositoryReader:
         return RepositoryReader(self.options)
+
+
+class StatusSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "repository_status"
+
+    def schema(self) -> str:
+        return "owner string, repo string, status string, message string, full_name string, default_branch string, description string, private boolean"
+
+    def reader(self, schema) -> StatusReader:
+        return StatusReader(self.options)
+
+
+class HistorySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "repository_history"
+
+    def schema(self) -> str:
+        return "repo string, number long, title string, body string, state string, labels array<struct<name: string>>, comments array<string>, html_url string, created_at string, updated_at string, merged_at string, patch string"
+
+    def reader(self, schema) -> HistoryReader:
+        return HistoryReader(self.options)
+
+
+def token_status(token: str | None) -> str:
+    """Whether there is a token, and its first four signs."""
+    return f"present ({token[:4]}...)" if token and token.strip() else "absent"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from siltstone.functions.lineage import settled
+
 #: Percent at which the phases of reading files and of analysis begin, and how much each adds.
 FILES, ANALYSIS = (25, 45), (70, 25)
 
@@ -15,11 +17,29 @@ def percent(done: Column, total: Column, phase: tuple[int, int]) -> Column:
     return (F.lit(begin) + F.floor(done / F.greatest(total, F.lit(1)) * more)).cast("int")
 
 
-def progress(events: DataFrame, job: str, order: str, phase: tuple[int, int] = FILES) -> DataFrame:
-    """Each event with how many of its job are done by then, and the percentage."""
-    by_order = Window.partitionBy(job).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    done, total = F.count("*").over(by_order), F.count("*").over(Window.partitionBy(job))
-    return events.withColumn("done", done).withColumn("percent", percent(done, total, phase))
+def progress(events: DataFrame, job: str, order: str, phase: tuple[int, int] = FILES, partitions: int = 64) -> DataFrame:
+    """Each event with how many of its job are done by then, and the percentage. Ranges of (job, order) are counted and ranked
+    each on its own, so a job of many events is no single task's."""
+    ranged = settled(events.repartitionByRange(partitions, job, order).withColumn("_part", F.spark_partition_id()))
+    ranked = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part", job).orderBy(order)))
+    counts = ranked.groupBy("_part", job).agg(F.count("*").alias("_n"))
+    of_job = Window.partitionBy(job)
+    before = of_job.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", F.col(job).alias("_job"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(of_job).alias("_total"))
+    joined = ranked.alias("r").join(bases.alias("b"), (F.col("r._part") == F.col("b._part")) & F.col(job).eqNullSafe(F.col("_job")))
+    done = F.col("_base") + F.col("_k")
+    return joined.select(*[F.col(f"r.{c}") for c in events.columns], done.alias("done"), percent(done, F.col("_total"), phase).alias("percent"))
+
+
+#: Percent of a job at the start of each step; the two with counts go on from there.
+STEPS = {"queued": 0, "started": 2, "checked": 8, "downloaded": 15, "history": 18, "files": 25, "analysis": 70, "reports": 97, "summary": 99, "completed": 100}
+
+
+def state(step: Column, done: Column, total: Column) -> Column:
+    """struct(status, percent) of a job at a step: queued, running, completed or failed; a failed job keeps no percentage."""
+    at = F.create_map(*[F.lit(x) for pair in STEPS.items() for x in pair])[step]
+    reached = F.when(step == "files", percent(done, total, FILES)).when(step == "analysis", percent(done, total, ANALYSIS)).otherwise(at)
+    return F.struct(F.when(step.isin("queued", "completed", "failed"), step).otherwise("running").alias("status"), reached.alias("percent"))
 
 
 def latest(events: DataFrame, job: str, order: str, *state: str) -> DataFrame:

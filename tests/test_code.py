@@ -83,7 +83,7 @@ def test_detect_gives_structural_findings_alone_and_joins_unreachable_ones(spark
     got = sorted((r.file, r.line_start, r.rule, r.current_code) for r in rules.detect(made).collect())
     assert got == [
         ("a.js", 2, "unclosed_bracket", "f(["), ("b.js", 2, "unterminated_string", "x = 'open"),
-        ("c.js", 3, "unreachable_code", "g();"), ("c.js", 5, "var_declaration", "var c;"), ("d.py", None, "unclosed_bracket", ""),
+        ("c.js", 3, "unreachable_code", "g();"), ("c.js", 5, "var_declaration", "var c;"), ("d.py", 1, "syntax_error", "f("),
     ]
 
 
@@ -92,6 +92,8 @@ def test_scan_report_counts_broken_and_unreachable_scripts(spark, tmp_path):
 
     scripts = ["f([", "x = 'open", "function f() {\n return 1;\n g();\n}", "var a = 1;"]
     spark.createDataFrame([(i, "u", f"<p><script>{s}</script>") for i, s in enumerate(scripts)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("benchmark", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r.rule: r.bugs for r in registry.QUERIES["q_scan_report"](spark, str(tmp_path)).collect()}
     assert got == {"unclosed_bracket": 1, "unterminated_string": 1, "unreachable_code": 1, "var_declaration": 1}
 
@@ -118,7 +120,7 @@ def test_sources(spark, tmp_path):
     assert got == {"a.py": "x = 1\n", "e.ts": "caf\ufffd"}
     (tmp_path / "kb").mkdir()
     (tmp_path / "kb" / "set.jsonl").write_text('{"id": "1", "buggy_code": "x", "language": "python", "error": "E"}\n\nnot json\n{"id": "2", "buggy_code": " "}\n')
-    assert [(r.id, r.dataset_file, r.bug_description) for r in knowledge.load(spark, str(tmp_path / "kb")).collect()] == [("1", "set", "python bug: E")]
+    assert [(r.id, r.dataset_source, r.bug_description) for r in knowledge.load(spark, str(tmp_path / "kb")).collect()] == [("1", "set", "python bug: E")]
     assert remote.wanted({"type": "blob", "path": "a/b.py", "size": 3}) and not remote.wanted({"type": "blob", "path": "dist/b.py", "size": 3})
 
 
@@ -132,7 +134,101 @@ def test_repository_source_reads_through_a_stub(spark):
             return {"a.py": b"A", "b.py": b"B\x00", "bad.py": b"\xff"}[url.rsplit("/", 1)[1]]
 
     reader = Stub({"api": "https://host", "raw": "https://raw", "owner": "o", "repo": "r", "branch": "main"})
-    assert [row for part in reader.partitions() for row in reader.read(part)] == [("a.py", "A")]
+    assert [row for part in reader.partitions() for row in reader.read(part)] == [("a.py", "A", None)]
+
+
+OPTIONS = {"api": "https://host", "raw": "https://raw", "owner": "o", "repo": "r", "branch": "main"}
+
+
+def test_failed_files_and_cut_listings_are_errors(monkeypatch):
+    import json
+    import urllib.error
+
+    class Broken(remote.RepositoryReader):
+        def fetch(self, url):
+            if "/git/trees/" in url:
+                return json.dumps({"truncated": True, "tree": [{"type": "blob", "path": "a.py", "size": 1}]}).encode()
+            raise urllib.error.HTTPError(url, 403, "no", {"X-RateLimit-Remaining": "0"}, None)
+
+    with pytest.raises(ValueError, match="short"):
+        Broken(OPTIONS).partitions()
+    part = Broken(OPTIONS | {"allow_truncated": "true"}).partitions()[0]
+    with pytest.raises(ValueError, match="rate limit"):
+        list(Broken(OPTIONS).read(part))
+    assert list(Broken(OPTIONS | {"skip_failures": "true"}).read(part)) == [("a.py", None, "rate limit exceeded")]
+
+
+def test_requests_are_tried_again(monkeypatch):
+    import io
+    import urllib.error
+
+    asked = []
+
+    def fake(request, timeout):
+        asked.append(request)
+        if len(asked) < 3:
+            raise urllib.error.URLError("later")
+        return io.BytesIO(b"ok")
+
+    monkeypatch.setattr(remote.urllib.request, "urlopen", fake)
+    monkeypatch.setattr(remote, "WAIT", 0)
+    assert remote.StatusReader(OPTIONS | {"token": "secret"}).fetch("https://host/x") == b"ok" and len(asked) == 3
+    assert asked[0].get_header("Authorization") == "Bearer secret" and remote.token_status("secret") == "present (secr...)" and remote.token_status(" ") == "absent"
+
+
+def test_pages_status_and_history_through_stubs():
+    import json
+
+    pages = {1: list(range(5)), 2: list(range(5, 8)), 3: []}
+    ask = lambda url: json.dumps([{"n": n} for n in pages[int(url.split("page=")[1].split("&")[0])]]).encode()
+    assert [i["n"] for i in remote.paginated(ask, "https://host/x?a=1", 5)] == [0, 1, 2, 3, 4] and remote.paginated(ask, "https://host/x", 0) == []
+    assert remote.paginated(lambda _: b'{"message": "no list"}', "https://host/x", 5) == []
+
+    class Status(remote.StatusReader):
+        def fetch(self, url):
+            if self.options["repo"] == "gone":
+                raise OSError
+            return b'{"full_name": "o/r", "private": true}'
+
+    assert list(Status(OPTIONS).read(None)) == [("o", "r", "valid", None, "o/r", "main", None, True)]
+    assert list(Status(OPTIONS | {"repo": "gone"}).read(None))[0][2:4] == ("invalid", "unreachable")
+
+    class History(remote.HistoryReader):
+        def fetch(self, url):
+            if "/comments" in url:
+                return json.dumps([{"body": f"c{i}"} for i in range(30)][: 20 if "page=1" in url else 0]).encode()
+            if url.endswith(".patch"):
+                return b"p" * 40_000
+            return json.dumps([{"number": 1, "title": "t", "labels": [{"name": "bug"}], "merged_at": "x"}, {"number": 2, "pull_request": {"url": "u"}}][: 2 if "page=1" in url else 0]).encode()
+
+    issues = [r for part in History(OPTIONS).partitions() for r in History(OPTIONS).read(part)]
+    assert [(r[1], r[5], len(r[6]), r[11]) for r in issues] == [(1, [("bug",)], 20, None)]
+    pulls = [r for part in History(OPTIONS | {"kind": "pull"}).partitions() for r in History(OPTIONS | {"kind": "pull"}).read(part)]
+    assert [(r[1], len(r[11])) for r in pulls] == [(1, 30_000), (2, 30_000)]
+
+
+def test_normalisers_of_folders_and_runs(spark, tmp_path):
+    for bug, patch, about in (("1", "--- a\n+++ b\n-x = 1\n+x = 2", 'bug_report="wrong"\nbug_id=7'), ("2", "--- a\n+++ b\n same", None), ("3", "-gone", None)):
+        folder = tmp_path / "projects" / "p" / "bugs" / bug
+        folder.mkdir(parents=True)
+        (folder / "bug_patch.txt").write_text(patch)
+        if about:
+            (folder / "bug_info.txt").write_text(about)
+    got = {r.id: (r.buggy_code, r.fixed_code, r.bug_description, dict(r.metadata)) for r in knowledge.patch_folder(spark, str(tmp_path / "projects")).collect()}
+    assert got == {"bugsinpy_p_1": ("x = 1", "x = 2", "wrong", {"bug_report": "wrong", "bug_id": "7"}), "bugsinpy_p_3": ("gone", "", None, {"bug_id": "3"})}
+    knowledge.save(spark.createDataFrame([("1", "a = b", "java")], "id string, buggy_code string, language string"), str(tmp_path / "kb.json"))
+    assert [r.buggy_code for r in knowledge.load(spark, str(tmp_path / "kb.json")).collect()] == ["a = b"]
+
+
+def test_detect_tells_repositories_apart_and_honours_dispatch(spark):
+    rows = [("r1", "b.js", "debugger;"), ("r2", "b.js", "f(["), ("r1", "c.js", "f(a[1);"), ("r1", "d.ts", "`open"), ("r1", "e.go", "x := `a\\`; f()"), ("r1", "f.rs", 'println!("x")'), ("r1", "g.py", "import os\nx = (1,\ny = [2\n"), ("r1", "h.jsx", "const a = <p className='x'>( fine {f(')')} </p>;\nvar b = a < c;"), (None, "b.js", "var q"), ("r1", None, "x"), ("r1", "i.js", None)]
+    made = spark.createDataFrame(rows, "repo string, file string, source string").withColumn("rule", F.lit("clash"))
+    got = sorted((str(r.repo), r.file, r.line_start, r.rule) for r in rules.detect(made, key=("repo", "file")).collect())
+    assert got == [
+        ("None", "b.js", 1, "var_declaration"), ("r1", "b.js", 1, "leftover_debugger_statement"), ("r1", "c.js", 1, "mismatched_bracket"), ("r1", "d.ts", 1, "unterminated_template_literal"),
+        ("r1", "g.py", 2, "syntax_error"), ("r1", "g.py", 3, "syntax_error"), ("r1", "h.jsx", 2, "var_declaration"), ("r2", "b.js", 1, "unclosed_bracket"),
+    ]
+    assert {r.file for r in rules.detect(made, key=("repo", "file"), dispatched_only=False).collect()} >= {"f.rs"}
 
 
 def test_top_k_in_several_passes_equals_one(spark, monkeypatch):

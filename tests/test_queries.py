@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from siltstone.plans import registry
@@ -20,7 +21,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v
     return sorted((tuple(map(clean, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
