@@ -7,8 +7,9 @@ to the shards in random order, the rows are exchanged, and each shard is permute
 ordered in blocks of a bounded number of rows, so neither a task nor the driver ever holds a whole shard.
 
 Nulls: a null text has 8 bytes and the checksum of the empty text; a null doc_id is carried. Repeated rows are dealt each
-on its own: under this law equal texts need not stay together. An empty table gives no rows; added columns replace
-columns of the same name.
+on its own: under this law equal texts need not stay together. Ties do not matter, since keys are random. A very long
+text counts like any other, as only rows are equal. An empty table gives no rows; added columns replace columns of the
+same name.
 """
 
 from __future__ import annotations
@@ -28,16 +29,59 @@ SEED = 20_240_601
 BLOCK_ROWS = 50_000
 
 
+#: numpy's own sampler takes fewer rows than this.
+NUMPY_ROWS = 1_000_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many good ones are among `drawn` of good + bad, drawn without replacement; exact to double precision at any size.
+
+    Beyond numpy's bound the distribution is laid out around its mode by the ratios of neighbouring probabilities, as far
+    as they matter (twelve standard deviations), and inverted."""
+    total = good + bad
+    if total < NUMPY_ROWS:
+        return int(rng.hypergeometric(good, bad, drawn)) if drawn and good else 0
+    low, high = max(0, drawn - bad), min(good, drawn)
+    mode = min(max((drawn + 1) * (good + 1) // (total + 2), low), high)
+    spread = int(12 * np.sqrt(drawn / total * (good / total) * (1 - good / total) * (total - drawn) + 1)) + 40
+    first, last = max(low, mode - spread), min(high, mode + spread)
+    k = np.arange(first, last, dtype=np.float64)  # log P(k + 1) - log P(k)
+    steps = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(float(bad - drawn + 1) + k)
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    weight = np.exp(log - log.max())
+    return first + int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum(), side="right").clip(0, last - first))
+
+
+def _draw(rng: np.random.Generator, lacking: np.ndarray, drawn: int) -> np.ndarray:
+    """How many of `drawn` rows go to each shard, of what the shards still lack."""
+    if int(lacking.sum()) < NUMPY_ROWS:
+        return rng.multivariate_hypergeometric(lacking, drawn, method="marginals")
+    out, rest = np.zeros(len(lacking), np.int64), int(lacking.sum())
+    for j, n in enumerate(lacking.tolist()):
+        rest -= n
+        out[j] = hypergeometric(rng, n, rest, drawn)
+        drawn -= int(out[j])
+    return out
+
+
 def communication_matrix(partition_rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Row i: how many rows partition i sends to each shard. Row sums are partition_rows, column sums the shard sizes."""
+    """Row i: how many rows partition i sends to each shard. Row sums are partition_rows, column sums the shard sizes.
+
+    The partitions are halved again and again, and what each half sends is drawn, so that large totals meet few draws."""
     total = int(partition_rows.sum())
     lacking = np.full(shards, total // shards, np.int64)
     lacking[: total % shards] += 1
     rng = np.random.default_rng([seed, 0])
-    out = np.empty((len(partition_rows), shards), np.int64)
-    for i, n in enumerate(partition_rows):
-        out[i] = rng.multivariate_hypergeometric(lacking, int(n), method="marginals")
-        lacking -= out[i]
+    out = np.zeros((len(partition_rows), shards), np.int64)
+    todo = [(0, len(partition_rows), lacking)]
+    while todo:
+        lo, hi, lacking = todo.pop()
+        if hi - lo == 1:
+            out[lo] = lacking
+        elif hi > lo:
+            mid = (lo + hi) // 2
+            left = _draw(rng, lacking, int(partition_rows[lo:mid].sum()))
+            todo += [(mid, hi, lacking - left), (lo, mid, left)]
     return out
 
 

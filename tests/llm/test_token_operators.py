@@ -2,6 +2,8 @@ import random
 import time
 import zlib
 from collections import Counter
+from itertools import product
+from math import comb
 
 import numpy as np
 import pytest
@@ -159,3 +161,29 @@ def test_matrix_has_exact_margins_and_right_expectation():
     drawn = np.array([sharding.communication_matrix(rows, 5, s) for s in range(300)])
     assert (drawn.sum(axis=2) == rows).all() and set(drawn.sum(axis=1).ravel()) <= {127, 128}
     assert abs(drawn[:, 3, 0].mean() - 500 / 5) < 2
+
+
+def test_matrix_follows_its_law_with_both_samplers(monkeypatch):
+    def law(drawn):  # two shards of three slots each, three partitions of two rows: every way of dealing is as likely
+        return Counter(tuple(sharding.communication_matrix(np.array([2, 2, 2]), 2, s)[:, 0].tolist()) for s in range(drawn))
+
+    ways = {w: comb(2, w[0]) * comb(2, w[1]) * comb(2, w[2]) / comb(6, 3) for w in product(range(3), repeat=3) if sum(w) == 3}
+    for most in (sharding.NUMPY_ROWS, 0):
+        monkeypatch.setattr(sharding, "NUMPY_ROWS", most)
+        seen = law(3000)
+        assert set(seen) == set(ways) and sum((seen[w] - 3000 * p) ** 2 / (3000 * p) for w, p in ways.items()) < 27
+
+
+def test_matrix_beyond_a_billion_rows():
+    rows = np.full(40, 100_000_000)
+    drawn = sharding.communication_matrix(rows, 24, 3)
+    assert (drawn.sum(axis=1) == rows).all() and set(drawn.sum(axis=0)) <= {166_666_666, 166_666_667} and drawn.min() > 4_000_000
+
+
+def test_shuffle_moves_every_row_anywhere(spark):
+    """Each of six rows lands in each of the six places about as often, over many seeds."""
+    seen = Counter()
+    rows = spark.createDataFrame([(i,) for i in range(6)], "row int").repartition(2).persist()
+    for seed in range(40):
+        seen.update((r.row, 2 * r.slot + r.shard) for r in sharding.shuffle(rows, 2, seed, block_rows=2).collect())
+    assert len(seen) == 36 and sum((n - 40 / 6) ** 2 / (40 / 6) for n in seen.values()) < 60
