@@ -1,18 +1,21 @@
 """Benchmark decontamination: prefix-filtered set join, in DataFrame functions alone.
 
 An item's windows are its runs of 13 words (one shorter window if it has fewer). To hold a window whole, a document must
-hold its rarest word, so that word is the only prefix token needed: the item positions that are the rarest of some window
-are its anchors. One pass counts the benchmark's words in the corpus; a second keeps the document positions whose word is
-an anchor, each with the words around it, and joins them to the anchors by the word. Length and position bound what can
-match: the run of equal words around the position must cover a whole window. Both passes read the texts once and shuffle
-no text.
+hold its rarest word with the word beside it, so these two are the only prefix needed: the item positions that are the
+rarest of some window are its anchors, each with its neighbour inside the window. One pass counts the benchmark's words
+in the corpus; a second keeps the document positions whose word is an anchor, each with the words around it, and joins
+them to the anchors by both words. Length and position bound what can match: the run of equal words around the position
+must cover a whole window. Both passes read the texts once and shuffle no text.
 
-The driver takes the benchmark's anchor words, no part of the corpus, and passes over the corpus once for every 50,000
-of them, so a large benchmark takes more passes, not more memory.
+Keys of words that are frequent in the corpus are salted, on the anchors' side repeated, so that an item of one common
+word fills no task; documents without any anchor have keys of their own. The driver takes the benchmark's anchor words
+with their counts, no part of the corpus, and passes over the corpus once for every 50,000 of them, so a large benchmark
+takes more passes, not more memory.
 
 Nulls: a null text has no words, and a document without words is not contaminated. A null item_id is skipped in
-items_sha256 but counts in n_items. Repeated documents are judged each on its own; items with equal words are one item
-with several ids. With an empty benchmark nothing is hit. Other columns are not read.
+items_sha256 but counts in n_items. Of equally rare words the first by word and position counts. Repeated documents are
+judged each on its own; items with equal words are one item with several ids. Very long texts are rows of more candidate
+places, which are spread over tasks. With an empty benchmark nothing is hit. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from siltstone.llm import common
 WINDOW = 13
 #: Anchor words for one pass over the corpus.
 PASS_WORDS = 50_000
+#: Occurrences in the corpus from which on an anchor word's keys are salted, and the salts.
+HOT_WORD, SALTS = 10_000, 16
 #: A document counts as contaminated if this many times its hit words reach its words.
 SHARE = 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,14 +49,20 @@ def anchors(benchmark: DataFrame, docs: DataFrame, width: int = WINDOW) -> DataF
     items = common.settle(items.select(F.xxhash64("words").alias("item"), "words", "n_ids", "ids"))
     places = items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
     vocabulary = places.select("word").distinct()
-    seen = docs.select(F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(vocabulary) if _small(vocabulary) else vocabulary, "word").groupBy("word").agg(F.count("*").alias("seen"))
+    tokens = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    if _small(vocabulary):
+        tokens = tokens.join(F.broadcast(vocabulary), "word")
+    seen = tokens.groupBy("word").agg(F.count("*").alias("seen"))  # a large vocabulary meets the counts, not the tokens
     ranked = places.join(seen, "word", "left").withColumn("rarity", F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "pos"))
     need = F.least("n", F.lit(width))
     # a window starts at each of the `need` places before a word, if it fits into the item
     starts = F.sequence(F.greatest(F.col("pos") - need + 1, F.lit(0)), F.least(F.col("pos"), F.col("n") - need))
-    rarest = ranked.select("item", F.explode(starts).alias("start"), "rarity").groupBy("item", "start").agg(F.min("rarity").alias("r")).select("item", "r.pos", "r.word").distinct()
-    found = rarest.join(items, "item").withColumn("need", F.least(F.size("words"), F.lit(width)))
-    return common.settle(found.select("word", "item", "need", "n_ids", "ids", *_around("words", "pos", width)))
+    rarest = ranked.select("item", need.alias("need"), F.explode(starts).alias("start"), "rarity").groupBy("item", "need", "start").agg(F.min("rarity").alias("r"))
+    # the neighbour is the next word of the window, or the one before where the rarest is its last
+    side = F.when(F.col("need") == 1, 0).when(F.col("r.pos") + 1 < F.col("start") + F.col("need"), 1).otherwise(-1)
+    rarest = rarest.select("item", "need", "r.pos", "r.word", "r.seen", side.alias("side")).distinct()
+    found = rarest.join(items, "item").withColumn("beside", F.when(F.col("side") == 0, "").otherwise(F.get("words", F.col("pos") + F.col("side"))))
+    return common.settle(found.select("word", "seen", "side", "beside", "item", "need", "n_ids", "ids", *_around("words", "pos", width)))
 
 
 def _around(array: str, pos: str, width: int) -> list[Column]:
@@ -75,8 +86,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     """For each document: doc_id, text_key (xxhash64 of the text), n_words, n_hit, n_items, items_sha256, contaminated, and
     runs: the hit words as (first, number), which may overlap."""
     found = anchors(benchmark, docs, width)
-    tokens = [r.word for r in found.select("word").distinct().orderBy("word").collect()]
+    counts = {r.word: r.seen for r in found.groupBy("word").agg(F.max("seen").alias("seen")).collect()}
+    tokens = sorted(counts)
+    hot = [w for w in tokens if counts[w] > HOT_WORD]
     chunks = [tokens[at : at + pass_words] for at in range(0, len(tokens), pass_words)] or [[""]]
+    salts = F.when(F.col("seen") > HOT_WORD, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.withColumn("_salt", F.explode(salts)).withColumn("_key", F.xxhash64("word", "side", "beside", "_salt")).drop("_salt", "seen")
+    single = found.where("side = 0").limit(1).count() > 0
 
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"), F.monotonically_increasing_id().alias("_row"))
@@ -95,8 +111,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
             return F.struct(i.alias("pos"), F.element_at("_words", i + 1).alias("word"), F.reverse(F.slice("_words", first + 1, i - first)).alias("d_before"), F.slice("_words", i + 2, F.lit(width - 1)).alias("d_after"))
 
         places = held.select(*key, F.explode_outer(F.transform("_at", place)).alias("_p")).select(*key, "_p.*")
+        # a place meets the anchors of its word and the next one, of its word and the one before, and of its word alone
+        sides = F.array(*[F.struct(F.lit(s).alias("side"), b.alias("beside")) for s, b in [(1, F.get("d_after", F.lit(0))), (-1, F.get("d_before", F.lit(0))), *([(0, F.lit(""))] if single else [])]])
+        met = F.filter(sides, lambda x: x["beside"].isNotNull())
+        places = places.withColumn("_s", F.explode_outer(F.when(F.col("word").isNotNull(), met))).select("*", "_s.*").drop("_s")
+        salt = F.when(F.col("word").isin(hot), F.pmod(F.xxhash64("_row", "pos"), F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0)
+        places = places.withColumn("_key", F.when(F.col("side").isNotNull(), F.xxhash64("word", "side", "beside", salt)).otherwise(F.xxhash64("_row")))
         run = F.struct((F.col("pos") - F.col("_l")).alias("first"), (F.col("_l") + F.col("_r") + 1).alias("n"))
-        joined = places.join(found, "word", "left").withColumn("_l", _agree("d_before", "before")).withColumn("_r", _agree("d_after", "after"))
+        same = [places[c].eqNullSafe(found[c]) for c in ("word", "side", "beside")]
+        joined = places.join(found, reduce(Column.__and__, same, places["_key"] == found["_key"]), "left").withColumn("_l", _agree("d_before", "before")).withColumn("_r", _agree("d_after", "after"))
         hit = F.col("_l") + F.col("_r") + 1 >= F.col("need")
         return joined.select(*key, F.when(hit, run).alias("run"), F.when(hit, F.struct("item", "n_ids", "ids")).alias("item"))
 

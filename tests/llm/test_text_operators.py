@@ -4,11 +4,13 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontamination, language_model, minhash, quality_classifier, quality_rules, toxicity
+from siltstone.llm import chat_format, common, components, decontamination, language_model, minhash, quality_classifier, quality_rules, toxicity
 from tests.llm.helpers import documents, empty, words
 
 
@@ -68,6 +70,30 @@ def test_c_steps_find_the_covariance_of_the_bulk(spark):
     assert np.allclose(np.sqrt(np.diag(scatter)), [1.1, 2, 3, 1, 1], rtol=0.35)
 
 
+def test_estimates_against_all_subsets(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(4):
+        x = np.concatenate([rng.normal(g, 1, (9, 5)), rng.normal(g + 30, 3, (3, 5))])
+        rows += [(str(g), [float(v) for v in r]) for r in x]
+        fits = []
+        for subset in combinations(range(12), 9):
+            part = x[list(subset)]
+            scatter = quality_rules.CONSISTENCY * np.cov(part.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+            fits.append((np.linalg.slogdet(scatter)[1], part.mean(axis=0), scatter))
+        want[str(g)] = min(fits, key=lambda f: f[0])
+    for r in quality_rules.estimates(spark.createDataFrame(rows, "g string, x array<double>")).collect():
+        assert np.allclose(r.centre, want[r.g][1]) and np.allclose(np.array(r.scatter).reshape(5, 5), want[r.g][2])
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", "l", "w", [float(v) for v in r]) for r in rng.normal(0, 1, (400, 5))] + [("b", "l", "w", [float(v) for v in r]) for r in rng.normal(9, 1, (2, 5))]
+    found = {r.g: r for r in quality_rules.group_estimates(spark.createDataFrame(rows, "g string, g1 string, g0 string, x array<double>")).collect()}
+    assert np.abs(found["a"].centre).max() < 0.3 and np.abs(found["b"].centre).max() < 1  # two rows of 50 do not pull far
+    assert quality_rules.group_estimates(spark.createDataFrame([], "g string, g1 string, g0 string, x array<double>")).count() == 0
+
+
 def labelled(spark):
     docs = documents(spark, [(3000 + i, ("$$ %% | " * 20 if i % 3 == 0 else "plain good words here now ") * 5 + (" awfulslur " * 4 if i % 5 == 0 else ""), "en", "a", 1) for i in range(200)])
     return docs, spark.createDataFrame([*((3000 + i, int(i % 3 != 0), int(i % 5 == 0)) for i in range(200)), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
@@ -95,6 +121,9 @@ def test_toxicity(spark):
     held = out[out.held_out & (out.doc_id >= 3000)]
     assert len(out) == docs.count() and (held.predicted == held.doc_id.map(truth)).all()
     assert "awfulslur" in set(out[out.doc_id == 3000].evidence.iloc[0])
+    twice = toxicity.classify(docs.unionByName(docs).withColumn("label", F.lit("clash")), labels.unionByName(labels)).toPandas()
+    scores = lambda frame: set(zip(frame.doc_id.fillna(-1), frame.score.round(9)))
+    assert scores(twice) == scores(out) and len(twice) == 2 * len(out)
     assert (toxicity.classify(docs, labels.limit(0)).toPandas().score == 0).all() and toxicity.classify(empty(spark), labels).count() == 0
 
 
@@ -102,16 +131,58 @@ def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     rows = []
     for _ in range(700):
-        at = np.append(np.sort(rng.choice(40, rng.integers(0, 6), replace=False)), 40)
-        w = rng.random(len(at))
-        rows.append((at, (w / np.linalg.norm(w)).astype(np.float32)))
+        at = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
+        w = rng.integers(1, 4, len(at)).astype(float)
+        rows.append((at, (w / max(np.linalg.norm(w), 1e-9)).astype(np.float32)))
     index = toxicity.Index(rows, np.arange(700), rng.integers(0, 2, 700), 40)
-    dense = np.zeros((700, 41))
+    dense = np.zeros((700, 40))
     for i, (at, w) in enumerate(rows):
         dense[i, at] = w
+    place = np.argsort(index.ids)
     for i in range(0, 700, 23):
         near, cosines = index.nearest(*rows[i])
-        assert np.allclose(cosines, np.sort(dense @ dense[i])[::-1][:15], atol=1e-5)
+        every = np.empty(700)
+        every[place] = dense @ dense[i]
+        assert np.allclose(cosines, np.sort(every)[::-1][:15], atol=1e-5) and np.allclose(every[near], cosines, atol=1e-5)
+
+
+def test_toxicity_scores_against_all_products(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels, "toxic")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect() if r.doc_id is not None}
+    examples = {r.doc_id: r.text for r in docs.collect()}
+    index, terms = model.all.index, len(model.all.terms)
+    dense = np.zeros((index.n, terms))
+    for j, i in enumerate(index.ids):
+        at, w = model.all.vector(examples[i])
+        dense[j, at] = w
+    for doc_id, text in examples.items():
+        if doc_id is None:
+            continue
+        at, w = model.all.vector(text)
+        cosines = dense[:, at] @ w
+        near = np.lexsort((np.arange(index.n), -np.round(cosines, 5)))[: toxicity.NEIGHBOURS]
+        weight = 1 / (0.02 + np.maximum(1 - cosines[near], 0))
+        vote = weight @ index.labels[near] / weight.sum() if len(at) else -1.0
+        assert abs(got[doc_id] - np.interp(vote, *model.knots)) < 0.02
+    few = toxicity.train(docs, labels, "toxic", labelled=50, most_bytes=5_000)
+    assert 0 < few.all.index.n < 50
+
+
+def test_quality_votes_against_all_products(spark):
+    docs, labels = labelled(spark)
+    model = quality_classifier.train(docs, labels, "quality")
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect() if r.doc_id is not None}
+    for r in docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect():
+        counts = quality_classifier.term_counts(None if r.text is None else r.text.encode())
+        if not counts.any():
+            assert got[r.doc_id] == model.prior
+            continue
+        z = model.latent(quality_classifier.weighted(counts[None], model.weights))[0]
+        cosines = np.array([float(z @ v) for v in model.vectors])
+        last = sorted(cosines)[-quality_classifier.NEIGHBOURS]
+        weight = [max(c, 1e-6) ** quality_classifier.SHARPNESS if c >= last - 1e-6 else 0 for c in cosines]
+        assert abs(got[r.doc_id] - np.dot(weight, model.labels) / sum(weight)) < 0.02
 
 
 def test_language_model(spark):
@@ -149,17 +220,18 @@ def test_log_bilinear_table_is_normalised_and_learns():
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-3) and table[3].argmax() == 7
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     import random
 
     rng = random.Random(9)
-    items = [words(rng, 30), "a b c", "", None, words(rng, 13).upper(), words(rng, 40)]
+    items = [words(rng, 30), "a b c", "", None, "the", "so", "so so so so", words(rng, 13).upper(), words(rng, 40)]
     items.append(items[0])
-    texts = [items[0], f"x {items[0]} y", items[0][: len(items[0]) // 2], "so A, b; C!", "a b", items[4].lower() + " " + words(rng, 500), words(rng, 400) + items[5] + " " + items[5], None, "", items[5][10:]]
+    texts = [items[0], f"x {items[0]} y", items[0][: len(items[0]) // 2], "so A, b; C!", "a b", items[7].lower() + " " + words(rng, 500), words(rng, 400) + items[8] + " " + items[8], None, "", items[8][10:], "the the so so so so the", "the"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (None, texts[0])], "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
-    for pass_words in (50_000, 3):
+    for pass_words, hot in ((50_000, 10_000), (3, 10_000), (50_000, 0)):
+        monkeypatch.setattr(decontamination, "HOT_WORD", hot)
         got = decontamination.contamination(docs, bench, pass_words=pass_words).collect()
         assert len(got) == len(texts) + 2
         for r in got:
@@ -194,7 +266,12 @@ def near_copies(spark):
     return documents(spark, rows + [(6000, " ".join(base).upper(), "en", "a", 1), (6001, "a b c", "en", "a", 1), (6002, "A  B\nc", "en", "a", 1)])
 
 
-def test_minhash_against_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_minhash_against_brute_force(spark, monkeypatch, small):
+    """Also with every key hot and every block tiny, so that all ways of splitting are gone through."""
+    if small:
+        for where, name, value in ((minhash, "BUCKET_ROWS", 3), (minhash, "PIVOT_PAIRS", 2), (minhash, "BLOCK_ROWS", 4), (common, "HOT_ROWS", 1), (components, "HUB_LINKS", 1)):
+            monkeypatch.setattr(where, name, value)
     docs = near_copies(spark)
     out = minhash.near_duplicates(docs).toPandas()
     sets = {}
@@ -216,6 +293,22 @@ def test_minhash_against_brute_force(spark):
     assert one.columns == docs.columns and one.count() == len(set(part.values())) + 1
 
 
+def test_texts_of_one_id_are_linked(spark):
+    rng = random.Random(8)
+    x, y, z = (words(rng, 60) for _ in range(3))
+    rows = [(5, x), (5, y), (1, x), (9, y + " more"), (7, z), (8, z), (7, z)]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 1), (1, 1), (9, 1), (7, 7), (8, 7)}
+    one = minhash.keep_one(spark.createDataFrame([(5, x, 2), (5, y, 1), (7, z, 4), (7, z, 3)], "doc_id long, text string, _id_ long"))
+    assert one.columns == ["doc_id", "text", "_id_"] and sorted(r.doc_id for r in one.collect()) == [5, 7]
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(8)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
