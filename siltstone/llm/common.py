@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.lineage import fresh_path, settled, shared_dir  # noqa: F401  the operators take them from here
+
 #: Rows that go to a Python worker at once; Spark's default of 10,000 long texts would not fit its memory.
 ARROW_ROWS = "500"
 #: Bytes of binary values after which a Python function hands a batch back.
@@ -28,24 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
-    context = spark.sparkContext
-    if not (there := context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        there = tempfile.mkdtemp(prefix="siltstone-")
-        context.setCheckpointDir(there)
-    return there
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid4().hex}"
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: what follows reads the same rows, with the same row
-    numbers, even if executors are lost. Spark deletes the files when nothing refers to them any more."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    numbers, even if executors are lost. The files stay until the folder is cleared, or until nothing refers to them where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
+    return settled(df)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -98,10 +85,43 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most_rows: int, most_bytes: int) -> DataFrame:
+    """doc_id, label, text of labelled documents outside the held-out fold: the first `most_rows` ids by a hash, and of these
+    the first whose texts reach `most_bytes` in all. An id counts once, with its greatest label and its first text."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), folds, held))
+    once = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # bounded, so it may be broadcast
+    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    single = settle(joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    sizes = single.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes"))  # at most most_rows rows
+    so_far = F.sum("_bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = sizes.select("doc_id", so_far.alias("_sum")).where(F.col("_sum") <= most_bytes).select("doc_id")
+    return single.join(F.broadcast(inside), "doc_id")
+
+
+#: Rows from which on a key is hot, and hot keys up to which their rows are broadcast.
+HOT_ROWS, HOT_KEYS = 2000, 20_000
+
+
+def looked_up(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Rows of `many` with those of `one`, which is unique by the key and tells in `_n` how many rows of `many` have it.
+
+    Hot keys are broadcast, so that their rows stay where they are and no task gets them all. Should there be more than
+    HOT_KEYS, so that they spread over all tasks, the join is left to Spark, which splits large partitions."""
+    hot = one.where(F.col("_n") > HOT_ROWS)
+    plain = one.drop("_n")
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return many.join(plain, key)
+    marked = many.join(F.broadcast(hot.drop("_n").withColumn("_hot", F.lit(True))), key, "left")
+    rest = marked.where("_hot IS NULL").select(*many.columns).join(one.where(F.col("_n") <= HOT_ROWS).drop("_n"), key)
+    return marked.where("_hot").drop("_hot").select(*rest.columns).unionByName(rest)
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents, in their own columns, whose (doc_id, text_key) is not among the rejected; nulls match nulls.
 
-    The rejected keys are hashed in each partition, so the texts are shuffled but not sorted."""
-    keyed = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_text_": F.xxhash64(F.col("text").cast("string"))})
-    bad = rejected.select(F.col("doc_id").cast("long").alias("_bad_id_"), F.col("text_key").alias("_bad_text_")).hint("shuffle_hash")
-    return keyed.join(bad, F.col("_id_").eqNullSafe(F.col("_bad_id_")) & F.col("_text_").eqNullSafe(F.col("_bad_text_")), "left_anti").select(*docs.columns)
+    Rejected keys that repeat count once. While they are few they are broadcast, so that no text is shuffled."""
+    bad = rejected.select(F.col("doc_id").cast("long").alias("_id_"), F.col("text_key").alias("_text_")).distinct()
+    keyed = docs.select(F.struct("*").alias("_doc_"), F.col("doc_id").cast("long").alias("_id_"), F.xxhash64(F.col("text").cast("string")).alias("_text_"))
+    on = keyed["_id_"].eqNullSafe(bad["_id_"]) & keyed["_text_"].eqNullSafe(bad["_text_"])
+    return keyed.join(bad, on, "left_anti").select("_doc_.*")

@@ -7,13 +7,16 @@ its least value over the set. 32 bands of 4 coordinates miss a pair at similarit
 Equal sets form classes first, so exact copies never meet again. In a bucket of classes nothing is paired with
 everything. Each class is held against the pivot it shares most buckets with. Where a bucket still has several components,
 a class that some class of another component resembles by signature stays. These form clusters over the buckets they
-share, so that a class's set moves once and not once a bucket; blocks of a cluster, bounded in shingles, are multiplied as
-0/1 matrices within tasks, which gives all their intersections exactly and lets only true links out. Every link is
-confirmed on the full sets.
+share, so that a class's set moves once a cluster and not once a bucket; blocks of a cluster, bounded in shingles on
+average, are multiplied as 0/1 matrices within tasks, which gives all their intersections exactly and lets only true links
+out. Every link is confirmed on the full sets.
+
+Hot keys: a class, pivot, bucket or cluster of many rows is looked up by broadcast or dealt to several tasks by a hash, and
+pairs within a bucket or cluster meet by pairs of blocks.
 
 Nulls: a null or empty text, or one without words, has an empty set and links with nothing. Rows with a null doc_id are
-not linked: their component_id is null, and they are kept. Rows that share a doc_id are one node. An empty table gives
-no rows; other columns are not read.
+not linked: their component_id is null, and they are kept. Rows that share a doc_id are one node: their texts are linked.
+Very long texts are sets like any other. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import common
@@ -36,8 +39,9 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Coordinates that must agree before a pair is verified: at similarity 0.75, 96 of 128 on average, 64 or fewer once in 10^10.
 AGREE = 64
-#: A block of classes that are compared with each other: shingles and rows at most.
-BLOCK_SHINGLES, BLOCK_ROWS = 300_000, 1024
+#: A block of classes that are compared with each other: shingles and rows on average; classes of a bucket's block; pairs
+#: of one pivot that are verified together.
+BLOCK_SHINGLES, BLOCK_ROWS, BUCKET_ROWS, PIVOT_PAIRS = 300_000, 1024, 1024, 256
 CACHE_WORDS = 400_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -123,22 +127,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, shingles, signature of the wanted rows (node, text_key): their texts are read again, all others only pass by."""
+    """node, n, shingles, signature of the wanted classes (node, first_id, text_key): their texts are read again, all others
+    only pass by."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("shingles", pa.list_(pa.int64())), ("signature", pa.list_(pa.int32()))])
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for node, text in zip(batch.column("doc_id").to_pylist(), common.utf8_column(batch, "text"), strict=True):
+                for node, text in zip(batch.column("node").to_pylist(), common.utf8_column(batch, "text"), strict=True):
                     shingles = shingle_set(text)
                     yield node, len(shingles), shingles.view(np.int64), signature(shingles).view(np.int32)
 
         yield from common.emit(schema, rows(), lambda row: 8 * row[1])
 
-    # the small side is hashed, so that the texts need no sort
-    there = _keyed(docs).join(wanted.select(F.col("node").alias("doc_id"), "text_key").hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi")
-    return there.mapInArrow(make, "node long, n int, shingles array<bigint>, signature array<int>")
+    there = _keyed(docs).join(wanted.select("node", F.col("first_id").alias("doc_id"), "text_key"), ["doc_id", "text_key"]).select("node", "text")
+    return there.mapInArrow(make, "node long, n int, shingles array<bigint>, signature array<int>").dropDuplicates(["node"])
 
 
 def _similar(n, m, same):
@@ -153,18 +157,21 @@ def _possible(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b), each b once, whose full sets are similar enough. A pivot's pairs are dealt to groups of a bounded
+    number, on average; its own set goes to each group once."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = x.values.to_numpy(), y.values.to_numpy()
-                ok.append(_similar(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def keep(group: pa.Table) -> pa.Table:
+        a, node = group["a"].to_numpy(), group["node"].to_numpy()
+        shingles = [x.values.to_numpy() for x in group["shingles"]]
+        pivot = shingles[int(np.flatnonzero(a == node)[0])]
+        ok = [i for i, s in enumerate(shingles) if a[i] != node[i] and _similar(len(pivot), len(s), len(np.intersect1d(pivot, s, assume_unique=True)))]
+        return pa.table({"a": pa.array(a[ok], pa.int64()), "b": pa.array(node[ok], pa.int64())})
 
-    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("_n")).withColumn("_groups", F.ceil(F.col("_n") / PIVOT_PAIRS))
+    dealt = common.looked_up(pairs, counts, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("_groups")).alias("part"))
+    own = counts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)).alias("part"))
+    grouped = dealt.unionByName(own).join(sets.select("node", "shingles"), "node").groupBy("a", "part")
+    return grouped.applyInArrow(keep, "a long, b long")
 
 
 def intersections(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -187,17 +194,20 @@ def intersections(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _by_pairs_of_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """The rows with `block`, by a hash of the node, and `low` and `high`, once for each pair of blocks that theirs is in.
+    `blocks`: how many of them a key has, as an aggregate over its rows."""
+    totals = rows.groupBy(key).agg(F.count("*").alias("_n"), F.greatest(blocks, F.lit(1)).cast("int").alias("_blocks"))
+    numbered = common.looked_up(rows, totals, key).withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("_blocks")).cast("int"))
+    spread = numbered.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return spread.withColumns({"low": F.least("block", "_with"), "high": F.greatest("block", "_with")}).drop("_blocks", "_with")
+
+
 def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the components of each cluster, of rows (cluster, node, component, n).
 
-    A cluster's rows are cut into blocks of a bounded number of shingles and of rows; each pair of blocks is one group."""
-    in_cluster = Window.partitionBy("cluster").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = placed.withColumn("block", F.greatest(F.floor(F.sum("n").over(in_cluster) / BLOCK_SHINGLES), F.floor(F.count("*").over(in_cluster) / BLOCK_ROWS)).cast("int"))
-    last = placed.groupBy("cluster").agg(F.greatest(F.floor(F.sum("n") / BLOCK_SHINGLES), F.floor(F.count("*") / BLOCK_ROWS)).cast("int").alias("last"))
-    # block k meets every other block: as the lower of the pair with those above, as the upper with those below and itself
-    meets = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("with")
-    spread = numbered.join(last, "cluster").select("cluster", "node", "component", "block", meets)
-    spread = spread.select("cluster", "node", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    A cluster's rows are dealt to blocks of a number of shingles and of rows; each pair of blocks is one group."""
+    spread = _by_pairs_of_blocks(placed, "cluster", F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)))
 
     def multiply(group: pa.Table) -> pa.Table:
         node, component, block = (group[c].to_numpy() for c in ("node", "component", "block"))
@@ -212,61 +222,95 @@ def _block_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = node[i[p]], node[j[q]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    grouped = spread.join(sets.select("node", "shingles"), "node").groupBy("cluster", "low", "high")
+    grouped = spread.drop("n").join(sets.select("node", "shingles"), "node").groupBy("cluster", "low", "high")
     return grouped.applyInArrow(multiply, "a long, b long").where("a <> b")
 
 
+def _resembling(split: DataFrame) -> DataFrame:
+    """Of rows (bucket, node, component, n, signature): bucket, node, component, n of those that one of another component in
+    their bucket resembles. A bucket's rows meet by pairs of blocks."""
+    spread = _by_pairs_of_blocks(split, "bucket", F.ceil(F.count("*") / BUCKET_ROWS))
+    x, y = spread.alias("x"), spread.alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block")))
+    return x.join(y, same & apart & _possible("x", "y"), "left_semi").select("bucket", "node", "component", "n").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (the one of each component)."""
     common.prepare(docs.sparkSession)
     base = common.settle(sketches(docs))
     linkable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("text_key", "bands"), "doc_id").alias("_r"))
-    classes = common.settle(classes.select("set_key", "node", "_r.*"))
-    class_members = linkable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("text_key", "bands"), F.struct("doc_id", "text_key")).alias("_r"), F.count("*").alias("_n"))
+    classes = common.settle(classes.select("set_key", "node", "_n", "_r.*"))
+    # nodes are ids of documents; where an id has several texts, their classes are linked below and the node stands for one
+    several = linkable.groupBy("doc_id").agg(F.min("set_key").alias("_a"), F.max("set_key").alias("_b")).where("_a <> _b").select("doc_id")
+    several = common.settle(linkable.select("doc_id", "set_key").join(several, "doc_id", "left_semi").distinct())
+    classes = _distinct_nodes(classes, several)
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    crowded = common.settle(banded.join(pivots, "bucket"))
-    sets = common.settle(_sets(docs, classes.join(crowded.select("node").distinct(), "node", "left_semi")).dropDuplicates(["node"]))
+    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
+    crowded = common.settle(common.looked_up(banded, pivots, "bucket"))
+    wanted = classes.join(crowded.select("node").distinct(), "node", "left_semi")
+    sets = common.settle(_sets(docs, wanted))
     facts = sets.select("node", "n", "signature")
 
     # first each class against the pivot of most of its buckets
     often = crowded.where("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("a")).select("a", F.col("node").alias("b"))
-    x, y = facts.alias("x"), facts.alias("y")
-    pairs = often.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y")).select("a", "b")
+    often = common.settle(often)
+    asked = often.groupBy("a").agg(F.count("*").alias("_n"))
+    x = asked.join(facts.select(F.col("node").alias("a"), F.struct("n", "signature").alias("x")), "a")
+    y = facts.select(F.col("node").alias("b"), F.struct("n", "signature").alias("y"))
+    pairs = common.settle(common.looked_up(often.join(y, "b"), x, "a").where(_possible("x", "y")).select("a", "b"))
     links = common.settle(_verified(pairs, sets))
 
     # then, in buckets of several components, classes that resemble one of another component
     labels = components(links)
     split = crowded.select("node", "bucket").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = split.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("bucket")
-    split = common.settle(split.join(open_, "bucket").join(facts, "node"))
-    x, y = split.alias("x"), split.alias("y")
-    resembling = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"), "left_semi").select("bucket", "node", "component", "n")
-    resembling = common.settle(resembling)
-    stars = resembling.join(resembling.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    open_ = split.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("bucket", "_n")
+    split = common.settle(common.looked_up(split, open_, "bucket").join(facts, "node"))
+    resembling = common.settle(_resembling(split))
+    firsts = resembling.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("_n"))
+    stars = common.looked_up(resembling, firsts, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     clusters = components(stars).withColumnRenamed("component", "cluster")
     clustered = common.settle(resembling.select("node", "component", "n").distinct().join(clusters, "node"))
-    links = links.unionByName(_block_links(clustered, sets)).unionByName(class_members.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    links = links.unionByName(_block_links(clustered, sets))
 
+    # an id's own texts
+    own = several.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     labels = components(links)
-    out = base.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    found = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    # a component goes by the least id of its classes' documents
+    placed = classes.select("set_key", "node", "first_id", "_n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n"))
+    placed = common.settle(common.looked_up(placed.withColumnRenamed("_n", "_rows"), least, "component").select("set_key", "component_id", F.col("_rows").alias("_n")))
+    some = common.looked_up(linkable.select("doc_id", "n_shingles", "set_key"), placed, "set_key").select("doc_id", "n_shingles", "component_id")
+    others = base.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.unionByName(others).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _distinct_nodes(classes: DataFrame, several: DataFrame) -> DataFrame:
+    """The classes with `first_id`, their least document, and `node`, a number that is theirs alone: the id itself, or, for
+    classes of an id with several texts, a hash of the set that is no such id's."""
+    shared = several.select("set_key").distinct().withColumn("_shared", F.lit(True))
+    marked = classes.withColumnRenamed("node", "first_id").join(shared, "set_key", "left")
+    return common.settle(marked.withColumn("node", F.when(F.col("_shared"), F.xxhash64("set_key", F.lit(5)).bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("first_id"))).drop("_shared"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, in their own columns: one of each component, the first by doc_id, and one row of each doc_id. Rows
-    with a null doc_id all stay."""
+    """The documents, in their own columns: one of each component, the first by doc_id, and one row of each doc_id: the first
+    by a hash of the text, then of all columns, so that a retry keeps the same. Rows with a null doc_id all stay."""
     judged = common.settle(near_duplicates(docs))
     dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_bad_")).distinct()
     repeated = common.settle(judged.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_bad_")).count().where("count > 1").select("_bad_"))
-    on = F.col("doc_id").cast("long") == F.col("_bad_")
+    held = docs.select(F.struct("*").alias("_doc_"), F.col("doc_id").cast("long").alias("_id_"))
+    on = F.col("_id_") == F.col("_bad_")
     if not repeated.limit(1).count():
-        return docs.join(dropped.hint("shuffle_hash"), on, "left_anti")
-    single = docs.join(dropped.unionByName(repeated).hint("shuffle_hash"), on, "left_anti")
-    return single.unionByName(docs.join(repeated.hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id"]))
+        return held.join(dropped, on, "left_anti").select("_doc_.*")
+    single = held.join(dropped.unionByName(repeated), on, "left_anti").select("_doc_.*")
+    order = F.struct(F.xxhash64(F.col("_doc_.text").cast("string")), F.xxhash64(F.to_json("_doc_")))
+    first = held.join(repeated, on, "left_semi").groupBy("_id_").agg(F.min_by("_doc_", order).alias("_doc_")).select("_doc_.*")
+    return single.unionByName(first)
 
 
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
