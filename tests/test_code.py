@@ -1,5 +1,6 @@
 """Detectors, lexer, repairs and validators on texts whose findings are known."""
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import brackets, chunks, python_rules, repair, report, retrieval, rules, validation
+from siltstone.plans import scan
 from siltstone.sources import files, knowledge, remote
 
 
@@ -262,3 +264,57 @@ def test_analyzer_rows_without_cause_are_unavailable(spark):
 
     frame = spark.range(4).select(F.col("id").alias("finding_id"), F.lit("p").alias("prompt"))
     assert {r.finding_id: r.unavailable for r in report.analyzed(frame, half).collect()} == {0: True, 1: False, 2: True, 3: False}
+
+
+def test_stored_vectors_are_made_anew_when_counts_differ(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
+    path = str(tmp_path / "vectors")
+    assert [retrieval.stored_vectors(r, path)[1] for r in (rows, rows, rows.limit(1))] == [True, False, True]
+    assert [len(r.embedding) for r in retrieval.stored_vectors(rows.limit(1), path)[0].collect()] == [64]
+
+
+def test_scan_brings_findings_evidence_and_repairs_together(spark):
+    files_ = spark.createDataFrame([("r1", "a.js", "function f() {\n  var x = 1;\n}\n"), ("r2", "b.py", "x = None\nprint(x == None)\n"), ("r1", "c.js", "f(a[1);"), ("r1", "d.js", "")], "repo string, file string, source string")
+    known = spark.createDataFrame([(7, "var_declaration Logic Error x", "use let")], "id long, bug_description string, solution string").withColumn("embedding", retrieval.hashed_vector(F.col("bug_description")))
+    past = spark.createDataFrame([("r1", 5, "issue", "var_declaration Logic Error x", ["c1", "c2"]), ("r3", 6, "issue", "var_declaration Logic Error", ["c"])], "repo string, number long, artifact_type string, body string, comments array<string>").withColumn("embedding", retrieval.hashed_vector(F.col("body")))
+    asked = spark.sparkContext.accumulator(0)
+
+    def explains(frames):
+        for f in frames:
+            asked.add(int(f.prompt.str.contains("## HISTORY\nKind: issue").sum()))
+            yield f.assign(cause="c", solution="s", confidence="90", unavailable=False)
+
+    rows = {r.rule: r for r in scan.scan(files_, known, past, explains).collect()}
+    assert set(rows) == {"var_declaration", "eq_none", "mismatched_bracket"} and asked.value >= 1
+    var = rows["var_declaration"]
+    assert var.replacement_code == "function f() {\n  let x = 1;\n}" and var.confidence == 90 and var.confidence_level == "High" and var.function == "f"
+    assert {e.artifact_type for e in var.retrieved} == {"dataset", "issue"} and {e.artifact_number for e in var.retrieved} == {None, 5}
+    assert rows["mismatched_bracket"].replacement_code == "f(a[1]);" and rows["mismatched_bracket"].fix_validated
+    assert rows["eq_none"].replacement_code == "x = None\nprint(x is None)" and rows["eq_none"].validation_method == "replace + parser"
+    offline = {r.rule: r for r in scan.scan(files_, known, past).collect()}
+    assert all(r.unavailable and r.confidence == 0 and r.replacement_code and r.cause is None for r in offline.values())
+
+
+def test_chat_replies_and_attempts():
+    assert report.parsed_reply('so {"cause": "a", "solution": "b"} it is') == {"cause": "a", "solution": "b"}
+    assert report.parsed_reply('{"cause": "", "solution": "b"}') is None and report.parsed_reply(None) is None
+    seen = []
+
+    def ask(prompt, credential):
+        seen.append(credential)
+        if credential == "bad":
+            raise report.Refused(401)
+        if len(seen) < 5:
+            raise report.Refused(503)
+        return '{"cause": "a", "solution": "b", "confidence": 40}'
+
+    frames = iter([pd.DataFrame({"finding_id": [1, 2], "prompt": ["p", "q"]})])
+    rows = pd.concat(report.retrying(ask, ["bad", "one", "two", "one"], wait=0)(frames))
+    assert list(rows.unavailable) == [False, False] and list(rows.confidence) == ["40", "40"] and seen == ["bad", "one", "two", "one", "two", "one"]
+
+
+def test_python_syntax_errors_are_found_one_after_another():
+    assert [line for line, _ in python_rules.syntax_errors("if x\n    y = (1\nz = 2\nfor q in z\n    pass\n")] == [1, 2, 4]
+    assert python_rules.syntax_errors("x = 1") == [] and len(python_rules.syntax_errors("\x00")) == 1
+    assert python_rules.balanced_line("foo(a[1), b)") == "foo(a[1]), b" and python_rules.balanced_line("if f(x:") == "if f(x):"
+    assert brackets.balanced_code("f({a: [1}") == "f({a: [1]})"
