@@ -42,7 +42,7 @@ def unescape(text: Column) -> Column:
 
 def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:
     """conv_id, window (from 0), formatted, n_repeated (turns at its start that were new before), targets: array of (start,
-    n), the code points of `formatted` that carry loss."""
+    n), the code points of `formatted` that carry loss, over_budget (a long turn, or a long system turn, may make it so)."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     whole = Window.partitionBy("conv_id")
@@ -70,7 +70,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTOR
     target = F.when(F.col("target") & ~F.col("repeated"), F.struct((F.col("at") + F.col("head")).alias("start"), (F.col("chars") - F.col("head") - len(END)).alias("n")))
     parts = F.array_sort(F.collect_list(F.struct("idx", "part")))
     grouped = placed.groupBy("conv_id", "window").agg(parts.alias("parts"), F.sum(F.col("repeated").cast("int")).cast("int").alias("n_repeated"), F.array_sort(F.collect_list(target)).alias("targets"))
-    return grouped.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), "n_repeated", "targets")
+    out = grouped.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), "n_repeated", "targets")
+    return out.withColumn("over_budget", F.ceil(F.char_length("formatted") / 4) > budget)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
