@@ -6,9 +6,11 @@ terms' weights and, by a truncated singular value decomposition, the latent spac
 of documents is one matrix product with all of them, so the cosines are exact, and the nearest NEIGHBOURS vote with
 weights that rise with similarity.
 
-The fit is bounded by EXAMPLES; scoring is one pass over the texts without a shuffle. Nulls: a null or empty text has no
-terms and gets the share of label 1 among the examples; so does every text if there are no labels. Labelled ids that
-are null or have a null label are not learnt from. Repeated rows are scored alike. Other columns are not read.
+The fit is bounded by EXAMPLES rows of SAMPLE_BYTES in all; scoring is one pass over the texts without a shuffle. Nulls: a
+null or empty text has no terms and gets the share of label 1 among the examples; so does every text if there are no
+labels. Labelled ids that are null or have a null label are not learnt from; of several labels of an id the greatest
+counts, of several texts the first. Of equally near examples all that tie with the last neighbour vote. Very long texts
+are scored whole. Repeated rows are scored alike. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import common
 
 FOLDS, HELD_OUT = 4, 2
-EXAMPLES = 4000
+EXAMPLES, SAMPLE_BYTES = 4000, 64 << 20
 RANK = 48
 NEIGHBOURS, SHARPNESS = 25, 8
 THRESHOLD = 0.7
@@ -110,30 +112,28 @@ class Model:
             return np.full(len(counts), self.prior)
         cosines = self.latent(weighted(counts, self.weights)) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
-        score = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        last = np.partition(cosines, -k, axis=1)[:, -k, None]
+        weight = np.where(cosines >= last, np.maximum(cosines, 1e-6).astype(np.float64) ** SHARPNESS, 0)
+        score = np.clip(weight @ self.labels / weight.sum(axis=1), 0, 1)
         return np.where(counts.any(axis=1), score, self.prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, examples: int = EXAMPLES) -> Model:
-    """Learn from up to `examples` labelled rows outside the held-out fold."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~common.held_out(F.col("doc_id"), FOLDS, HELD_OUT)).select("doc_id", F.col(label).cast("int").alias("_label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(examples)  # bounded, so it may be broadcast
+def train(docs: DataFrame, labels: DataFrame, label: str, examples: int = EXAMPLES, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from up to `examples` labelled rows outside the held-out fold, with texts of up to `most_bytes` in all."""
+    sample = common.labelled_sample(docs, labels, label, FOLDS, HELD_OUT, examples, most_bytes)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for doc_id, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("_label").to_pylist(), common.utf8_column(batch, "text"), strict=True):
+                for doc_id, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), common.utf8_column(batch, "text"), strict=True):
                     c = term_counts(text)
                     at = np.flatnonzero(c)
                     yield doc_id, y, at.astype(np.int32), c[at]
 
         yield from common.emit(schema, rows(), lambda row: 8 * len(row[2]))
 
-    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    found = joined.mapInArrow(count, "doc_id long, label int, terms array<int>, counts array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = sample.mapInArrow(count, "doc_id long, label int, terms array<int>, counts array<float>").toArrow().sort_by("doc_id")
     counts = np.zeros((len(found), TERMS), np.float32)
     for i, (at, c) in enumerate(zip(found["terms"], found["counts"], strict=True)):
         counts[i, at.values.to_numpy()] = c.values.to_numpy()
