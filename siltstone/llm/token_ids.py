@@ -26,7 +26,7 @@ BARE, RUN = "\r\r", "\t\t"
 #: A letter and the ASCII signs after it at a chunk's end: they are pieces of their own, so the word is known without them.
 SIGNS = r"([A-Za-z])([!-/:-@\[-`{-~]+)( |$)"
 #: Chunks kept by a worker, and the longest of them.
-CACHE_CHUNKS, CACHED_CHARS = 800_000, 64
+CACHE_CHUNKS, CACHED_CHARS = 500_000, 64
 
 
 class _Places(dict):
