@@ -28,6 +28,7 @@ def test_chat_windows_come_back_whole(spark):
     ones = windows.where("conv_id = 1").orderBy("window").collect()
     assert len(ones) > 2 and all(w.formatted.startswith("<|im_start|>system\nbe kind<|im_end|>\n") for w in ones)
     assert any(w.n_repeated > 1 for w in ones[1:])
+    assert any(w.over_budget for w in ones) and all(w.over_budget == (-(-len(w.formatted) // 4) > chat_format.BUDGET) for w in ones)
     assert chat_format.windows(turns.limit(0)).count() == 0
 
 
@@ -205,6 +206,29 @@ def test_language_model(spark):
     assert language_model.score(empty(spark), *language_model.train(empty(spark))).count() == 0
 
 
+def test_language_model_scores_against_the_table(spark):
+    """Each token by itself: its unit after the unit before it, and its smoothed share of the unit's count."""
+    docs = documents(spark).withColumn("score", F.lit("clash"))
+    counts, lexicon, table = language_model.train(docs)
+    got = {r.doc_id: r.score for r in language_model.score(docs, counts, lexicon, table).collect() if r.doc_id is not None}
+    n = {r.word.encode(): r.n for r in counts.collect()}
+    top = sorted((w for w in n if w), key=lambda w: (-n[w], w))[: language_model.WORD_UNITS]
+    number = {w: i for i, w in enumerate(top)}
+    unit = lambda w: language_model.END if w == b"" else number.get(w, language_model.ending_unit(w))
+    rest = [w for w in n if w and w not in number]
+    of_unit = {u: [w for w in rest if unit(w) == u] for u in {unit(w) for w in rest}}
+    for r in docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect():
+        before, want = language_model.END, 0.0
+        for w in [*(r.text or "").encode().lower().split(), b""]:
+            u = unit(w)
+            want += float(table[before, u])
+            if u >= language_model.WORD_UNITS and u != language_model.END:
+                total = sum(n[x] for x in of_unit.get(u, [])) + language_model.SMOOTH * (len(of_unit.get(u, [])) + 1)
+                want += math.log10((n.get(w, 0) + language_model.SMOOTH) / total)
+            before = u
+        assert math.isclose(got[r.doc_id], want, rel_tol=1e-4, abs_tol=1e-3)
+
+
 def common_scores(docs):
     from siltstone.llm import common
 
