@@ -28,7 +28,8 @@ def test_chat_windows_come_back_whole(spark):
     ones = windows.where("conv_id = 1").orderBy("window").collect()
     assert len(ones) > 2 and all(w.formatted.startswith("<|im_start|>system\nbe kind<|im_end|>\n") for w in ones)
     assert any(w.n_repeated > 1 for w in ones[1:])
-    assert any(w.over_budget for w in ones) and all(w.over_budget == (-(-len(w.formatted) // 4) > chat_format.BUDGET) for w in ones)
+    tight = chat_format.windows(turns, budget=200).where("conv_id = 1").collect()
+    assert not any(w.over_budget for w in ones) and any(w.over_budget for w in tight) and all(w.over_budget == (-(-len(w.formatted) // 4) > 200) for w in tight)
     assert chat_format.windows(turns.limit(0)).count() == 0
 
 
