@@ -49,7 +49,7 @@ def utf8_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int = FLUSH_BYTES) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int = FLUSH_BYTES // 2) -> Iterator[pa.Table]:
     """The rows in larger batches, closed once their texts reach so many bytes."""
     held, heavy = [], 0
     for batch in batches:

@@ -26,7 +26,7 @@ BARE, RUN = "\r\r", "\t\t"
 #: A letter and the ASCII signs after it at a chunk's end: they are pieces of their own, so the word is known without them.
 SIGNS = r"([A-Za-z])([!-/:-@\[-`{-~]+)( |$)"
 #: Chunks kept by a worker, and the longest of them.
-CACHE_CHUNKS, CACHED_CHARS = 500_000, 64
+CACHE_CHUNKS, CACHED_CHARS = 200_000, 64
 
 
 class _Places(dict):
@@ -44,7 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = control_as_text
-        self.joiner = Tokenizer.from_file(path)  # here control tokens part the chunks
+        self.joiner = Tokenizer.from_file(path) if control_as_text else self.tokenizer  # here control tokens part the chunks
         self.control = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.as_text = control_as_text
         self.drops_spaces = self.tokenizer.normalizer is not None

@@ -39,7 +39,7 @@ BLOCK, FIRST_BLOCKS, NEIGHBOURS, PARTS = 64, 6, 15, 4
 THRESHOLD = 0.3
 #: Excess, in standard deviations, at which the factor is a quarter; the factor of a term without excess.
 HALF, FLOOR = 4.0, 0.01
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
