@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import fresh_path, settled, shared_dir  # noqa: F401  the operators take them from here
 
-#: Rows that go to a Python worker at once; Spark's default of 10,000 long texts would not fit its memory.
-ARROW_ROWS = "500"
+#: Rows and bytes that go to a Python worker at once, with Spark's defaults: 10,000 long texts would not fit its memory.
+ARROW_BATCH = {"maxRecordsPerBatch": ("10000", "500"), "maxBytesPerBatch": ("67108864b", "8388608b")}
 #: Bytes of binary values after which a Python function hands a batch back.
 FLUSH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lower the Arrow batch size, unless the user has chosen one."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Lower the Arrow batch sizes in rows and bytes, unless the user has chosen them."""
+    for name, (default, ours) in ARROW_BATCH.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
     return spark
 
 

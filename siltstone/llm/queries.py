@@ -3,6 +3,7 @@
 from siltstone.llm.bit_packing import op9_bit_packing
 from siltstone.llm.chat_format import OP1_SQL, op1_budgeted_windows
 from siltstone.llm.decontamination import OP8_SQL, op8_prefix_join_decontamination
+from siltstone.llm.fill_in_middle import OP13_SQL, op13_frame_middles
 from siltstone.llm.filter_audit import OP12_SQL, op12_failing_id_audit
 from siltstone.llm.language_model import op4_log_bilinear
 from siltstone.llm.minhash import OP10_SQL, op10_circulant_minhash
@@ -26,6 +27,7 @@ QUERIES = {
         op9_bit_packing,
         op10_circulant_minhash,
         op12_failing_id_audit,
+        op13_frame_middles,
     )
 }
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op8_prefix_join_decontamination": OP8_SQL,
     "op10_circulant_minhash": OP10_SQL,
     "op12_failing_id_audit": OP12_SQL,
+    "op13_frame_middles": OP13_SQL,
 }
