@@ -6,10 +6,11 @@ and no row that passes everything goes further. What filter f removes after the
 
     fails(f)  LEFT ANTI  fails(g)  for each g in S
 
-for the 16 sets S of the other filters, so 80 relations answer for all orders. From their counts by part follow, for
-every order and step: removed (the relation of the filters before), redundant (fails less removed), unique_fails (the
-relation of all others), kept (the part's rows less what is removed so far), the label losses (the relations carry the
-marks of their rows) and the Shapley sum (each relation times the orders in which it occurs).
+and all 16 sets S are answered together: for each filter g, the left semi join with fails(g) passes on the failing rows
+that g meets, marked with g, and the left anti join passes on the others. A row that f fails and that the filters M meet
+too is removed by f after every S without a member of M, and redundant after every other S. From the counts by part follow
+removed, redundant, unique_fails (M is empty), kept (the part's rows less what is removed so far), the label losses (the
+relations carry the marks of their rows) and the Shapley sum (each set times the orders in which it occurs).
 
 Hot keys: a text with many copies is one row after partial aggregation, and its rows are looked up by a checked broadcast;
 failing rows are joined by their row numbers, which are unique; parts are summed partially first.
@@ -69,28 +70,26 @@ def label_marks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(marks, "doc_id", "left").na.fill(False, ["good", "toxic"])
 
 
-def failing_relations(judged: DataFrame, labels: DataFrame, filters: str = FILTERS) -> dict[str, DataFrame]:
-    """One stored table for each filter: the rows that fail it, with their label marks."""
+def failing_relations(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """One stored table for each filter, as the partitions of one by `filter`: the rows that fail it, with their label marks."""
     spark, path = judged.sparkSession, common.fresh_path(judged.sparkSession, "failing")
     marked = label_marks(judged.where("failing <> ''"), labels)
     each = marked.select("_row", "part", "good", "toxic", F.explode(F.split("failing", "")).alias("filter"))
     each.write.partitionBy("filter").parquet(path)
-    kept = "_row long, part string, good boolean, toxic boolean, filter string"
-    stored = spark.read.schema(kept).parquet(path)
-    return {f: stored.where(F.col("filter") == f).drop("filter") for f in filters}
+    return spark.read.schema("_row long, part string, good boolean, toxic boolean, filter string").parquet(path)
 
 
-def removals(fails: dict[str, DataFrame]) -> DataFrame:
+def removals(fails: DataFrame, filters: str = FILTERS) -> DataFrame:
     """part, filter, before (the filters applied before, in order of name), removed, good_lost, toxic_lost; zeros are left out."""
-    branches = []
-    for f, rows in fails.items():
-        others = [g for g in fails if g != f]
-        for k in range(len(others) + 1):
-            for before in combinations(others, k):
-                left = reduce(lambda kept, g: kept.join(fails[g].select("_row"), "_row", "left_anti"), before, rows)
-                branches.append(left.select("part", F.lit(f).alias("filter"), F.lit("".join(before)).alias("before"), F.col("good").cast("long").alias("good"), F.col("toxic").cast("long").alias("toxic")))
-    every = reduce(DataFrame.unionAll, branches)
-    return every.groupBy("part", "filter", "before").agg(F.count("*").alias("removed"), F.sum("good").alias("good_lost"), F.sum("toxic").alias("toxic_lost"))
+    left = fails.withColumn("met", F.lit(""))
+    for g in filters:
+        ids = fails.where(F.col("filter") == g).select("_row")
+        met, others = left.join(ids, "_row", "left_semi"), left.join(ids, "_row", "left_anti")
+        left = common.settle(met.withColumn("met", F.when(F.col("filter") == g, F.col("met")).otherwise(F.concat("met", F.lit(g)))).unionByName(others))
+    counted = left.groupBy("part", "filter", "met").agg(F.count("*").alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost"))
+    sets = ["".join(s) for k in range(len(filters)) for s in combinations(filters, k)]
+    every = counted.withColumn("before", F.explode(F.array(*map(F.lit, sets)))).where("NOT contains(before, filter) AND translate(before, met, '') = before")
+    return every.groupBy("part", "filter", "before").agg(*(F.sum(c).alias(c) for c in ("removed", "good_lost", "toxic_lost")))
 
 
 def orders(filters: str = FILTERS) -> Column:
