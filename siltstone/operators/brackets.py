@@ -1,8 +1,7 @@
-"""Brackets, strings and unreachable statements of brace languages, by one pass over tokens of each file.
+"""Brackets, strings and unreachable statements of brace languages, by one pass over the tokens of each file.
 
-What Catalyst expressions cannot hold is a stack of frames with template interpolation and markup; the pass is a small
-function over Arrow batches. In scripts, markup (JSX) that begins where a value may stand is a frame of its own: its text
-holds no brackets or quotes, `{...}` in it is code again.
+What Catalyst expressions cannot hold is a stack of blocks with interpolation and markup; the pass is a small function over
+Arrow batches. What is a string or a comment is the business of each language (`lexer.LANGUAGES`).
 """
 
 from __future__ import annotations
@@ -14,162 +13,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIRS = {"(": ")", "[": "]", "{": "}"}
-_TOKEN = re.compile(r"//[^\n]*|/\*|\"|'|`|[()\[\]{}]|;|\n|\\.|\$\{|[A-Za-z_$][\w$]*|\S|[^\S\n]+", re.S)
-#: After these a slash begins a regular expression, not a division.
-_REGEX_AFTER = set("(,=:[!&|?{};+-*%<>~^") | {"return", "typeof", "case", ""}
-_TAG = re.compile(r"<(?:[A-Za-z][\w.:-]*|>)")
-#: In a tag: a quoted value, code, the tag's end, or anything else. In markup text: a tag, code, or text.
-_IN_TAG = re.compile(r"\"[^\"]*\"|'[^']*'|\{|/>|>|[^\"'{/>]+|.", re.S)
-_IN_TEXT = re.compile(r"</[^>]*>|<(?:[A-Za-z][\w.:-]*|>)|\{|[^<{]+|.", re.S)
-_REGEX = re.compile(r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\n\\])*\]|[^/\n\\])+/[a-z]*")
-LEAVES = {"return", "throw"}
-
-
-def scan(source: str, template: bool, interpolation: bool = True, unreachable: bool = True) -> list[tuple[int, str]]:
-    """(line, rule): the first structural error alone, or every first unreachable statement of a block."""
-    counts: dict[str, int] = dict.fromkeys("()[]{}", 0)
-    stack: list[dict] = [{"open": "", "line": 1, "left": False, "dead": False}]
-    found: list[tuple[int, str]] = []
-    at, line, previous = 0, 1, ""
-
-    def finish() -> list[tuple[int, str]]:
-        return found if unreachable else []
-
-    def error(where: int, rule: str, bracket: bool = True) -> list[tuple[int, str]]:
-        """A bracket error counts only if the whole text opens and closes unequally."""
-        if bracket:
-            rest = Counter_of(source[at:], template)
-            if all(counts[o] + rest[o] == counts[c] + rest[c] for o, c in PAIRS.items()):
-                return []
-        return [(where, rule)]
-
-    markup: list[list] = []  # open markup: how many elements deep, whether in a tag, the code frame it stands in
-    while at < len(source):
-        if markup and markup[-1][2] == len(stack):
-            here = markup[-1]
-            t = (_IN_TAG if here[1] else _IN_TEXT).match(source, at)[0]
-            at += len(t)
-            if t == "{":
-                counts["{"] += 1
-                stack.append({"open": "{", "line": line, "left": False, "dead": False})
-                previous = "{"
-                continue
-            line += t.count("\n")
-            if here[1]:
-                if t in ("/>", ">"):
-                    here[0] += 1 if t == ">" else 0
-                    here[1] = False
-            elif t.startswith("</"):
-                here[0] -= 1
-            elif _TAG.fullmatch(t):
-                here[0], here[1] = here[0] + (t == "<>"), t != "<>"
-            if not here[0] and not here[1]:
-                markup.pop()
-                previous = "x"
-            continue
-        if template and interpolation and source[at] == "<" and previous in _REGEX_AFTER - {"x"} and (m := _TAG.match(source, at)):
-            markup.append([int(m[0] == "<>"), m[0] != "<>", len(stack)])
-            at = m.end()
-            continue
-        if source[at] == "/" and previous in _REGEX_AFTER and template and (m := _REGEX.match(source, at)):
-            at, previous = m.end(), "x"
-            continue
-        m = _TOKEN.match(source, at)
-        t, begin = m[0], line
-        at = m.end()
-        if t == "\n":
-            line += 1
-            continue
-        if t.isspace() or t.startswith("//"):
-            continue
-        if t == "/*":
-            end = source.find("*/", at)
-            if end < 0:
-                return error(begin, "unterminated_comment", False)
-            line += source.count("\n", at, end)
-            at = end + 2
-            continue
-        block = stack[-1]
-        if block["left"] and not block["dead"] and t not in ("}", ")", "]", ";", "case", "default", "else", "catch", "finally") and block["open"] in ("", "{") and not block.get("switch"):
-            block["dead"] = True
-            found.append((begin, "unreachable_code"))
-        if t in ("'", '"'):
-            while at < len(source) and source[at] not in (t, "\n"):
-                at += 2 if source[at] == "\\" else 1
-            if at >= len(source) or source[at] == "\n":
-                return error(begin, "unterminated_string", False)
-            at += 1
-        elif t == "`" and template:
-            end = _template_end(source, at, interpolation)
-            if end < 0:
-                return error(begin, "unterminated_template_literal", False)
-            line += source.count("\n", at, end)
-            at = end
-        elif t in PAIRS or t == "${":
-            o = t[-1]
-            counts[o] += 1
-            stack.append({"open": o, "line": begin, "left": False, "dead": False, "switch": o == "{" and block.get("word") == "switch"})
-            if o == "(":
-                stack[-1]["holder"] = previous
-        elif t in PAIRS.values():
-            counts[t] += 1
-            if len(stack) == 1:
-                if e := error(begin, "unexpected_closing_bracket"):
-                    return e
-                return []
-            if PAIRS[stack[-1]["open"]] != t:
-                return error(begin, "mismatched_bracket")
-            stack.pop()
-        elif t == ";":
-            if block.pop("leaving", False):
-                block["left"] = True
-            block["word"] = ""
-        elif t in LEAVES and block["open"] in ("", "{") and previous in (";", "{", "}", ""):
-            block["leaving"] = True
-        elif t in ("switch", "if", "for", "while"):
-            block["word"] = t
-        previous = t
-    if len(stack) > 1:
-        return error(stack[1]["line"], "unclosed_bracket")
-    return finish()
-
-
-def _template_end(source: str, at: int, interpolation: bool) -> int:
-    depth = 0
-    while at < len(source):
-        c = source[at]
-        if c == "\\" and interpolation:
-            at += 2
-            continue
-        if interpolation and c == "$" and source[at : at + 2] == "${":
-            depth, at = depth + 1, at + 2
-            continue
-        if depth and c in "{}":
-            depth += 1 if c == "{" else -1
-        elif c == "`" and not depth:
-            return at + 1
-        at += 1
-    return -1
-
-
-def Counter_of(text: str, template: bool) -> dict[str, int]:  # noqa: N802
-    """Brackets of a text outside its strings and comments."""
-    quotes = "\"'`" if template else "\"'"
-    code = re.sub(r"//[^\n]*|/\*.*?(?:\*/|\Z)|" + "|".join(rf"{q}(?:\\.|[^{q}\\\n])*{q}?" for q in quotes), "", text, flags=re.S)
-    return {c: code.count(c) for c in "()[]{}"}
-
+from siltstone.operators import lexer, structure
+from siltstone.operators.lexer import PAIRS
 
 #: Extensions whose unreachable statements are reported.
 UNREACHABLE = ".js .jsx .ts .tsx .java .c .cpp .cs .php .rs .kt .kts .swift".split()
 #: Extensions of the languages that the scan reads.
 BRACED = [*UNREACHABLE, ".go", ".rb"]
+#: Languages whose blocks end with a keyword.
+KEYWORD_ENDED = [".rb", ".ex", ".exs"]
+
+
+class Shape:
+    """A file's tokens and outline, each made when first asked for."""
+
+    def __init__(self, source: str, ext: str) -> None:
+        self.source, self.ext = source, ext
+        self._tokens: list[lexer.Token] | None = None
+        self._outline: structure.Outline | None = None
+
+    @property
+    def tokens(self) -> list[lexer.Token]:
+        if self._tokens is None:
+            self._tokens = lexer.tokens(self.source, self.ext)
+        return self._tokens
+
+    @property
+    def outline(self) -> structure.Outline:
+        if self._outline is None:
+            self._outline = structure.outline(self.source, self.tokens, self.ext in KEYWORD_ENDED)
+        return self._outline
+
+    def findings(self) -> list[tuple[int, str]]:
+        """(line, rule): the first structural error alone, or the first unreachable statement of each block."""
+        return self.outline.errors or (self.outline.unreachable if self.ext in UNREACHABLE else [])
+
+
+def scan(source: str, template: bool = True) -> list[tuple[int, str]]:
+    """(line, rule) of a script, or of a language without templates."""
+    return Shape(source, ".jsx" if template else ".java").findings()
 
 
 def findings(source: str, ext: str) -> list[tuple[int, str, str, str]]:
     """(line, rule, bug type, detail) of one file."""
-    js = ext in (".js", ".jsx", ".ts", ".tsx")
-    return [(line, rule, "Unnecessary Code" if rule == "unreachable_code" else "Syntax Error", "") for line, rule in scan(source, js or ext == ".go", js, ext in UNREACHABLE)]
+    return [(line, rule, "Unnecessary Code" if rule == "unreachable_code" else "Syntax Error", "") for line, rule in Shape(source, ext).findings()]
 
 
 def bracket_findings(files: DataFrame) -> DataFrame:

@@ -1,36 +1,26 @@
 """Chunks of source files: declarations with their code, tumbling blocks of lines, duplicates, and the chunk that a finding
 belongs to.
 
-`chunked` is the dispatcher. Ranges of declarations are found by windows over a file's lines (Python's by its parser);
-ranges alone come back to the file's lines, so its text is shuffled once for them. Nulls: a null or blank source has no
-chunks. Ties between equal ranges go to the first by kind and name. Files of one name and key columns are one file.
+`chunked` is the dispatcher: declarations come from the tokens that the detectors read too (Python's from its parser), and
+each file is cut where its row is, so no text is shuffled. Nulls: a null or blank source has no chunks. Ties between equal
+ranges go to the first by kind and name. Repeated files are cut each.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import chunk_id, described_chunk, extension, language, let, lines_of, safe_text, strip_line
+from siltstone.functions.text import chunk_id, described_chunk, language, let, lines_of, safe_text
+from siltstone.operators.brackets import Shape
+from siltstone.operators.rules import keyed
 
 BLOCK_LINES, MOST_LINES, CONTEXT = 80, 120, 3
-_NAME = r"([A-Za-z_$][\w$]*)"
-#: What a line that opens a class, or a function, looks like; group 1 is the name. The last is a C-like head: words and
-#: types, a name, an argument list and a brace on one line.
-CLASS_LINE = rf"(?U)\b(?:class|interface|struct)\s+{_NAME}"
-FUNCTION_LINES = [
-    rf"(?U)\bfunction\s+{_NAME}\s*\(",
-    rf"(?U)\b(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\b\s*)?\([^()]*\)\s*=>",
-    r"(?U)^\s*(?:async\s+)?def\s+(\w+[?!=]?)",
-    rf"(?U)^\s*(?:[^\s()={{}};]+\s+)+{_NAME}\s*\([^;{{}}]*\)[^;{{}}()]*\{{",
-]
-CONTROL = "if for while switch catch else return do try new throw".split()
-#: Languages whose blocks end with a keyword.
-KEYWORD_ENDED = [".rb", ".ex", ".exs"]
 
 
 def blocks(files: DataFrame, size: int = BLOCK_LINES, key: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -56,43 +46,45 @@ def deduplicated(chunks: DataFrame, order: str, key: tuple[str, ...] = ("file",)
     return chunks.withColumn("_k", F.row_number().over(same)).where("_k = 1").drop("_k")
 
 
+#: chunk_type, name, parent, line_start, line_end
+Range = tuple[str, str, str | None, int, int]
+RANGE = "struct<chunk_type: string, name: string, parent: string, line_start: int, line_end: int>"
+RANGE_TYPE = pa.struct([("chunk_type", pa.string()), ("name", pa.string()), ("parent", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
+CHUNK = "struct<chunk_type: string, name: string, parent: string, line_start: int, line_end: int, raw: string>"
+CHUNK_TYPE = pa.struct([*RANGE_TYPE, ("raw", pa.string())])
+PYTHON = (".py", ".pyi")
+
+
+def _ranged(files: DataFrame, key: tuple[str, ...], look: Callable[[Shape], list[tuple]], kind: pa.DataType, sql: str) -> DataFrame:
+    """The keys and what `look` finds in each file, by one pass where its row is."""
+    rows = keyed(files, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [look(Shape(source, ext)) for ext, source in zip(batch.column("ext").to_pylist(), batch.column("source").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(kind))], names=[*key, "c"])
+
+    columns = ", ".join(f"`{c}` {t}" for c, t in rows.select(*key).dtypes)
+    return rows.mapInArrow(run, f"{columns}, c array<{sql}>").select(*key, F.explode("c").alias("c")).select(*key, "c.*")
+
+
+def declared(shape: Shape) -> list[Range]:
+    """Classes and functions of a file in another language than Python, by its tokens."""
+    return [(d.kind, d.name, None, d.first, d.last) for d in shape.outline.declarations]
+
+
 def declarations(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Classes and functions by their first lines: the keys, chunk_type, name, line_start, line_end.
-
-    A declaration ends where the running depth of braces comes back to its own, or, in languages that end blocks with a
-    keyword and if its line opens no brace, at the next line that is `end`; one that never ends takes 80 lines in all."""
-    lines = files.select(*key, F.coalesce(extension(F.col("file")).isin(KEYWORD_ENDED), F.lit(False)).alias("worded"), F.posexplode(lines_of(F.col("source"))).alias("_p", "line")).withColumn("ln", F.col("_p") + 1)
-    code = strip_line(F.col("line"))
-    delta = F.char_length(F.replace(code, F.lit("}"), F.lit(""))) - F.char_length(F.replace(code, F.lit("{"), F.lit("")))
-    so_far = Window.partitionBy(*key).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("code", code).withColumn("delta", delta).withColumn("depth", F.sum("delta").over(so_far)).withColumn("before", F.col("depth") - F.col("delta"))
-    cls = F.regexp_extract("line", CLASS_LINE, 1)
-    names = [F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in FUNCTION_LINES]
-    function = F.when(~F.col("line").rlike(r"\bclass\s"), F.coalesce(*names))
-    found = lines.withColumn("chunk_type", F.when(cls != "", "class").when(function.isNotNull() & ~function.isin(CONTROL), "function")).withColumn("name", F.when(cls != "", cls).otherwise(function))
-    # a head by keyword has a level of its own, below all braces; `end` lines close it
-    worded = F.col("worded") & ~F.contains("code", F.lit("{"))
-    heads = found.where("chunk_type IS NOT NULL").select(*key, "chunk_type", "name", F.col("ln").alias("line_start"), F.when(worded, F.lit(-1_000_000)).otherwise(F.col("before")).alias("before"))
-    # a line closes the levels between its depths, or its own level if it opens and closes a block; a head ends at the next
-    # line that closes its level, which one window finds without pairing heads and lines
-    opened = F.contains("code", F.lit("{"))
-    levels = F.when(F.col("before") > F.col("depth"), F.sequence(F.col("depth"), F.col("before") - 1)).when(opened & (F.col("before") == F.col("depth")), F.array("depth")).otherwise(F.array().cast("array<bigint>"))
-    words = F.when(F.col("worded") & (F.trim("line") == "end"), F.array(F.lit(-1_000_000).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    closing = lines.select(*key, F.explode(F.concat(levels, words)).alias("level"), F.col("ln").alias("at"), F.lit(1).alias("order"), F.col("ln").alias("closes"))
-    opening = heads.select(*key, F.col("before").alias("level"), F.col("line_start").alias("at"), F.lit(0).alias("order"), F.lit(None).cast("int").alias("closes"), "chunk_type", "name")
-    onward = Window.partitionBy(*key, "level").orderBy("at", "order").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ends = opening.unionByName(closing, allowMissingColumns=True).withColumn("line_end", F.first("closes", ignorenulls=True).over(onward))
-    first = ends.where("order = 0").select(*key, "chunk_type", "name", F.col("at").alias("line_start"), "line_end")
-    total = lines.groupBy(*key).agg(F.max("ln").alias("_total"))
-    whole = first.join(total, list(key))
-    return whole.withColumn("line_end", F.coalesce("line_end", F.least(F.col("line_start") + BLOCK_LINES - 1, "_total"))).drop("_total")
+    """Classes and functions by their heads: the keys, chunk_type, name, line_start, line_end.
 
+    A declaration ends with the block that is its body, or, in languages that end blocks with a keyword and if its line
+    opens no brace, at the next line that is `end`; one that never ends takes 80 lines in all."""
+    return _ranged(files, key, declared, RANGE_TYPE, RANGE).drop("parent")
 
-def python_chunks(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Functions, classes and other top-level statements of Python files: the keys, chunk_type, name, parent, line_start,
-    line_end. A file that does not parse is one chunk."""
 
-    def parts(body: list, parent: str | None, top: bool) -> Iterator[tuple]:
+def python_ranges(source: str) -> list[Range]:
+    """Functions, classes and other top-level statements of a Python file; a file that does not parse is one chunk."""
+
+    def parts(body: list, parent: str | None, top: bool) -> Iterator[Range]:
         for node in body:
             kind = {"ClassDef": "class", "FunctionDef": "function", "AsyncFunctionDef": "function"}.get(type(node).__name__)
             if kind:
@@ -101,21 +93,41 @@ def python_chunks(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFra
             elif top:
                 yield "module_code", type(node).__name__.lower(), parent, node.lineno, node.end_lineno
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("chunk_type", pa.string()), ("name", pa.string()), ("parent", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]))
-        for batch in batches:
-            rows = []
-            for source in batch.column("source").to_pylist():
-                try:
-                    rows.append(list(parts(ast.parse(source or "").body, None, True)))
-                except (SyntaxError, ValueError, RecursionError):
-                    rows.append([("file", "file", None, 1, source.rstrip("\n").count("\n") + 1)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(rows, kind)], names=[*key, "c"])
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return list(parts(ast.parse(source).body, None, True))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return [("file", "file", None, 1, source.rstrip("\n").count("\n") + 1)]
+
 
-    rows = files.select(*key, F.col("source").cast("string"))
-    columns = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "source")
-    made = rows.mapInArrow(run, f"{columns}, c array<struct<chunk_type: string, name: string, parent: string, line_start: int, line_end: int>>")
-    return made.select(*key, F.explode("c").alias("c")).select(*key, "c.*")
+def python_chunks(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The keys, chunk_type, name, parent, line_start, line_end of Python files."""
+    return _ranged(files, key, lambda shape: python_ranges(shape.source), RANGE_TYPE, RANGE)
+
+
+def file_chunks(shape: Shape) -> list[tuple]:
+    """The chunks of one file with their code: declarations of at most MOST_LINES and CONTEXT lines around them, or blocks.
+    Those of equal type, name and range are one; blank ones are none."""
+    if not shape.source.strip():
+        return []
+    lines = shape.source.removesuffix("\n").split("\n")
+    try:
+        found = python_ranges(shape.source) if shape.ext in PYTHON else declared(shape)
+    except Exception:  # a file that no parser gets through is cut into blocks
+        found = []
+    cut = [(max(first - CONTEXT, 1), min(min(last, first + MOST_LINES - 1) + CONTEXT, len(lines)), kind, name, parent) for kind, name, parent, first, last in found]
+    cut = cut or [(at + 1, min(at + BLOCK_LINES, len(lines)), "code_block", f"block_{at + 1}", None) for at in range(0, len(lines), BLOCK_LINES)]
+    ordered = sorted(dict.fromkeys(cut), key=lambda c: (*c[:4], c[4] is not None, c[4] or ""))
+    whole = ((kind, name, parent, first, last, "\n".join(lines[first - 1 : last])) for first, last, kind, name, parent in ordered)
+    return [c for c in whole if c[-1].strip()]
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Chunks with raw code, and their language, code (trimmed), text (what it is embedded by) and chunk_id."""
+    rows = rows.withColumn("code", safe_text(F.col("raw"))).withColumn("language", language(F.col("file")))
+    text = described_chunk(*[F.col(c) for c in ("file", "language", "chunk_type", "name", "parent", "line_start", "line_end", "code")])
+    return rows.withColumn("text", text).withColumn("chunk_id", chunk_id(*[F.col(c) for c in ("file", "line_start", "line_end", "name")]))
 
 
 def chunked(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -123,29 +135,18 @@ def chunked(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
     (trimmed), raw (as in the file), text (what it is embedded by), chunk_id; ordered within a file by lines and type.
 
     Python by its parser, others by their declarations, at most 120 lines each and three more around them; a file without
-    any is cut into blocks. Declarations of equal type, name and range are one chunk."""
-    some = files.select(*key, F.col("source").cast("string")).where(safe_text(F.col("source")) != "")
-    python = F.coalesce(extension(F.col("file")).isin(".py", ".pyi"), F.lit(False))
-    ranges = declarations(some.where(~python), key).withColumn("parent", F.lit(None).cast("string")).unionByName(python_chunks(some.where(python), key))
-    range_ = F.struct("line_start", "line_end", "chunk_type", "name", "parent")
-    ranges = ranges.groupBy(*key).agg(F.collect_set(range_).alias("_r"))
-
-    def placed(r: Column) -> Column:
-        cut = limited(r["line_start"], r["line_end"], F.size("_lines"))
-        return F.struct(cut["line_start"].alias("line_start"), cut["line_end"].alias("line_end"), r["chunk_type"].alias("chunk_type"), r["name"].alias("name"), r["parent"].alias("parent"))
-
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_lines"), F.lit(1)), F.lit(BLOCK_LINES))
-    fallback = F.transform(starts, lambda s: F.struct(s.alias("line_start"), F.least(s + BLOCK_LINES - 1, F.size("_lines")).alias("line_end"), F.lit("code_block").alias("chunk_type"), F.format_string("block_%d", s).alias("name"), F.lit(None).cast("string").alias("parent")))
-    chosen = F.array_sort(F.array_distinct(F.coalesce(F.transform("_r", placed), fallback)))
-    with_code = F.transform(chosen, lambda c: F.struct(c.alias("c"), F.array_join(F.slice("_lines", c["line_start"], c["line_end"] - c["line_start"] + 1), "\n").alias("raw")))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    rows = some.select(*key, lines_of(F.col("source")).alias("_lines")).alias("l").join(ranges.alias("r"), on, "left").select(*[F.col(f"l.{k}") for k in key], "_lines", "_r")
-    rows = rows.select(*key, F.explode(with_code).alias("x")).select(*key, "x.c.*", "x.raw").withColumn("code", safe_text(F.col("raw"))).where("code <> ''").withColumn("language", language(F.col("file")))
-    text = described_chunk(*[F.col(c) for c in ("file", "language", "chunk_type", "name", "parent", "line_start", "line_end", "code")])
-    rows = rows.withColumn("text", text).withColumn("chunk_id", chunk_id(*[F.col(c) for c in ("file", "line_start", "line_end", "name")]))
+    any is cut into blocks. Each file is read once, where its row is: files of equal keys do not meet."""
+    rows = described(_ranged(files, key, file_chunks, CHUNK_TYPE, CHUNK))
     return rows.select(*key, "language", "chunk_type", "name", "parent", "line_start", "line_end", "code", "raw", "text", "chunk_id")
 
 
+def chunk_at(chunks: list[tuple], line: int | None) -> tuple | None:
+    """The chunk of a file that a line belongs to: the first that holds it, else the nearest; without a line the first."""
+    if not chunks or line is None:
+        return chunks[0] if chunks else None
+    return min(enumerate(chunks), key=lambda c: (max(c[1][3] - line, line - c[1][4], 0), c[0]))[1]
+
+
 #: Lines of a bin by which findings and chunks meet.
 BIN_LINES = 256
 

@@ -8,21 +8,21 @@ syntax errors is found and not the first alone.
 from __future__ import annotations
 
 import ast
-import builtins
 import re
-import symtable
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators import scopes
+
 LEAVING = (ast.Return, ast.Raise, ast.Break, ast.Continue)
 BUG_TYPES = {
-    "syntax_error": "Syntax Error", "undefined_name": "Runtime Error", "unused_import": "Other", "unreachable_code": "Unnecessary Code", "mutable_default_arg": "Logic Error",
+    "syntax_error": "Syntax Error", "undefined_name": "Runtime Error", "unreachable_code": "Unnecessary Code", "mutable_default_arg": "Logic Error",
     "bare_except": "Logic Error", "eq_none": "Logic Error", "division_by_zero": "Runtime Error", "possible_division_by_zero": "Runtime Error", "possibly_unused_function": "Unnecessary Code",
 }
-_NAMES = set(dir(builtins)) | {"__file__", "__name__", "__doc__", "__builtins__", "__path__", "__spec__", "__package__"}
 
 
 def leaves(s: ast.stmt) -> bool:
@@ -55,36 +55,24 @@ def unreachable(node: ast.AST) -> Iterator[int]:
                 yield from unreachable(s)
 
 
-def _undefined(tree: ast.Module, source: str) -> Iterator[tuple[int, str]]:
-    """Loads of names that no scope of the file binds and Python does not provide."""
-    if any(isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names) for n in ast.walk(tree)):
-        return
-    bound, asked = set(_NAMES), set()
-    todo = [symtable.symtable(source, "file", "exec")]
-    top = todo[0]
-    while todo:
-        scope = todo.pop()
-        todo += scope.get_children()
-        for s in scope.get_symbols():
-            if (scope is top and (s.is_assigned() or s.is_imported() or s.is_namespace())) or (s.is_declared_global() and s.is_assigned()):
-                bound.add(s.get_name())
-            if s.is_referenced() and (scope is top or s.is_global()):
-                asked.add(s.get_name())
-    missing = asked - bound
-    yield from sorted({(n.lineno, n.id) for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load) and n.id in missing})
-
-
 def rows_of(source: str) -> Iterator[tuple[str, int, str, str]]:
-    """(kind, line, rule or name, detail): kinds finding, def and call."""
+    """(kind, line, rule or name, detail): kinds finding, def and call.
+
+    What does not compile is a syntax error. A file that parses all the same, such as one with a return outside a function,
+    is looked at by the other rules too."""
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         for line, message in syntax_errors(source):
             yield "finding", line, "syntax_error", message
         return
-    for line, name in _undefined(tree, source):
-        yield "finding", line, "undefined_name", name
-    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
+    if _error(source) is not None:
+        for line, message in compile_errors(ast.parse(source)):
+            yield "finding", line, "syntax_error", message
+    for line, rule, detail in scopes.messages(tree):
+        yield "finding", line, rule, detail
     dead: set[int] = set()
     for node in ast.walk(tree):
         match node:
@@ -106,17 +94,21 @@ def rows_of(source: str) -> Iterator[tuple[str, int, str, str]]:
                     yield "finding", node.lineno, "division_by_zero", ""
             case ast.BinOp(op=ast.Div() | ast.FloorDiv()):
                 yield "finding", node.lineno, "possible_division_by_zero", ""
-            case ast.Import(names=names):
-                for a in names:
-                    if (a.asname or a.name.split(".")[0]) not in used:
-                        yield "finding", node.lineno, "unused_import", a.name
     for line in sorted(dead):
         yield "finding", line, "unreachable_code", ""
 
 
 def findings(source: str | None) -> list[tuple[int, str, str, str]]:
-    """(line, rule, bug type, detail) of one file, unused functions last."""
-    rows = list(rows_of(source or ""))
+    """(line, rule, bug type, detail) of one file, unused functions last. A file that breaks a rule (code nested too deeply
+    for Python's own tools, say) has one row that says so, and no other file is touched."""
+    try:
+        return _findings(source or "")
+    except Exception as e:
+        return [(1, "detector_error", "Other", type(e).__name__)]
+
+
+def _findings(source: str) -> list[tuple[int, str, str, str]]:
+    rows = list(rows_of(source))
     out = [(line, name, detail) for kind, line, name, detail in rows if kind == "finding"]
     called = {name for kind, _, name, _ in rows if kind == "call"}
     own = {name: line for kind, line, name, _ in rows if kind == "def" and not name.startswith("_") and name != "main"}
@@ -191,11 +183,13 @@ WAYS = (
 MOST_ERRORS = 40
 
 
-def _error(source: str) -> tuple[int, str] | None:
+def _error(source: str | ast.Module) -> tuple[int, str] | None:
     """Line and message of the first syntax error."""
     try:
-        compile(source, "file", "exec")
-    except (SyntaxError, ValueError, RecursionError) as e:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(source, "file", "exec", dont_inherit=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError) as e:
         return getattr(e, "lineno", None) or 1, getattr(e, "msg", None) or str(e)
     return None
 
@@ -216,6 +210,32 @@ def _mended(source: str, line: int) -> str | None:
     return best[1]
 
 
+class _Passed(ast.NodeTransformer):
+    """Puts `pass` for the innermost simple statement that begins at a line."""
+
+    def __init__(self, line: int) -> None:
+        self.line, self.done = line, False
+
+    def visit(self, node: ast.AST) -> ast.AST:
+        if isinstance(node, ast.stmt) and not hasattr(node, "body") and node.lineno <= self.line <= (node.end_lineno or node.lineno) and not self.done:
+            self.done = True
+            return ast.copy_location(ast.Pass(), node)
+        return self.generic_visit(node) if not isinstance(node, ast.expr) else node
+
+
+def compile_errors(tree: ast.Module) -> list[tuple[int, str]]:
+    """(line, message) of what Python refuses in a file that it can parse: a return outside a function, a name that is both
+    parameter and global, and so on. Each statement at fault is passed over and the next looked for."""
+    found: list[tuple[int, str]] = []
+    while (wrong := _error(tree)) is not None and wrong not in found:
+        found.append(wrong)
+        passed = _Passed(wrong[0])
+        tree = passed.visit(tree)
+        if not passed.done:
+            break
+    return found
+
+
 def syntax_errors(source: str) -> list[tuple[int, str]]:
     """(line, message) of up to MOST_ERRORS syntax errors: each is mended in a scratch copy, or its line emptied, and the
     next one looked for. It ends when nothing changes any more."""

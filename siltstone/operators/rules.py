@@ -1,9 +1,8 @@
-"""The detect driver: bracket scan, unreachable statements, pattern rules and Python rules, each file in one row.
+"""The detect driver: bracket scan, unreachable statements, pattern rules and Python rules, one pass over each file.
 
-Pattern rules are a table joined to files by extension; users extend it with rows of the same columns. They are matched
-on masked text inside the JVM. A match's line comes from a marker put before each match of the whole text, so patterns
-may span lines and the work is linear in the text. A file's findings are made where its row is: no text is shuffled, and
-files of different repositories never meet.
+Pattern rules are a table by extension; users extend it with rows of the same columns. They are matched on the text without
+its strings and comments, in the same task that reads the file's tokens, and may span lines. A file's findings are made
+where its row is: no text is shuffled or comes back from the task, and files of different repositories never meet.
 
 Nulls: a null source is an empty file; a null file name has no extension and no findings. Repeated files are reported
 each. A structural error is its file's only finding. Further columns named as keys are carried.
@@ -11,16 +10,18 @@ each. A structural error is its file's only finding. Further columns named as ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import balance, by_kind, extension, let, mask
-from siltstone.operators import brackets, python_rules
+from siltstone.functions.text import balance, by_kind, extension
+from siltstone.operators import brackets, lexer, python_rules
+from siltstone.operators.brackets import Shape
 
-MARK = "\u0001"
 _CATCH = r"catch\s*(\([^)]*\))?\s*\{\s*\}"
 #: Rule, bug type, extensions, pattern.
 RULES = [
@@ -42,87 +43,111 @@ DISPATCHED = ".py .pyi .js .jsx .ts .tsx .java .c .cpp .cs .go .php".split()
 
 
 PYTHON = (".py", ".pyi")
+FIELDS = "rule string, bug_type string, ext string, pattern string, dispatched boolean"
+#: Rule tables up to so many rows go to the tasks as they are; longer ones are joined to the files by extension.
+SMALL_TABLE = 10_000
+
+#: line_start, rule, bug_type, current_code, detail
+Finding = tuple[int, str, str, str, str]
+FINDING = "struct<line_start: int, rule: string, bug_type: string, current_code: string, detail: string>"
+FINDING_TYPE = pa.struct([("line_start", pa.int32()), ("rule", pa.string()), ("bug_type", pa.string()), ("current_code", pa.string()), ("detail", pa.string())])
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(rule, kind, ext, "(?U)" + pattern, ext in DISPATCHED) for rule, kind, exts, pattern in RULES for ext in exts.split()]
-    return spark.createDataFrame(rows, "rule string, bug_type string, ext string, pattern string, dispatched boolean")
+    """The library's rules. A pattern is a regular expression in the notation that Java's and Python's have in common."""
+    rows = [(rule, kind, ext, pattern, ext in DISPATCHED) for rule, kind, exts, pattern in RULES for ext in exts.split()]
+    return spark.createDataFrame(rows, FIELDS)
 
 
-def _grouped(rules: DataFrame) -> DataFrame:
-    """One row an extension: its rules as an array, in order of rule and pattern."""
-    return rules.groupBy("ext").agg(F.array_sort(F.collect_list(F.struct("rule", "bug_type", "pattern"))).alias("_rules"))
+@cache
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern.removeprefix("(?U)"))
 
 
-def _with_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The files with their masked text and the rules of their extension."""
-    small = rules.limit(10_001).count() <= 10_000  # the table is broadcast only while it is small
-    rows = files.withColumn("masked", by_kind(F.col("file"), lambda k: mask(F.col("source"), k)))
-    grouped = _grouped(rules)
-    return rows.join(F.broadcast(grouped) if small else grouped, "ext", "left")
+def file_findings(shape: Shape, rules: list[tuple[str, str, str]]) -> list[Finding]:
+    """What is found in one file, in order of lines and rules: Python's own rules; in brace languages a structural error
+    alone, or unreachable statements and matches of the (rule, bug type, pattern)s outside strings and comments."""
+    try:
+        if shape.ext in PYTHON:
+            found = python_rules.findings(shape.source)
+        else:
+            found = [(line, rule, "Unnecessary Code" if rule == "unreachable_code" else "Syntax Error", "") for line, rule in shape.findings()] if shape.ext in brackets.BRACED else []
+            if rules and all(rule == "unreachable_code" for _, rule, _, _ in found):
+                found += _matches(shape, rules)
+    except Exception as e:  # one file that breaks the detector is one row
+        found = [(1, "detector_error", "Other", type(e).__name__)]
+    lines = shape.source.split("\n") if found else []
+    return sorted((line, rule, kind, lines[line - 1].strip() if 0 < line <= len(lines) else "", detail) for line, rule, kind, detail in found)
 
 
-def _matches() -> F.Column:
-    """Array of (line_start, rule, bug_type, current_code) of all matches, from masked, source and _rules."""
+def _matches(shape: Shape, rules: list[tuple[str, str, str]]) -> Iterator[tuple[int, str, str, str]]:
+    text = lexer.masked(shape.source, shape.tokens)
+    for rule, kind, pattern in rules:
+        line, at = 1, 0
+        for m in _compiled(pattern).finditer(text):
+            line += text.count("\n", at, m.start())
+            at = m.start()
+            yield line, rule, kind, ""
 
-    def of_rule(r):
-        def of_lines(marked):
-            both = F.arrays_zip(F.split(marked, "\n", -1).alias("m"), F.split("source", "\n", -1).alias("s"))
-            lines = F.filter(F.transform(both, lambda z, i: F.struct((i + 1).alias("n"), z["m"].alias("m"), z["s"].alias("s"))), lambda x: F.contains(x["m"], F.lit(MARK)))
-            times = lambda x: F.char_length(x["m"]) - F.char_length(F.replace(x["m"], F.lit(MARK), F.lit("")))
-            finding = lambda x: F.struct(x["n"].alias("line_start"), r["rule"].alias("rule"), r["bug_type"].alias("bug_type"), F.trim(x["s"]).alias("current_code"))
-            return F.flatten(F.transform(lines, lambda x: F.array_repeat(finding(x), times(x))))
 
-        return let(F.regexp_replace("masked", r["pattern"], F.lit(f"{MARK}$0")), of_lines)
+def keyed(files: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The keys, source (null: empty) and ext (null: none)."""
+    return files.select(*key, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(extension(F.col("file")), F.lit("")).alias("ext"))
 
-    return F.flatten(F.transform("_rules", of_rule))
 
+def examined(files: DataFrame, rules: DataFrame | None, key: tuple[str, ...], dispatched_only: bool, look: Callable[[Shape, list[tuple[str, str, str]]], list[tuple]], kind: pa.DataType, sql: str) -> DataFrame:
+    """The keys and `f`, what `look` makes of each file and the rules of its extension, in one pass over each source.
 
-def pattern_findings(files: DataFrame, rules: DataFrame | None = None, key: tuple[str, ...] = ("file",)) -> DataFrame:
-    """The keys, line_start, rule, bug_type, current_code for every match of every rule of a file's extension."""
+    Only what is found comes back from the tasks. A short rule table is handed to them; a long one is joined."""
     rules = rule_table(files.sparkSession) if rules is None else rules
-    rows = _with_rules(files.select(*key, "source").withColumn("ext", extension(F.col("file"))), rules).where("_rules IS NOT NULL")
-    return rows.select(*key, F.explode(_matches()).alias("f")).select(*key, "f.*")
+    rows = keyed(files, key)
+    few = rules.select("ext", "rule", "bug_type", "pattern", "dispatched").limit(SMALL_TABLE + 1).collect()
+    table: dict[str, list[tuple[str, str, str]]] | None = None
+    if len(few) <= SMALL_TABLE:
+        table = {}
+        for r in sorted(few, key=lambda r: (r.rule or "", r.pattern or "")):
+            table.setdefault(r.ext, []).append((r.rule, r.bug_type, r.pattern))
+        if dispatched_only:
+            rows = rows.where(F.col("ext").isin(sorted({*DISPATCHED, *(r.ext for r in few if r.dispatched and r.ext is not None)})))
+    else:
+        each = F.array_sort(F.collect_list(F.struct("rule", "bug_type", "pattern")))
+        grouped = rules.groupBy("ext").agg(each.alias("_rules"), F.max("dispatched").alias("_asked"))
+        rows = rows.join(grouped, "ext", "left")
+        if dispatched_only:
+            rows = rows.where(F.col("ext").isin(DISPATCHED) | F.col("_asked"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            own = None if table is not None else batch.column("_rules").to_pylist()
+            for i, (ext, source) in enumerate(zip(batch.column("ext").to_pylist(), batch.column("source").to_pylist(), strict=True)):
+                asked = table.get(ext, []) if own is None else [(r["rule"], r["bug_type"], r["pattern"]) for r in own[i] or []]
+                found.append(look(Shape(source, ext), asked))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(kind))], names=[*key, "f"])
 
-def structural_findings(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
-    """The keys, rule, bug_type of files whose brackets do not match; none if every bracket is closed as often as opened."""
-    wrong = by_kind(F.col("file"), lambda k: balance(F.col("source"), k))
-    return files.select(*key, F.explode(F.filter(F.array(wrong), lambda w: w.isNotNull() & (w != "unterminated_string"))).alias("rule")).withColumn("bug_type", F.lit("Syntax Error"))
-
+    columns = ", ".join(f"`{c}` {t}" for c, t in rows.select(*key).dtypes)
+    return rows.mapInArrow(run, f"{columns}, f array<{sql}>")
 
-_SHAPES = "array<struct<line_start: int, rule: string, bug_type: string, current_code: string, detail: string>>"
 
+def pattern_findings(files: DataFrame, rules: DataFrame | None = None, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The keys, line_start, rule, bug_type, current_code for every match of every rule of a file's extension."""
+    def look(shape: Shape, asked: list) -> list[Finding]:
+        lines = shape.source.split("\n")
+        return sorted((line, rule, kind, lines[line - 1].strip(), detail) for line, rule, kind, detail in _matches(shape, asked))
 
-def _shapes(files: DataFrame) -> DataFrame:
-    """The rows with `_shapes`, what the bracket scan or the Python rules find, and `_open`, whether patterns are asked too."""
-    kind = pa.list_(pa.struct([("line_start", pa.int32()), ("rule", pa.string()), ("bug_type", pa.string()), ("current_code", pa.string()), ("detail", pa.string())]))
+    return examined(files, rules, key, False, look, FINDING_TYPE, FINDING).select(*key, F.explode("f").alias("f")).select(*key, "f.line_start", "f.rule", "f.bug_type", "f.current_code")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shapes, open_ = [], []
-            for ext, source in zip(batch.column("ext").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                found = python_rules.findings(source) if ext in PYTHON else brackets.findings(source, ext) if ext in brackets.BRACED else []
-                lines = source.split("\n") if found else []
-                shapes.append([(line, rule, bug_type, lines[line - 1].strip() if 0 < line <= len(lines) else "", detail) for line, rule, bug_type, detail in found])
-                open_.append(all(rule == "unreachable_code" for _, rule, _, _ in found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, kind), pa.array(open_, pa.bool_())], names=[*batch.schema.names, "_shapes", "_open"])
 
-    columns = ", ".join(f"`{c}` {t}" for c, t in files.dtypes)
-    return files.mapInArrow(run, f"{columns}, _shapes {_SHAPES}, _open boolean")
+def structural_findings(files: DataFrame, key: tuple[str, ...] = ("file",)) -> DataFrame:
+    """The keys, rule, bug_type of files whose brackets do not match; none if every bracket is closed as often as opened."""
+    wrong = by_kind(F.col("file"), lambda k: balance(F.col("source"), k))
+    return files.select(*key, F.explode(F.filter(F.array(wrong), lambda w: w.isNotNull() & (w != "unterminated_string"))).alias("rule")).withColumn("bug_type", F.lit("Syntax Error"))
 
 
 def detect(files: DataFrame, rules: DataFrame | None = None, key: tuple[str, ...] = ("file",), dispatched_only: bool = True) -> DataFrame:
     """The keys, line_start, rule, bug_type, current_code, detail of all findings, in order of lines within a file.
 
     Brace languages: a structural error alone, or unreachable statements and the pattern rules. Python: its own rules. Files
-    of other extensions have none. `dispatched_only` leaves out extensions that a scan does not hand to the rules."""
-    rules = rule_table(files.sparkSession) if rules is None else rules
-    files = files.select(*key, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(extension(F.col("file")), F.lit("")).alias("ext"))
-    if dispatched_only:
-        extra = [r.ext for r in rules.where("dispatched").select("ext").distinct().limit(10_000).collect()]
-        files = files.where(F.col("ext").isin(sorted({*DISPATCHED, *extra})))
-    rows = _with_rules(_shapes(files), rules)
-    patterns = F.transform(F.coalesce(_matches(), F.array().cast("array<struct<line_start: int, rule: string, bug_type: string, current_code: string>>")), lambda x: F.struct(x["line_start"], x["rule"], x["bug_type"], x["current_code"], F.lit("").alias("detail")))
-    both = F.concat(F.col("_shapes"), F.when(F.col("_open"), patterns).otherwise(F.array().cast(_SHAPES)).cast(_SHAPES))
-    return rows.select(*key, F.explode(F.array_sort(both)).alias("f")).select(*key, "f.*")
+    of other extensions have none. `dispatched_only` leaves out extensions that a scan does not hand to the rules. A file
+    that breaks a detector has one row `detector_error`."""
+    return examined(files, rules, key, dispatched_only, file_findings, FINDING_TYPE, FINDING).select(*key, F.explode("f").alias("f")).select(*key, "f.*")

@@ -8,28 +8,39 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import settled
-from siltstone.functions.text import code_context, extension, labelled_query
-from siltstone.operators import chunks, repair, report, retrieval, rules, validation
+from siltstone.functions.text import code_context, described_chunk, extension, labelled_query, language, safe_text
+from siltstone.operators import brackets, chunks, repair, report, retrieval, rules, validation
 
 _HIT = "source_type dataset_source source artifact_type bug_type bug_description description solution file filename path code buggy_code patch diff title state labels url html_url body comments number".split()
 
 
-def numbered_findings(files: DataFrame, key: tuple[str, ...]) -> DataFrame:
+_FOUND = ["line_start", "rule", "bug_type", "current_code", "detail", "chunk_type", "name", "parent", "chunk_start", "chunk_end", "code"]
+_FOUND_TYPE = pa.struct([(c, pa.int32() if c in ("line_start", "chunk_start", "chunk_end") else pa.string()) for c in _FOUND])
+_FOUND_SQL = f"struct<{', '.join(f'{c}: {"int" if c in ("line_start", "chunk_start", "chunk_end") else "string"}' for c in _FOUND)}>"
+
+
+def _with_chunk(shape: brackets.Shape, asked: list) -> list[tuple]:
+    """The findings of a file, each with the chunk that it stands in; a file without findings is not cut."""
+    found = rules.file_findings(shape, asked)
+    parts = chunks.file_chunks(shape) if found else []
+    return [(*f, *(chunks.chunk_at(parts, f[0]) or (None,) * 6)) for f in found]
+
+
+def numbered_findings(files: DataFrame, key: tuple[str, ...], rule_table: DataFrame | None = None) -> DataFrame:
     """Findings of the files (keys, source) with their chunk: finding_id, the keys, line_start, rule, bug_type, error,
-    current_code, chunk (id), context (the chunk as a text), code (as in the file), line (the reported line's number in it)."""
-    found = rules.detect(files, key=key).withColumn("error", F.concat_ws(": ", F.col("rule"), F.nullif(F.col("detail"), F.lit(""))))
+    current_code, context (the chunk as a text), code (as in the file), line (the reported line's number in it).
+
+    Detection and chunks come from one pass over each file; what leaves it are the findings with the code of their chunk."""
+    found = rules.examined(files, rule_table, key, True, _with_chunk, _FOUND_TYPE, _FOUND_SQL).select(*key, F.explode("f").alias("f")).select(*key, "f.*")
     found = settled(found.withColumn("finding_id", F.monotonically_increasing_id()))
-    parts = chunks.chunked(files, key)
-    packed = F.to_json(F.struct(*key))  # one column for the keys, nulls and all
-    numbered = settled(parts.withColumn("_file", packed).withColumn("chunk", F.monotonically_increasing_id()))
-    asked = found.select(packed.alias("file"), "finding_id", "line_start", F.col("line_start").alias("line_end"))
-    best = chunks.best_chunk(asked, numbered.select(F.col("_file").alias("file"), "chunk", "line_start", "line_end"), "finding_id", "chunk").select("finding_id", "chunk")
-    whole = found.join(best, "finding_id", "left").join(numbered.select("chunk", F.col("chunk_type"), F.col("name"), F.col("line_start").alias("chunk_start"), F.col("raw").alias("code"), F.col("text").alias("context")), "chunk", "left")
-    return whole.withColumn("line", validation.reported_line(F.col("code"), F.col("line_start"), F.col("chunk_start"), F.col("current_code")))
+    context = described_chunk(F.col("file"), language(F.col("file")), *[F.col(c) for c in ("chunk_type", "name", "parent", "chunk_start", "chunk_end")], safe_text(F.col("code")))
+    found = found.withColumn("error", F.concat_ws(": ", F.col("rule"), F.nullif(F.col("detail"), F.lit("")))).withColumn("context", F.when(F.col("code").isNotNull(), context))
+    return found.drop("parent").withColumn("line", validation.reported_line(F.col("code"), F.col("line_start"), F.col("chunk_start"), F.col("current_code")))
 
 
 def scan(files: DataFrame, records: DataFrame, artifacts: DataFrame, analyzer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = report.unavailable, encode: Callable[[Column], Column] = retrieval.hashed_vector) -> DataFrame:

@@ -29,7 +29,7 @@ def test_undefined_name_and_zero_division():
 
 
 @pytest.mark.parametrize("source, rule", [
-    ("def f():\n    return 1\n    x = 2\n", "unreachable_code"), ("def f():\n    if a_ := 1:\n        return 1\n    else:\n        raise ValueError\n    y = 1\n", "unreachable_code"),
+    ("def f():\n    return 1\n    print(2)\n", "unreachable_code"), ("def f():\n    if a_ := 1:\n        return 1\n    else:\n        raise ValueError\n    print(1)\n", "unreachable_code"),
     ("def f(*, a=[]): return f\nf()", None), ("None == print", None), ("x = 1\nx == None", "eq_none"), ("y = 3 % 0", None), ("import os", "unused_import"), ("try:\n    pass\nexcept:\n    pass", "bare_except"),
     ("def f():\n    global g\n    g = 1\nprint(g)\nf()", None), ("print([q for q in range(3)], (lambda z: z)(1))", None), ("x = (", "syntax_error"), ("a = b'\\x00'", None),
 ])
