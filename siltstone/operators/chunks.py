@@ -9,6 +9,7 @@ ranges go to the first by kind and name. Repeated files are cut each.
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -68,8 +69,14 @@ def _ranged(files: DataFrame, key: tuple[str, ...], look: Callable[[Shape], list
     return rows.mapInArrow(run, f"{columns}, c array<{sql}>").select(*key, F.explode("c").alias("c")).select(*key, "c.*")
 
 
+#: What every head has; a file without it is not read by tokens.
+_ANY_HEAD = re.compile(r"\b(?:class|interface|struct|function|def)\b|=>|\)[^;{}]*+\{")
+
+
 def declared(shape: Shape) -> list[Range]:
     """Classes and functions of a file in another language than Python, by its tokens."""
+    if _ANY_HEAD.search(shape.source) is None:
+        return []
     return [(d.kind, d.name, None, d.first, d.last) for d in shape.outline.declarations]
 
 

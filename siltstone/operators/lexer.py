@@ -135,10 +135,11 @@ def _reader(name: str) -> _Reader:
     """The patterns of a language: one that matches the next piece of code, and one that begins each kind of string."""
     g = LANGUAGES[name]
     line = g.line if g.line.endswith("*+") else rf"(?:{g.line})[^\n]*+"
-    parts = [r"(?P<nl>\n)", *([f"(?P<note>{g.notes})"] if g.notes else []), r"(?P<space>[^\S\n]+)", f"(?P<line>{line})", f"(?P<block>{'|'.join(a for a, _ in g.block)})"]
-    parts += ["(?P<quote>" + "|".join(re.sub(r"\(\?P<\w+>", "(?:", q.begin) for q in g.quotes) + ")", f"(?P<word>{g.words})", r"(?P<number>\d(?:'?[\w.](?!\.))*+)" if name == "c" else r"(?P<number>\d[\w]*(?:\.\d[\w]*)?)"]
-    parts += [r"(?P<open>[(\[{])", r"(?P<close>[)\]}])", r"(?P<op>=>|->|::|\\.|.)"]
-    return _Reader(g, re.compile("|".join(parts), re.S), tuple(re.compile(q.begin) for q in g.quotes))
+    number = r"\d(?:'?[\w.](?!\.))*+" if name == "c" else r"\d\w*(?:\.\d\w*)?"
+    quote = "|".join(re.sub(r"\(\?P<\w+>", "(?:", q.begin) for q in g.quotes)
+    parts = [r"(?P<nl>\n)", f"(?P<line>{line})", f"(?P<block>{'|'.join(a for a, _ in g.block)})", f"(?P<quote>{quote})", f"(?P<word>{g.words}|{number})", r"(?P<open>[(\[{])", r"(?P<close>[)\]}])", r"(?P<op>=>|->|::|\\.|.)", r"\Z"]
+    ahead = f"(?P<note>{g.notes})|" if g.notes else ""
+    return _Reader(g, re.compile(rf"{ahead}[^\S\n]*+(?:{'|'.join(parts)})", re.S), tuple(re.compile(q.begin) for q in g.quotes))
 
 
 def language_of(ext: str) -> str:
@@ -156,7 +157,7 @@ class _Lexer:
         #: code: [depth of brackets within, what the text around goes on with]
         self.modes: list[list] = [[0, None]]
         self.before = ""
-        self.heredocs: list[tuple[str, bool]] = []
+        self.heredocs: list[str] = []
 
     def emit(self, kind: str, end: int) -> None:
         text = self.source[self.at : end]
@@ -173,40 +174,48 @@ class _Lexer:
             self.emit("note", first.end())
         elif g.outside and "<?" not in source and source.lstrip().startswith("<!"):
             self.emit("note", len(source))
-        n, code = len(source), self.reader.code
+        n, match, put, modes = len(source), self.reader.code.match, self.out.append, self.modes
+        odd = {"<"} if self.markup or g.heredoc else set()
+        odd |= ({"/"} if g.regexes else set()) | ({"?"} if g.outside else set())
         while self.at < n:
-            if self.modes[-1][0] == "markup":
+            if modes[-1][0] == "markup":
                 self._markup()
                 continue
-            if self.markup and source[self.at] == "<" and self.expects() and (m := _TAG.match(source, self.at)):
-                self.modes.append(["markup", int(m[0] == "<>"), m[0] != "<>"])
-                self.emit("text", m.end())
-                continue
-            m = code.match(source, self.at)
-            kind, text = m.lastgroup, m[0]
-            if kind == "nl":
-                self.emit("nl", m.end())
+            m = match(source, self.at)
+            kind, end = m.lastgroup, m.end()
+            if kind == "word":
+                text = m["word"]
+                put((kind, text, end - len(text), self.line))
+                self.at, self.before = end, text
+            elif kind == "op" and (text := m["op"]) not in odd:
+                put((kind, text, end - len(text), self.line))
+                self.at, self.before = end, text
+                self.line += text[-1] == "\n"
+            elif kind == "open":
+                text = m["open"]
+                modes[-1][0] += 1
+                put((kind, text, end - 1, self.line))
+                self.at, self.before = end, text
+            elif kind == "nl":
+                put((kind, "\n", end - 1, self.line))
+                self.at = end
+                self.line += 1
                 if self.heredocs:
                     self._heredoc_bodies()
-            elif kind == "space":
-                self.at = m.end()
-            elif kind in ("line", "note"):
-                self.emit("note", m.end())
-            elif kind == "block":
-                self._block(text)
-            elif kind == "quote":
-                self._begin(m)
-            elif kind in ("word", "number"):
-                self.emit("word", m.end())
-                self.before = text if kind == "word" else "0"
-            elif kind == "open":
-                self.modes[-1][0] += 1
-                self.emit("open", m.end())
-                self.before = text
-            elif kind == "close":
-                self._close(m)
+            elif kind is None:
+                break
             else:
-                self._operator(m)
+                self.at = m.start(kind)
+                if kind == "close":
+                    self._close(m["close"])
+                elif kind == "op":
+                    self._operator(m["op"])
+                elif kind == "quote":
+                    self._begin(m["quote"])
+                elif kind == "block":
+                    self._block(m["block"])
+                else:
+                    self.emit("note", end)
         for mode in self.modes[1:]:
             if mode[0] == "markup":
                 continue
@@ -238,8 +247,8 @@ class _Lexer:
         if end < 0:
             self.bad("unterminated_comment", line)
 
-    def _begin(self, m: re.Match) -> None:
-        if m[0][0] == "%" and not self.expects():  # a remainder
+    def _begin(self, begin: str) -> None:
+        if begin[0] == "%" and not self.expects():  # a remainder
             self.emit("op", self.at + 1)
             self.before = "%"
             return
@@ -278,37 +287,43 @@ class _Lexer:
                 self.before = source[at - 1]
                 return
 
-    def _close(self, m: re.Match) -> None:
+    def _close(self, text: str) -> None:
         mode = self.modes[-1]
         mode[0] -= 1
-        self.emit("close", m.end())
-        self.before = m[0] if m[0] != "}" else ""
+        self.out.append(("close", text, self.at, self.line))
+        self.at += 1
+        self.before = text if text != "}" else ""
         if len(self.modes) > 1 and mode[0] <= 0:
             self.modes.pop()
             if mode[1] is not None:
                 self._string(*mode[1][:2], self.at, mode[1][2])
 
-    def _operator(self, m: re.Match) -> None:
-        source, g = self.source, self.reader.language
-        if m[0] == "/" and g.regexes and (self.expects() or (g.heredoc == "ruby" and source[self.at - 1 : self.at] == " " and source[self.at + 1 : self.at + 2] not in (" ", "="))) and (r := _REGEX.match(source, self.at)):
+    def _operator(self, text: str) -> None:
+        """A sign that may begin something else than an operator."""
+        source, g, at = self.source, self.reader.language, self.at
+        if text == "<" and self.markup and self.expects() and (m := _TAG.match(source, at)):
+            self.modes.append(["markup", int(m[0] == "<>"), m[0] != "<>"])
+            self.emit("text", m.end())
+            return
+        if text == "/" and (self.expects() or (g.heredoc == "ruby" and source[at - 1 : at] == " " and source[at + 1 : at + 2] not in (" ", "="))) and (r := _REGEX.match(source, at)):
             self.emit("text", r.end())
             self.before = "\u0001"
             return
-        if m[0] == "<" and g.heredoc and (h := _HEREDOC[g.heredoc].match(source, self.at)) and (g.heredoc == "php" or self.expects() or source[self.at + 2 : self.at + 3] in "~-" or h["q"]):
-            self.heredocs.append((h["tag"], g.heredoc == "php"))
+        if text == "<" and g.heredoc and (h := _HEREDOC[g.heredoc].match(source, at)) and (g.heredoc == "php" or self.expects() or source[at + 2 : at + 3] in "~-" or h["q"]):
+            self.heredocs.append(h["tag"])
             self.emit("text", h.end())
             self.before = "\u0001"
             return
-        if m[0] == "?" and g.outside and source.startswith("?>", self.at):
-            again = re.compile(g.outside).search(source, self.at)
+        if text == "?" and g.outside and source.startswith("?>", at):
+            again = re.compile(g.outside).search(source, at)
             self.emit("note", again.end() if again else len(source))
             self.before = ""
             return
-        self.emit("op", m.end())
-        self.before = m[0]
+        self.emit("op", at + len(text))
+        self.before = text
 
     def _heredoc_bodies(self) -> None:
-        for tag, _ in self.heredocs:
+        for tag in self.heredocs:
             line = self.line
             end = re.compile(rf"^[ \t]*{tag}\b", re.M).search(self.source, self.at)
             self.emit("text", end.end() if end else len(self.source))

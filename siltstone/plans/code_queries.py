@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import brackets, chunks, python_rules, repair, rules, validation
-from siltstone.plans.source_queries import query, table
+from siltstone.plans.source_queries import query, spread, table
 
 
 @query(r"""
@@ -19,7 +19,7 @@ def q_mask_pages(spark, sf_dir):
 
 def _scripts(spark, sf_dir):
     """Every script of every page: page_id, file, source."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("k", "source"))
+    rows = spread(table(spark, sf_dir, "pages")).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("k", "source"))
     return rows.select("page_id", F.format_string("page%d_%d.js", "page_id", "k").alias("file"), "source")
 
 
@@ -46,7 +46,7 @@ def _js(spark, sf_dir):
         F.when(k % 2 == 0, F.lit("debugger;")).otherwise(F.lit("`debugger`;")),
         F.when(k % 7 == 0, F.lit("try { f(); } catch (e) {\n}")).otherwise(F.lit("try { f(); } catch (e) { g(e);\n}")),
     ]
-    return table(spark, sf_dir, "orders").select(F.format_string("f%d.js", "o_orderkey").alias("file"), F.concat_ws("\n", *parts).alias("source"))
+    return spread(table(spark, sf_dir, "orders")).select(F.format_string("f%d.js", "o_orderkey").alias("file"), F.concat_ws("\n", *parts).alias("source"))
 
 
 @query("""
@@ -74,7 +74,7 @@ def q_debug_print(spark, sf_dir):
 def _brackets(spark, sf_dir):
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     code = F.concat(F.repeat(F.lit("(["), (F.col("l_quantity") % 3).cast("int")), F.lit('"(" /* { */'), F.repeat(F.lit("])"), (F.col("l_linenumber") % 3).cast("int")))
-    return table(spark, sf_dir, "lineitem").select(F.format_string("b%d.java", key).alias("file"), code.alias("source"))
+    return spread(table(spark, sf_dir, "lineitem")).select(F.format_string("b%d.java", key).alias("file"), code.alias("source"))
 
 
 @query("""
@@ -96,7 +96,7 @@ SELECT 'u' || o_orderkey || '.java' AS file, CASE WHEN o_orderkey % 3 = 0 THEN 3
 def q_bracket_statements(spark, sf_dir):
     k = F.col("o_orderkey") % 3
     code = F.when(k == 0, F.lit("int f() {\n  return 1;\n  g();\n}")).when(k == 1, F.lit('f();\nx = "abc;\ny = 1;')).otherwise(F.lit("f();\n/* open"))
-    made = table(spark, sf_dir, "orders").select(F.format_string("u%d.java", "o_orderkey").alias("file"), code.alias("source"))
+    made = spread(table(spark, sf_dir, "orders")).select(F.format_string("u%d.java", "o_orderkey").alias("file"), code.alias("source"))
     return brackets.bracket_findings(made)
 
 
@@ -136,7 +136,7 @@ def q_chunk_blocks(spark, sf_dir):
 SELECT 'd' || o_orderkey || '.js' AS file, unnest(['class', 'function', 'function']) AS chunk_type, unnest(['C' || o_orderkey, 'run', 'late']) AS name, unnest([1, 6, 9]) AS line_start, unnest([5, 8, CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 9 END]) AS line_end FROM orders""")
 def q_chunk_declarations(spark, sf_dir):
     code = F.concat(F.lit("class C"), "o_orderkey", F.lit(' {\n  a = "}";\n  b = 1; // }\n\n}\nfunction run(x) {\n  if (x) { y(); }\n}\nconst late = (q) => {'), F.when(F.col("o_orderkey") % 2 == 0, F.lit("\n}")).otherwise(F.lit(" }")))
-    made = table(spark, sf_dir, "orders").select(F.format_string("d%d.js", "o_orderkey").alias("file"), code.alias("source"))
+    made = spread(table(spark, sf_dir, "orders")).select(F.format_string("d%d.js", "o_orderkey").alias("file"), code.alias("source"))
     return chunks.declarations(made)
 
 

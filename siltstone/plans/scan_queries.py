@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import chunks, repair, report, retrieval, review, rules, validation
-from siltstone.plans.source_queries import query, table
+from siltstone.plans.source_queries import query, spread, table
 from siltstone.sources import files, history, knowledge
 from siltstone.streaming import scan_jobs
 
@@ -41,7 +41,7 @@ SELECT * FROM (SELECT o_orderkey % 2 AS repo, 'd/f' || (o_orderkey // 26) || '.'
   ({_CASE("(o_orderkey // 2)", [f[3] for f in FAULTS])} + o_custkey % 5)::INT AS line_start, trim({_CASE("(o_orderkey // 2)", [f[1].split(chr(10))[f[3] - 1] for f in FAULTS])}) AS current_code FROM orders) WHERE rule IS NOT NULL""")
 def q_detect(spark, sf_dir):
     k = F.floor(F.col("o_orderkey") / 2)
-    made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2).alias("repo"), F.concat(F.lit("d/f"), F.floor(F.col("o_orderkey") / 26), F.lit("."), _pick(k, [f[0] for f in FAULTS])).alias("file"), F.concat(F.repeat(F.lit("\n"), (F.col("o_custkey") % 5).cast("int")), _pick(k, [f[1] for f in FAULTS])).alias("source"))
+    made = spread(table(spark, sf_dir, "orders")).select((F.col("o_orderkey") % 2).alias("repo"), F.concat(F.lit("d/f"), F.floor(F.col("o_orderkey") / 26), F.lit("."), _pick(k, [f[0] for f in FAULTS])).alias("file"), F.concat(F.repeat(F.lit("\n"), (F.col("o_custkey") % 5).cast("int")), _pick(k, [f[1] for f in FAULTS])).alias("source"))
     return rules.detect(made, key=("repo", "file")).select("repo", "file", "rule", "line_start", "current_code")
 
 
@@ -55,7 +55,7 @@ SELECT o_orderkey, t AS chunk_type, n AS name, a::INT AS line_start, least(b, le
 def q_chunk_file(spark, sf_dir):
     m = (F.col("o_custkey") % 150).cast("int")
     sources = [F.concat(F.lit("class C {\n"), F.repeat(F.lit("  a();\n"), m), F.lit("}\ntail();")), F.concat(F.lit("x = 1\ndef run\n"), F.repeat(F.lit("  y\n"), m), F.lit("end\nz")), F.repeat(F.lit("select 1;\n"), m + 1)]
-    made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("f."), _pick(F.col("o_orderkey"), ["js", "rb", "sql"])).alias("file"), _pick(F.col("o_orderkey"), sources).alias("source"))
+    made = spread(table(spark, sf_dir, "orders")).select("o_orderkey", F.concat(F.lit("f."), _pick(F.col("o_orderkey"), ["js", "rb", "sql"])).alias("file"), _pick(F.col("o_orderkey"), sources).alias("source"))
     return chunks.chunked(made, ("o_orderkey", "file")).select("o_orderkey", "chunk_type", "name", "line_start", "line_end", "code")
 
 
@@ -327,7 +327,7 @@ SELECT repo, file, line_start, rule, row_number() OVER (PARTITION BY repo, file
   SELECT o_orderkey % 3 AS repo, 'f' || o_orderkey || '.js' AS file, unnest([1, 2, 2, 3]) AS line_start, unnest(['var_declaration', 'leftover_debugger_statement', 'loose_equality', 'var_declaration']) AS rule FROM orders)""")
 def q_finding_order(spark, sf_dir):
     """Findings come in order of lines and rules within their file, as one array a file."""
-    made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("repo"), F.format_string("f%d.js", "o_orderkey").alias("file"), F.lit("var a;\nif (a == 1) debugger;\nvar c;").alias("source"))
+    made = spread(table(spark, sf_dir, "orders")).select((F.col("o_orderkey") % 3).alias("repo"), F.format_string("f%d.js", "o_orderkey").alias("file"), F.lit("var a;\nif (a == 1) debugger;\nvar c;").alias("source"))
     rows = rules.detect(made, key=("repo", "file")).withColumn("_id", F.monotonically_increasing_id())
     ordered = rows.groupBy("repo", "file").agg(F.array_sort(F.collect_list(F.struct("_id", "line_start", "rule"))).alias("f"))
     return ordered.select("repo", "file", F.posexplode("f").alias("p", "x")).select("repo", "file", "x.line_start", "x.rule", (F.col("p") + 1).cast("long").alias("k"))

@@ -125,7 +125,8 @@ def test_long_rule_tables_are_joined(spark, monkeypatch):
     monkeypatch.setattr(rules, "SMALL_TABLE", 3)
     assert sorted(map(tuple, rules.detect(made, table).collect())) == few and {r[0] for r in few} == {"a.js", "b.odd", "e.py"}
     assert {r.file for r in rules.pattern_findings(made, table).collect()} == {"a.js", "b.odd", "c.kt"}
-    assert "Exchange" not in rules.detect(made)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert "Exchange" not in rules.detect(made, table)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_findings_meet_their_chunk_within_the_file(spark):
