@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import fresh_path, settled, shared_dir  # noqa: F401  the operators take them from here
@@ -87,17 +87,23 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most_rows: int, most_bytes: int) -> DataFrame:
-    """doc_id, label, text of labelled documents outside the held-out fold: the first `most_rows` ids by a hash, and of these
-    the first whose texts reach `most_bytes` in all. An id counts once, with its greatest label and its first text."""
+    """doc_id, label, text of labelled documents outside the held-out fold: the first `most_rows` ids by a hash, and of these,
+    in the same order, each whose text still fits `most_bytes` in all; a text that does not is passed over. An id counts
+    once, with its greatest label and its first text. Labelled texts of which none fits are an error."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), folds, held))
     once = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # bounded, so it may be broadcast
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     single = settle(joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
-    sizes = single.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes"))  # at most most_rows rows
-    so_far = F.sum("_bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    inside = sizes.select("doc_id", so_far.alias("_sum")).where(F.col("_sum") <= most_bytes).select("doc_id")
-    return single.join(F.broadcast(inside), "doc_id")
+    sizes = single.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most most_rows
+    inside, left = [], most_bytes
+    for r in sizes:
+        if r.bytes <= left:
+            inside.append((r.doc_id,))
+            left -= r.bytes
+    if sizes and not inside:
+        raise ValueError(f"no labelled text is of {most_bytes} bytes or fewer")
+    return single.join(F.broadcast(docs.sparkSession.createDataFrame(inside, "doc_id long")), "doc_id")
 
 
 #: Rows from which on a key is hot, and hot keys up to which their rows are broadcast.

@@ -116,6 +116,19 @@ def test_quality_classifier(spark):
     assert kept.columns == docs.columns and kept.where("doc_id >= 3000").count() == sum(truth.values())
 
 
+def test_a_long_text_does_not_switch_learning_off(spark):
+    """Each text in turn, over the bound by itself, is passed over; the others stay."""
+    rows = [(i, f"text {i} ", "en", "a", 1) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    sample = lambda rows, most: {r.doc_id for r in common.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"), labels, "quality", 4, 2, 100, most).collect()}
+    whole = sample(rows, 10_000)
+    assert len(whole) > 15
+    for long in sorted(whole)[:4]:
+        assert sample([(i, t * 2000 if i == long else t, *x) for i, t, *x in rows], 10_000) == whole - {long}
+    with pytest.raises(ValueError, match="no labelled text"):
+        sample([(i, t * 2000, *x) for i, t, *x in rows], 10_000)
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     out = toxicity.classify(docs, labels).toPandas()
