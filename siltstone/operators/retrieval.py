@@ -11,65 +11,208 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import settled
-from siltstone.functions.vectors import dot, normalised
+from siltstone.functions.vectors import normalised
 
 LEAST_SCORE = 0.05
-#: Query vectors that go to every task at once; more queries take more passes over the records. Products at once in a task.
-QUERY_BLOCK, PRODUCTS = 20_000, 4_000_000
+#: One side of a search up to so many bytes of vectors is held by every task; larger sides meet in blocks of so many rows.
+HELD_BYTES, QUERY_ROWS, RECORD_ROWS = 32 << 20, 20_000, 20_000
+#: Cells that a large set of records is divided into at most, and products at once in a task.
+CELLS, PRODUCTS = 256, 4_000_000
+
+_HITS = "query_id long, record_id long, similarity double"
+_HIT_FIELDS = ["query_id", "record_id", "similarity"]
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of vectors as a matrix; they are of one length."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.list_(pa.float64()))
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest scores of each row and their ids; ties go to the smaller id, or to the greater one if `later`."""
+    if scores.shape[1] > 4 * k + 16:  # what is below the k-th score of its row is out; ties with it stay
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        keep = np.flatnonzero((scores >= floor[:, None]).any(axis=0))
+        scores, ids = scores[:, keep], ids[:, keep]
+    order = np.lexsort((-ids if later else ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+class _Top:
+    """A bounded state: the k best records so far of some queries."""
+
+    def __init__(self, matrix: np.ndarray, k: int, later: bool) -> None:
+        self.matrix, self.k, self.later = matrix, k, later
+        self.scores, self.ids = np.empty((len(matrix), 0)), np.empty((len(matrix), 0), np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, PRODUCTS // max(len(self.matrix), 1))
+        for at in range(0, len(ids) if len(self.matrix) else 0, step):
+            here = ids[at : at + step]
+            scores = np.concatenate([self.scores, self.matrix @ vectors[at : at + step].T], axis=1)
+            every = np.concatenate([self.ids, np.broadcast_to(here, (len(self.matrix), len(here)))], axis=1)
+            self.scores, self.ids = _best(scores, every, self.k, self.later)
+
+    def hits(self, queries: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.repeat(queries, self.ids.shape[1]), pa.int64()), pa.array(self.ids.ravel(), pa.int64()), pa.array(self.scores.ravel(), pa.float64())]
+
+
+def _weight(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their vectors `v`."""
+    n, d = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    return n, n * 8 * max(d or 0, 1)
+
+
+def _held(rows: DataFrame, key: str):
+    """A small side, sorted by its key, for every task."""
+    table = rows.toArrow().sort_by(key)
+    return rows.sparkSession.sparkContext.broadcast((table[key].to_numpy(), _matrix(table["v"])))
 
 
 def top_k(queries: DataFrame, records: DataFrame, k: int, query_id: str = "query_id", record_id: str = "vec_id", vector: str = "embedding", least: float = LEAST_SCORE) -> DataFrame:
     """query_id, record id, similarity, rank: the k nearest records of each query by inner product, ties to the smaller id;
     then those over `least`, at most 1.
 
-    Queries are a stated set. Blocks of them, one after another, are multiplied with the records of each partition, of which
-    only the best k a query go on, so the shuffle holds k rows a query and partition."""
-    total = queries.count()
-    numbered = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    every = None
-    for b in range(blocks):
-        found = _pass(numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), records, k, record_id, vector)
-        found = settled(found) if blocks > 1 else found  # one block's vectors at a time
-        every = found if every is None else every.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), record_id)
-    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    A side of up to HELD_BYTES goes to every task, and the other side is read where it is. Two large sides meet by `Cells`:
+    the plan is the same for any number of queries, and no query passes through the driver."""
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    known = records.select(F.col(record_id).cast("long").alias("record_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    if (heavy := _weight(known))[1] <= HELD_BYTES:
+        found = _all_records_held(asked, known, k)
+    elif _weight(asked)[1] <= HELD_BYTES:
+        found = _all_queries_held(asked, known, k)
+    else:
+        found = Cells.of(known, heavy[0]).search(asked, k)
+    return _ranked(found, k, least).withColumnRenamed("record_id", record_id)
+
+
+def _ranked(found: DataFrame, k: int, least: float, later: bool = False) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("record_id") if later else F.asc("record_id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.where(F.col("similarity") > least).withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
 
 
-def _pass(queries: DataFrame, records: DataFrame, k: int, record_id: str, vector: str) -> DataFrame:
-    rows = queries.toArrow().sort_by("query_id")  # one bounded block
-    ids = rows["query_id"].to_numpy()
-    matrix = np.array(rows["v"].to_pylist(), np.float64)
-    held = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+def _all_records_held(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
+    held = _held(records, "record_id")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
-        best, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-        step = max(1, PRODUCTS // max(len(ids), 1))
         for batch in batches:
-            for at in range(0, len(batch) if len(ids) else 0, step):
-                part = batch.slice(at, step)
-                here = part.column(record_id).to_numpy(zero_copy_only=False).astype(np.int64)
-                block = np.array(part.column(vector).to_pylist(), np.float64)
-                scores = np.concatenate([scores, matrix @ block.T], axis=1)
-                best = np.concatenate([best, np.broadcast_to(here, (len(ids), len(here)))], axis=1)
-                order = np.lexsort((best, -scores), axis=1)[:, :k]
-                best, scores = np.take_along_axis(best, order, 1), np.take_along_axis(scores, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1]), pa.int64()), pa.array(best.ravel(), pa.int64()), pa.array(scores.ravel(), pa.float64())], names=["query_id", record_id, "similarity"])
+            if len(ids) and batch.num_rows:
+                top = _Top(_matrix(batch.column("v")), k, False)
+                top.add(ids, matrix)
+                yield pa.RecordBatch.from_arrays(top.hits(batch.column("query_id").to_numpy()), names=_HIT_FIELDS)
+
+    return queries.mapInArrow(multiply, _HITS)
 
-    return records.select(F.col(record_id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(multiply, f"query_id long, {record_id} long, similarity double")
+
+def _all_queries_held(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
+    """Each task of records keeps the best k of every query, so the shuffle holds k rows a query and task."""
+    held = _held(queries, "query_id")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = held.value
+        top = _Top(matrix, k, False)
+        for batch in batches:
+            top.add(batch.column("record_id").to_numpy(), _matrix(batch.column("v")))
+        yield pa.RecordBatch.from_arrays(top.hits(ids), names=_HIT_FIELDS)
+
+    return records.mapInArrow(multiply, _HITS)
+
+
+def _met(queries: DataFrame, records: DataFrame, k: int, later: bool = False) -> DataFrame:
+    """The best k of the records (cell, record_id, v) for each query (cell, query_id, v), of each block of its cell's records.
+
+    A cell's queries and records are dealt to blocks by their numbers; each pair of blocks of a cell is one group of a task,
+    so neither side of a large cell is ever in one."""
+    n = queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("_salts"))
+    m = records.groupBy("cell").agg(F.ceil(F.count("*") / RECORD_ROWS).alias("_blocks"))
+    sizes = settled(n.join(m, "cell"))  # one row a cell
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    dealt = lambda rows, id_, own, mine, other, theirs: rows.join(sizes, "cell").select("cell", F.pmod(F.xxhash64(id_), F.col(mine)).alias(own), to(theirs).alias(other), (F.lit(id_) == "query_id").alias("asks"), F.col(id_).alias("id"), "v")
+    both = dealt(queries, "query_id", "salt", "_salts", "block", "_blocks").unionByName(dealt(records, "record_id", "block", "_blocks", "salt", "_salts"))
+
+    def multiply(group: pa.Table) -> pa.Table:
+        asks, ids, v = group["asks"].to_numpy(), group["id"].to_numpy(), _matrix(group["v"])
+        top = _Top(v[asks], k, later)
+        top.add(ids[~asks], v[~asks])
+        return pa.Table.from_arrays(top.hits(ids[asks]), names=_HIT_FIELDS)
+
+    return both.groupBy("cell", "salt", "block").applyInArrow(multiply, _HITS)
+
+
+class Cells:
+    """An exact index of a large set of records: each belongs to the nearest of some centres, and each cell knows how far its
+    records are from its centre. No record of a cell can have a product with q over q * centre + |q| * radius.
+
+    A query first asks the cell of its greatest product with a centre. Its k-th best there, if it has so many, is a bound
+    that other cells must reach to be asked too."""
+
+    def __init__(self, records: DataFrame, centres: np.ndarray, radius: np.ndarray) -> None:
+        self.records, self.centres, self.radius = records, centres, radius
+
+    @classmethod
+    def of(cls, records: DataFrame, n: int) -> Cells:
+        """`records`: record_id, v; `n`: how many. The centres are the records of the least hashes."""
+        many = int(min(CELLS, max(1, -(-n // RECORD_ROWS))))
+        first = records.orderBy(F.xxhash64("record_id"), "record_id").limit(many).toArrow()
+        centres = _matrix(first["v"])
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            half = (centres**2).sum(axis=1) / 2
+            for batch in batches:
+                v = _matrix(batch.column("v"))
+                cell = (v @ centres.T - half).argmax(axis=1) if len(v) else np.empty(0, np.int64)
+                away = np.linalg.norm(v - centres[cell], axis=1) if len(v) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *batch.columns, pa.array(away, pa.float64())], names=["cell", "record_id", "v", "away"])
+
+        placed = settled(records.mapInArrow(place, "cell int, record_id long, v array<double>, away double"))
+        radius = np.full(len(centres), -np.inf)
+        for r in placed.groupBy("cell").agg(F.max("away").alias("r")).collect():  # at most CELLS
+            radius[r.cell] = r.r
+        return cls(placed.drop("away"), centres, radius)
+
+    def asked(self, queries: DataFrame, bounded: bool) -> DataFrame:
+        """cell, query_id, v: the cell that a query asks first, or, of queries with `bound`, the others that may hold better."""
+        centres, radius = self.centres, self.radius
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = _matrix(batch.column("v"))
+                products = np.where(np.isfinite(radius), v @ centres.T, -np.inf)
+                first = products.argmax(axis=1)
+                if bounded:
+                    reach = products + np.linalg.norm(v, axis=1)[:, None] * np.where(np.isfinite(radius), radius, 0)
+                    bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None]
+                    may = reach >= bound - 1e-9 * np.maximum(1, np.abs(bound))
+                    may[np.arange(len(v)), first] = False
+                    rows, cells = np.nonzero(may & np.isfinite(radius))
+                else:
+                    rows, cells = np.arange(len(v)), first
+                for at in range(0, len(rows), 4096):
+                    part = rows[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 4096], pa.int32()), batch.column("query_id").take(pa.array(part)), batch.column("v").take(pa.array(part))], names=["cell", "query_id", "v"])
+
+        return queries.mapInArrow(choose, "cell int, query_id long, v array<double>")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        queries = settled(queries)
+        near = settled(_met(self.asked(queries, False), self.records, k))
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "record_id")
+        worst = near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == k).select("query_id", F.col("similarity").alias("bound"))
+        bounds = queries.join(worst, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+        return near.unionByName(_met(settled(self.asked(bounds, True)), self.records, k))
 
 
 def top_k_within(queries: DataFrame, artifacts: DataFrame, by: str, k: int, query_id: str = "query_id", record_id: str = "number", vector: str = "embedding", least: float = LEAST_SCORE) -> DataFrame:
-    """As top_k among the artifacts of the query's own group (`by`, a repository): ties go to the later artifact. A group holds
-    the bounded history of one repository, so its vectors travel as one array and no query meets another's."""
-    held = artifacts.where(F.col(vector).isNotNull()).groupBy(by).agg(F.collect_list(F.struct(F.col(record_id).alias("r"), F.col(vector).alias("v"))).alias("_held"))
-    scored = F.transform("_held", lambda h: F.struct(dot(F.col("_q"), h["v"]).alias("similarity"), h["r"].alias("r")))
-    best = F.slice(F.sort_array(scored, asc=False), 1, k)
-    rows = queries.select(F.col(query_id).alias("query_id"), by, F.col(vector).alias("_q")).join(held, by).select("query_id", F.posexplode(best).alias("_p", "h"))
-    found = rows.select("query_id", F.col("h.r").alias(record_id), F.col("h.similarity").alias("similarity"), (F.col("_p") + 1).alias("rank"))
-    return found.where(F.col("similarity") > least).withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
+    """As top_k among the artifacts of the query's own group (`by`, a repository): ties go to the later artifact. Each group is
+    a cell; a large one is dealt to blocks, of which each keeps the best k a query."""
+    asked = queries.select(F.col(by).alias("cell"), F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    known = artifacts.select(F.col(by).alias("cell"), F.col(record_id).cast("long").alias("record_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    return _ranked(_met(asked, known, k, later=True), k, least, later=True).withColumnRenamed("record_id", record_id)
 
 
 def merged(hits: list[DataFrame], most: int = 6) -> DataFrame:

@@ -50,15 +50,18 @@ def scan(files: DataFrame, records: DataFrame, artifacts: DataFrame, analyzer: C
     text = labelled_query(*[F.col(c) for c in ("file", "bug_type", "rule", "error")], F.lit(None).cast("string"), F.col("current_code"))
     hits = retrieval.retrieved(found.select("finding_id", "repo", text.alias("query")), records, artifacts, encode=encode)
 
-    def fields(table: DataFrame, kind: str) -> DataFrame:
+    def fields(table: DataFrame, kind: str, source_ord: int, repo: Column, hit: str) -> DataFrame:
         have = set(table.columns)
         none = {"number": "bigint", "labels": "array<string>", "comments": "string"}
         one = lambda c: F.array_join(c, "\n") if c in have and dict(table.dtypes)[c].startswith("array") and c == "comments" else F.col(c)
-        return table.select(F.struct(*[F.lit(kind).alias(c) if c == "source_type" else one(c).cast(none.get(c, "string")).alias(c) if c in have else F.lit(None).cast(none.get(c, "string")).alias(c) for c in _HIT]).alias("_hit"), *(["id"] if kind == "dataset" else ["repo", F.col("number").alias("_number")]))
-
-    known = hits.where("source_ord = 0").join(fields(records, "dataset").withColumnRenamed("id", "hit"), "hit").select("query_id", "position", "similarity", "_hit")
-    past = hits.where("source_ord = 1").join(found.select(F.col("finding_id").alias("query_id"), "repo"), "query_id").join(fields(artifacts, "github"), "repo").where(F.col("hit") == F.col("_number")).select("query_id", "position", "similarity", "_hit")
-    every = known.unionByName(past).select("query_id", F.struct("position", F.struct("similarity", "_hit.*").alias("h")).alias("_e"))
+        row = F.struct(*[F.lit(kind).alias(c) if c == "source_type" else one(c).cast(none.get(c, "string")).alias(c) if c in have else F.lit(None).cast(none.get(c, "string")).alias(c) for c in _HIT])
+        return table.select(F.lit(source_ord).alias("source_ord"), repo.cast("string").alias("_repo"), F.col(hit).cast("long").alias("hit"), row.alias("_hit"))
+
+    # what may be hit, in one table, so that hits of both kinds find their fields by one join
+    known = fields(records, "dataset", 0, F.lit(""), "id").unionByName(fields(artifacts, "github", 1, F.coalesce(F.col("repo").cast("string"), F.lit("")), "number"))
+    of_finding = found.select(F.col("finding_id").alias("query_id"), F.coalesce(F.col("repo").cast("string"), F.lit("")).alias("_of"))
+    asked = hits.join(of_finding, "query_id").withColumn("_repo", F.when(F.col("source_ord") == 1, F.col("_of")).otherwise("")).drop("_of")
+    every = asked.join(known, ["source_ord", "_repo", "hit"]).select("query_id", F.struct("position", F.struct("similarity", "_hit.*").alias("h")).alias("_e"))
     evidence = every.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["h"]).alias("hits"))
     rows = found.join(evidence.withColumnRenamed("query_id", "finding_id"), "finding_id", "left")
     rows = rows.withColumn("hits", F.coalesce("hits", F.array().cast(evidence.schema["hits"].dataType)))

@@ -115,6 +115,22 @@ def q_topk_artifacts(spark, sf_dir):
     return hits.select("query_id", "number", F.round("similarity", 5).alias("similarity"), "rank")
 
 
+@query("""
+WITH q AS (SELECT vec_id AS query_id, vec_id % 5 AS repo, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, 0 AS source_ord, r.vec_id AS hit, list_inner_product(v, r.embedding::DOUBLE[]) AS s FROM q JOIN embeddings r ON r.vec_id % 2 = 0
+  UNION ALL SELECT query_id, 1, r.vec_id, list_inner_product(v, r.embedding::DOUBLE[]) FROM q JOIN embeddings r ON r.vec_id % 2 = 1 AND r.vec_id % 5 = q.repo),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_ord ORDER BY s DESC, CASE source_ord WHEN 0 THEN hit ELSE -hit END) AS rank FROM p),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(1, s) DESC, source_ord, rank) AS position FROM k WHERE rank <= 3 AND s > 0.05)
+SELECT query_id, source_ord, hit, round(least(1, s), 5) AS similarity, position::INT AS position FROM m WHERE position <= 6""")
+def q_finding_hits(spark, sf_dir):
+    """What is retrieved for findings: the encoder reads vectors that are written out as the findings' texts."""
+    e = table(spark, sf_dir, "embeddings").withColumn("repo", F.col("vec_id") % 5)
+    found = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("finding_id"), "repo", F.to_json(F.col("embedding").cast("array<double>")).alias("query"))
+    known, past = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "id"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "number")
+    hits = retrieval.retrieved(found, known, past, encode=lambda text: F.from_json(text, "array<double>"))
+    return hits.select("query_id", "source_ord", "hit", F.round("similarity", 5).alias("similarity"), "position")
+
+
 @query("""
 SELECT p_partkey, p_partkey % 3 = 0 AS was_cached, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 64 END AS dimensions FROM part""")
 def q_cached_vectors(spark, sf_dir):

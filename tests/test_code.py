@@ -233,16 +233,6 @@ def test_detect_tells_repositories_apart_and_honours_dispatch(spark):
     assert {r.file for r in rules.detect(made, key=("repo", "file"), dispatched_only=False).collect()} >= {"f.rs"}
 
 
-def test_top_k_in_several_passes_equals_one(spark, monkeypatch):
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    queries = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    hits = lambda: sorted((r.query_id, r.vec_id, r["rank"], round(r.similarity, 9)) for r in retrieval.top_k(queries, e, 4).collect())
-    want = hits()
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
-    assert hits() == want and len(want) > 10
-    assert retrieval.top_k(queries.limit(0), e, 4).count() == 0 and retrieval.top_k(queries, e.limit(0), 4).count() == 0
-
-
 def test_hashed_vectors_are_unit(spark):
     v = one(spark, retrieval.hashed_vector, t="one two two three")
     assert abs(sum(x * x for x in v) - 1) < 1e-9
