@@ -196,22 +196,41 @@ def clean_json_fence(text: Column) -> Column:
     return safe_text(F.regexp_replace(F.regexp_replace(safe_text(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
-#: Words of the lines in a reply that tell about the code instead of being code.
-_PLACES, _TITLES = "function|method|file|filename|path", "solution|corrected code|replacement code|replace with this code|explanation|description|reason|cause"
-META_LINES = [
-    r"lines?\s*:?\s*\d+\s*[-–—]\s*\d+",
-    rf"(?:{_PLACES})\s*:\s*\S.*",
-    rf"(?:{_TITLES})\s*:?",
-    r"(?:function|method|class|file)\s+[A-Za-z_$][\w$.\-]*",
-    r"(?:replace|use)(?:\s+with)?(?:\s+this)?\s+code\s*:?",
-    r"#{1,6}\s*(?:corrected code|solution|replacement|code)",
-]
+#: Titles that stand alone on a line of a reply, those that may stand behind heading marks, words that label the
+#: rest of their line, and words that name one thing.
+TITLES = ["solution", "corrected code", "replacement code", "replace with this code", "explanation", "description", "reason", "cause"]
+MARKED = ["corrected code", "solution", "replacement", "code"]
+LABELS = ["function", "method", "file", "filename", "path"]
+NAMING = ["function", "method", "class", "file"]
+
+
+def commentary(line: Column) -> Column:
+    """Whether a line of a reply tells about the code instead of being code: a title, a label with its value, a range of line
+    numbers, a kind of thing with its name, or an order to use what follows."""
+    flat = F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    unmarked = F.ltrim(F.regexp_replace(flat, "^#+", ""))
+    marks = F.char_length(flat) - F.char_length(F.regexp_replace(flat, "^#+", ""))
+    title = F.rtrim(F.regexp_replace(unmarked, ":$", ""))
+    words = F.split(title, " ")
+    first, rest = F.element_at(words, 1), F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    label, value = F.trim(F.substring_index(flat, ":", 1)), F.trim(F.substr(flat, F.instr(flat, F.lit(":")) + 1))
+
+    is_title = F.when(marks == 0, title.isin(TITLES)).otherwise((marks <= 6) & unmarked.isin(MARKED))
+    is_label = F.contains(flat, F.lit(":")) & label.isin(LABELS) & (value != "")
+    # "lines: 3 - 9": nothing but two numbers and a dash is left
+    numbers = F.when(first.isin("line", "lines", "line:", "lines:"), rest).when(label.isin("line", "lines"), value)
+    numbers = F.replace(F.replace(F.ltrim(F.regexp_replace(numbers, "^:", "")), F.lit(" -"), F.lit("-")), F.lit("- "), F.lit("-"))
+    dashed = F.split(F.translate(F.replace(numbers, F.lit(" "), F.lit("")), "–—", "--"), "-")
+    is_range = (marks == 0) & (F.size(dashed) == 2) & F.forall(dashed, lambda x: (x != "") & (F.translate(x, "0123456789", "") == ""))
+    named = (F.size(words) == 2) & first.isin(NAMING) & (F.translate(F.lower(rest), "abcdefghijklmnopqrstuvwxyz0123456789_$.-", "") == "") & ~F.left(rest, F.lit(1)).isin(*"0123456789.-")
+    order = first.isin("replace", "use") & (F.element_at(words, -1) == "code") & F.array_except(words, F.array(*map(F.lit, ("replace", "use", "with", "this", "code")))).eqNullSafe(F.array().cast("array<string>"))
+    return F.coalesce(is_title, F.lit(False)) | is_label | F.coalesce(is_range, F.lit(False)) | ((marks == 0) & ~F.endswith(flat, F.lit(":")) & named) | ((marks == 0) & order)
 
 
 def clean_replacement(text: Column) -> Column:
     """Replacement code without code fences, lines of commentary and quotes around the whole."""
-    body = F.filter(F.split(safe_text(text), "\n", -1), lambda x: ~x.rlike(r"^\s*```"))
-    kept = F.filter(body, lambda x: ~F.trim(x).rlike("(?i)^(?:" + "|".join(META_LINES) + r")\s*$"))
+    body = F.filter(F.split(safe_text(text), "\n", -1), lambda x: ~F.startswith(F.ltrim(x), F.lit("```")))
+    kept = F.filter(body, lambda x: ~commentary(x))
     code = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\A(?:[ \t]*\n)+", ""), r"\s+\z", "")
     quoted = code.rlike(r"(?s)\A([\"']).*\1\z") & (F.char_length(code) > 1) & ~code.rlike(r"(?s)\A(.).*\1.*\1\z")
     return F.when(quoted, F.substr(code, F.lit(2), F.char_length(code) - 2)).otherwise(code)

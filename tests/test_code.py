@@ -107,6 +107,14 @@ def test_repairs(spark):
     assert one(spark, lambda a, b, c: repair.ensured(a, b, F.lit(None).cast("string"), c)["insufficient"], a=" ", b="", c="ctx") is True
 
 
+def test_lines_about_code_go_and_code_stays(spark):
+    about = ["Lines 4 - 9", "lines: 3-4", "LINE 3 – 4", "Line: 7—9", "Function: run", "file : a b.py", "Path: x/y", "Solution", "Corrected Code:", "Replace with this code", "CAUSE:", "method getAll", "class A.B-c", "use this code:", "Replace code", "use with this code", "## Solution", "###code", "# Replacement"]
+    code = ["lines = 4 - 9", "line 4", "lines 4 to 9", "function run() {", "function f x", "file", "file:", "solution = 1", "code", "# comment", "####### code", "class A {", "class 3", "use strict", "replace(code)", "use Foo;", "", "  return", "replacement", "description of it", "lines: 3-4-5", "method: "]
+    frame = spark.createDataFrame([(x,) for x in about + code], "x string").select("x", T.commentary(F.col("x")).alias("c"))
+    got = {r.x: r.c for r in frame.collect()}
+    assert [x for x in about if not got[x]] == [] and [x for x in code if got[x]] == []
+
+
 def test_validation(spark):
     assert one(spark, validation.confidence, c="7.5") == 70 and one(spark, validation.confidence, c="-3") == 0
     assert one(spark, validation.action, v=" Delete_Code?", r="unreachable_code") == "remove"
