@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,84 +20,36 @@ _FIELDS = "error bug_type cause why_occurs solution_type solution replacement_co
 def unavailable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The analyzer without a model behind it: it explains nothing and invents nothing."""
     for frame in frames:
-        yield pd.DataFrame([_row(i, None) for i in frame.finding_id], columns=["finding_id", *_FIELDS, "unavailable"])
+        yield pd.DataFrame([analysis_row(i, None) for i in frame.finding_id], columns=["finding_id", *_FIELDS, "unavailable"])
 
 
-def _row(finding_id: int, reply: dict | None) -> list:
+def analysis_row(finding_id: int, reply: dict | None) -> list:
+    """An ANALYSIS row of a reply, or of none."""
     text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
     if reply is None:
         return [finding_id, *([None] * (len(_FIELDS) - 1)), "0", True]
     return [finding_id, *(text(reply.get(k)) for k in _FIELDS), False]
 
 
+def text_of_reply(value: object) -> str:
+    """What a provider has said, as a text; anything else than a text is none."""
+    return value.strip() if isinstance(value, str) else ""
+
+
 def parsed_reply(text: str | None) -> dict | None:
     """A reply as an object with a cause and a solution, or null: fences go, and of other text the outermost braces count."""
-    text = (text or "").strip()
+    text = text_of_reply(text)
     text = text.removeprefix("```json").removeprefix("```").removesuffix("```").strip()
     for part in (text, text[text.find("{") : text.rfind("}") + 1]):
         try:
             found = json.loads(part)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         if isinstance(found, dict) and str(found.get("cause") or "").strip() and str(found.get("solution") or "").strip():
             return found
     return None
 
 
-class Refused(Exception):
-    """A provider's refusal; `status` is the HTTP status. 429 and 503 pass to the next credential, others end its turn."""
-
-    def __init__(self, status: int):
-        super().__init__(str(status))
-        self.status = status
-
-
-def retrying(ask: Callable[[str, str], str], credentials: list[str], passes: int = 5, wait: float = 3.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """An analyzer that asks a provider: every credential in turn, in up to `passes` passes with a longer wait before each;
-    a credential that is rejected (401, 403) is not asked again; the first reply with a cause and a solution counts."""
-
-    def answer(prompt: str, usable: list[str]) -> dict | None:
-        for turn in range(passes):
-            if turn:
-                time.sleep(wait * turn)
-            for credential in list(usable):
-                try:
-                    if (found := parsed_reply(ask(prompt, credential))) is not None:
-                        return found
-                except Refused as e:
-                    if e.status in (401, 403):
-                        usable.remove(credential)
-                except OSError:
-                    continue
-            if not usable:
-                break
-        return None
-
-    def analyzer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        usable = list(dict.fromkeys(c for c in credentials if c and c.strip()))
-        for frame in frames:
-            rows = [_row(i, answer(p, usable)) for i, p in zip(frame.finding_id, frame.prompt, strict=True)]
-            yield pd.DataFrame(rows, columns=["finding_id", *_FIELDS, "unavailable"])
-
-    return analyzer
-
-
-def chat_provider(address: str, model: str, seconds: float = 90) -> Callable[[str, str], str]:
-    """Asks a chat completion endpoint; a message without content is read from its `reasoning`."""
-
-    def ask(prompt: str, credential: str) -> str:
-        body = json.dumps({"model": model, "temperature": 0, "messages": [{"role": "user", "content": prompt}]}).encode()
-        request = urllib.request.Request(address, body, {"Content-Type": "application/json", "Authorization": f"Bearer {credential}"})
-        try:
-            with urllib.request.urlopen(request, timeout=seconds) as reply:
-                said = json.loads(reply.read())["choices"][0]["message"]
-        except urllib.error.HTTPError as e:
-            raise Refused(e.code) from e
-        return said.get("content") or said.get("reasoning") or ""
-
-    return ask
-
-
 def analyzed(findings: DataFrame, analyzer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = unavailable) -> DataFrame:
     """Findings through an analyzer: a function over frames with finding_id and prompt that gives ANALYSIS rows, columns that
     it leaves out being null; a row without cause or solution counts as unavailable."""

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import chunks, repair, report, retrieval, review, rules, validation
+from siltstone.operators import chunks, providers, repair, report, retrieval, review, rules, validation
 from siltstone.plans.source_queries import query, spread, table
 from siltstone.sources import files, history, knowledge
 from siltstone.streaming import scan_jobs
@@ -210,14 +210,14 @@ def q_bracket_repair(spark, sf_dir):
 @query("""
 SELECT s_suppkey AS finding_id, CASE s_suppkey % 5 WHEN 1 THEN 'because ' || s_suppkey WHEN 3 THEN 'late ' || s_suppkey END AS cause, s_suppkey % 5 NOT IN (1, 3) AS unavailable FROM supplier""")
 def q_analysis_attempts(spark, sf_dir):
-    return report.analyzed(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("finding_id"), F.col("s_suppkey").cast("string").alias("prompt")), report.retrying(_answers, ["used up", "good", "good", " "], passes=2, wait=0)).select("finding_id", "cause", "unavailable")
+    return report.analyzed(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("finding_id"), F.col("s_suppkey").cast("string").alias("prompt")), providers.retrying(_answers, ["used up", "good", "good", " "], passes=2, wait=0)).select("finding_id", "cause", "unavailable")
 
 
 def _answers(prompt: str, credential: str) -> str:
     """A provider of the tests: one credential is over its limit, and answers depend on the number asked about."""
     n = int(prompt)
     if credential == "used up":
-        raise report.Refused(429)
+        raise providers.Refused(429)
     return ["no JSON", "```json\n" + json.dumps({"cause": f"because {n}", "solution": "s"}) + "\n```", json.dumps({"cause": " ", "solution": "s"}), f"I think: {{\"cause\": \"late {n}\", \"solution\": [\"s\"]}} so.", "[1]"][n % 5]
 
 

@@ -9,7 +9,8 @@
 Options `api` and `raw` name the host's addresses; `token` is sent as a bearer and never logged. A request that fails is
 tried again; one that keeps failing ends the job, as part of a repository is no repository, unless `skip_failures` is
 true: then it gives a row with a null source and its reason in `failure`. A file that holds a NUL or is not UTF-8 gives no
-row. A listing that the host has cut short is an error, unless `allow_truncated` is true.
+row. A listing that the host has cut short is made up folder by folder, in rounds; only a single folder that is cut short
+is an error, unless `allow_truncated` is true.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from http.client import HTTPException
+from urllib.parse import quote
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltstone.sources.files import REMOTE_SKIP_ENDINGS, SKIP_FOLDERS, SOURCE_EXTENSIONS
 
 FILES_A_TASK, SECONDS, ATTEMPTS, WAIT = 50, 25, 3, 1.0
+#: Folders whose listings are asked for at once.
+LISTINGS = 8
 PAGE, MOST_ITEMS, MOST_COMMENTS, PATCH_CHARS = 100, 30, 20, 30_000
 
 
@@ -77,7 +83,7 @@ class HostReader(DataSourceReader):
             try:
                 with urllib.request.urlopen(request, timeout=SECONDS) as reply:
                     return reply.read()
-            except OSError as e:
+            except (OSError, HTTPException) as e:  # the latter: a reply that breaks off
                 lasting = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code != 429
                 if lasting or attempt == ATTEMPTS - 1:
                     raise
@@ -89,25 +95,51 @@ class HostReader(DataSourceReader):
 
     def address(self, tail: str) -> str:
         o = self.options
-        return f"{o['api']}/repos/{o['owner']}/{o['repo']}{tail}"
+        return f"{o['api']}/repos/{quote(o['owner'], safe='')}/{quote(o['repo'], safe='')}{tail}"
 
 
 class RepositoryReader(HostReader):
     def partitions(self) -> list[InputPartition]:
-        listing = json.loads(self.fetch(self.address(f"/git/trees/{self.options['branch']}?recursive=1")))
-        if listing.get("truncated") and not self.on("allow_truncated"):
-            raise ValueError("the host cut the listing short; allow_truncated takes what there is")
-        paths = sorted(e["path"] for e in listing["tree"] if wanted(e))
+        paths = sorted({e["path"] for e in self.listed() if wanted(e)})
         if not paths:
             raise ValueError("the repository has no source files")
         return [Part(paths[k : k + FILES_A_TASK]) for k in range(0, len(paths), FILES_A_TASK)]
 
+    def listed(self) -> list[dict]:
+        """The entries of the branch, with their whole paths.
+
+        A folder is asked for with all that is in it. If the host cuts that short, its own entries are asked for, and its
+        folders are the next round's; those whose names are skipped anyway are not entered."""
+        found: list[dict] = []
+        round_ = [("", str(self.options["branch"]))]
+        with ThreadPoolExecutor(LISTINGS) as pool:
+            while round_:
+                deep = list(pool.map(lambda f: self.listing(f[1], True), round_))
+                cut = [f for f, (_, short) in zip(round_, deep, strict=True) if short]
+                for (prefix, _), (entries, short) in zip(round_, deep, strict=True):
+                    if not short:
+                        found += [e | {"path": prefix + e["path"]} for e in entries]
+                flat = list(pool.map(lambda f: self.listing(f[1], False), cut))
+                round_ = []
+                for (prefix, _), (entries, short) in zip(cut, flat, strict=True):
+                    if short and not self.on("allow_truncated"):
+                        raise ValueError(f"the host cut the listing of {prefix or 'the root'} short; allow_truncated takes what there is")
+                    whole = [e | {"path": prefix + e["path"]} for e in entries]
+                    found += whole
+                    round_ += [(f"{e['path']}/", e["sha"]) for e in whole if e.get("type") == "tree" and e.get("sha") and e["path"].rpartition("/")[2].lower() not in SKIP_FOLDERS]
+        return found
+
+    def listing(self, tree: str, deep: bool) -> tuple[list[dict], bool]:
+        """Entries of a tree, and whether the host has cut them short."""
+        reply = json.loads(self.fetch(self.address(f"/git/trees/{quote(tree, safe='')}{'?recursive=1' if deep else ''}")))
+        return [e for e in reply.get("tree") or [] if isinstance(e, dict) and e.get("path")], bool(reply.get("truncated"))
+
     def read(self, partition: Part) -> Iterator[tuple[str, str | None, str | None]]:
         o = self.options
         for path in partition.items:
             try:
-                content = self.fetch(f"{o['raw']}/{o['owner']}/{o['repo']}/{o['branch']}/{path}")
-            except OSError as e:
+                content = self.fetch("/".join((o["raw"], *(quote(str(x)) for x in (o["owner"], o["repo"], o["branch"], path)))))
+            except (OSError, HTTPException) as e:
                 if not self.on("skip_failures"):
                     raise ValueError(f"{path}: {reason(e)}") from e
                 yield path, None, reason(e)
@@ -125,8 +157,8 @@ class StatusReader(HostReader):
         try:
             found = json.loads(self.fetch(self.address("")))
             yield o["owner"], o["repo"], "valid", None, found.get("full_name") or f"{o['owner']}/{o['repo']}", found.get("default_branch") or "main", found.get("description"), bool(found.get("private"))
-        except (OSError, ValueError) as e:
-            yield o["owner"], o["repo"], "invalid", reason(e) if isinstance(e, OSError) else "no JSON", None, None, None, None
+        except (OSError, HTTPException, ValueError, AttributeError) as e:
+            yield o["owner"], o["repo"], "invalid", reason(e) if isinstance(e, (OSError, HTTPException)) else "no JSON", None, None, None, None
 
 
 class HistoryReader(HostReader):

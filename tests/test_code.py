@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import brackets, chunks, python_rules, repair, report, retrieval, rules, validation
+from siltstone.operators import brackets, chunks, providers, python_rules, repair, report, retrieval, rules, validation
 from siltstone.plans import scan
 from siltstone.sources import files, knowledge, remote
 
@@ -160,7 +160,7 @@ def test_failed_files_and_cut_listings_are_errors(monkeypatch):
                 return json.dumps({"truncated": True, "tree": [{"type": "blob", "path": "a.py", "size": 1}]}).encode()
             raise urllib.error.HTTPError(url, 403, "no", {"X-RateLimit-Remaining": "0"}, None)
 
-    with pytest.raises(ValueError, match="short"):
+    with pytest.raises(ValueError, match="short"):  # the root alone is too long
         Broken(OPTIONS).partitions()
     part = Broken(OPTIONS | {"allow_truncated": "true"}).partitions()[0]
     with pytest.raises(ValueError, match="rate limit"):
@@ -301,13 +301,13 @@ def test_chat_replies_and_attempts():
     def ask(prompt, credential):
         seen.append(credential)
         if credential == "bad":
-            raise report.Refused(401)
+            raise providers.Refused(401)
         if len(seen) < 5:
-            raise report.Refused(503)
+            raise providers.Refused(503)
         return '{"cause": "a", "solution": "b", "confidence": 40}'
 
     frames = iter([pd.DataFrame({"finding_id": [1, 2], "prompt": ["p", "q"]})])
-    rows = pd.concat(report.retrying(ask, ["bad", "one", "two", "one"], wait=0)(frames))
+    rows = pd.concat(providers.retrying(ask, ["bad", "one", "two", "one"], wait=0)(frames))
     assert list(rows.unavailable) == [False, False] and list(rows.confidence) == ["40", "40"] and seen == ["bad", "one", "two", "one", "two", "one"]
 
 
