@@ -42,7 +42,7 @@ AGREE = 64
 #: A block of classes that are compared with each other: shingles and rows on average; classes of a bucket's block; pairs
 #: of one pivot that are verified together.
 BLOCK_SHINGLES, BLOCK_ROWS, BUCKET_ROWS, PIVOT_PAIRS = 300_000, 1024, 1024, 256
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

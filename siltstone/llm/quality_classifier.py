@@ -34,7 +34,7 @@ WORD_TERMS = 1024
 CLASSES = 64
 MARKS = 3
 TERMS = CLASSES * CLASSES + WORD_TERMS + MARKS
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 
 #: Byte -> class: bytes of non-ASCII letters and small letters 1, capitals 2, digits 3, white space and signs each its own.
 BYTE_CLASS = np.full(256, 1, np.int64)
