@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import settled
 from siltstone.functions.vectors import normalised
+from siltstone.operators.vector_store import VectorStore
 
 LEAST_SCORE = 0.05
 #: One side of a search up to so many bytes of vectors is held by every task; larger sides meet in blocks of so many rows.
@@ -260,19 +260,12 @@ def with_vectors(artifacts: DataFrame, cache: DataFrame, encode: Callable[[Colum
 
 
 def stored_vectors(records: DataFrame, path: str, encode: Callable[[Column], Column] = hashed_vector, text: str = "text", record_id: str = "id") -> tuple[DataFrame, bool]:
-    """The records' vectors (id, embedding) kept at a path, and whether they were made anew: stored ones count only if there
-    are as many as records and all have one length."""
-    spark = records.sparkSession
-    there = None
-    try:
-        there = spark.read.schema(f"{record_id} {dict(records.dtypes)[record_id]}, embedding array<double>").parquet(path)
-        found = status(there).first()
-        if found.consistent and found.records == records.count():
-            return there, False
-    except AnalysisException:  # nothing is stored yet
-        pass
-    records.select(record_id, encode(F.col(text)).alias("embedding")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), True
+    """The records' vectors (id, embedding) kept at a path, and whether a version was made for them: records that have changed,
+    come or gone make one, and only texts that are new are encoded. Readers of earlier versions are not disturbed."""
+    store = VectorStore(records.sparkSession, path)
+    before = store.manifest()
+    version = store.upsert(records.select(F.col(record_id).alias("id"), F.col(text).alias("text")), encode)
+    return store.read(version).withColumnRenamed("id", record_id), before is None or version != before.version
 
 
 def retrieved(findings: DataFrame, records: DataFrame, artifacts: DataFrame, repo: str = "repo", encode: Callable[[Column], Column] = hashed_vector, k: int = 3, most: int = 6) -> DataFrame:

@@ -80,3 +80,31 @@ def test_states_are_bounded():
     for at in range(0, 1000, 10):
         top.add(np.arange(at, at + 10), np.random.default_rng(at).normal(size=(10, 3)))
         assert top.ids.shape == (3, 2)
+
+
+def test_versions_of_vectors(spark, tmp_path):
+    """Changed, new and gone records; equal texts once; a reader of the old version; an upsert that dies before its manifest."""
+    from siltstone.operators.vector_store import VectorStore
+
+    store = VectorStore(spark, str(tmp_path / "v"))
+    made = []
+    encode = lambda text: F.transform(F.array(F.char_length(text), F.ascii(text)), lambda x: x.cast("double"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, text string")
+    held = lambda v=None: sorted((repr(r.id), r.embedding) for r in store.read(v).collect())
+    with pytest.raises(ValueError, match="no version"):
+        store.read()
+    first = rows((1, "abc"), (2, "abc"), (3, None), (None, "z"), (3, None))
+    assert store.upsert(first, encode) == 1 and store.upsert(first, encode) == 1
+    want = [("1", [3.0, 97.0]), ("2", [3.0, 97.0]), ("3", [0.0, 0.0]), ("3", [0.0, 0.0]), ("None", [1.0, 122.0])]
+    assert held() == want
+    old = store.read()
+    second = rows((1, "abcd"), (2, "abc"), (4, "z"))
+    assert store.upsert(second, lambda t: made.append(1) or encode(t)) == 2
+    assert held() == [("1", [4.0, 97.0]), ("2", [3.0, 97.0]), ("4", [1.0, 122.0])] and held(1) == want
+    assert sorted((repr(r.id), r.embedding) for r in old.collect()) == want
+    newest = store.manifest()
+    assert [spark.read.parquet(f"{store.path}/vectors/{p}").count() for p in newest.parts] == [3, 1] and newest.records == 3 and newest.dimension == 2
+    spark.createDataFrame([(9, "k")], "id long, key string").write.parquet(f"{store.path}/index/3")  # died before its manifest
+    assert len(held()) == 3 and store.upsert(rows((1, "q")), encode) == 3 and held() == [("1", [1.0, 113.0])]
+    assert store.upsert(rows((1, "q")), encode, encoder="other") == 4 and len(store.manifest().parts) == 1
+    assert store.upsert(rows(), encode) == 5 and held() == []
