@@ -23,7 +23,9 @@ def q_scan_report(spark, sf_dir):
     """Flagship: all page scripts through detection, chunks, retrieval, analysis, repair and validation, summed up by rule."""
     files = _scripts(spark, sf_dir).select((F.col("page_id") % 20).cast("string").alias("repo"), "file", "source")
     known = table(spark, sf_dir, "benchmark").select(F.monotonically_increasing_id().alias("id"), F.col("text").alias("bug_description"), retrieval.hashed_vector(F.col("text")).alias("embedding"))
-    said = table(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") % 20).cast("string").alias("repo"), F.col("conv_id").alias("number"), F.lit("issue").alias("artifact_type"), F.col("text").alias("body"), F.date_format(F.timestamp_seconds("conv_id"), "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), F.lit(False).alias("is_pull_request"))
+    # an issue is a whole conversation, turn by turn
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    said = turns.select((F.col("conv_id") % 20).cast("string").alias("repo"), F.col("conv_id").alias("number"), F.lit("issue").alias("artifact_type"), F.array_join(F.col("turns.text"), "\n").alias("body"), F.date_format(F.timestamp_seconds("conv_id"), "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"), F.lit(False).alias("is_pull_request"))
     past = history.issues(said).withColumn("embedding", retrieval.hashed_vector(F.col("body")))
     found = scan.scan(files, known, past, _explains)
     return report.summary(found.withColumn("unavailable", F.col("unavailable") | (F.col("validation_status") != "valid")), "rule")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import present, safe_text
+from siltstone.functions.text import let, present, safe_text
 
 RECORD = "id string, dataset_source string, language string, buggy_code string, fixed_code string, error string, bug_type string, bug_description string, solution string, repository string, file string, metadata map<string,string>"
 
@@ -99,5 +99,7 @@ def info(text: Column) -> Column:
     rows = F.filter(F.split(text, "\n", -1), lambda x: F.contains(x, F.lit("=")))
     entry = lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.regexp_replace(F.trim(F.substr(x, F.instr(x, F.lit("=")) + 1)), r'^"+|"+$', "").alias("v"))
     entries = F.transform(rows, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(last)
+    # Sorted by key and then from the last line on, the first entry of each key counts; no entry looks at all others.
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), (-i).alias("i"), e["v"].alias("v"))))
+    pairs = lambda p: F.filter(p, lambda e, i: (i == 0) | (F.try_element_at(p, F.greatest(i, F.lit(1)))["k"] != e["k"]))
+    return F.map_from_entries(F.transform(let(placed, pairs), lambda e: F.struct(e["k"], e["v"])))
