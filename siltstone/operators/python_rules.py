@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import scopes
+from siltstone.operators import scopes, syntax_repair
 
 LEAVING = (ast.Return, ast.Raise, ast.Break, ast.Continue)
 BUG_TYPES = {
@@ -127,46 +127,9 @@ def detect(files: DataFrame) -> DataFrame:
     return files.select("file", F.col("source").cast("string")).mapInArrow(run, "file string, line_start int, rule string, bug_type string, detail string")
 
 
-CLOSERS = {"(": ")", "[": "]", "{": "}"}
-
-
 def balanced_line(line: str) -> str:
-    """A line whose brackets and strings are closed: a closer that fits a bracket further out gets the missing ones before
-    it, one that fits none goes, and what is open at the end is closed there, before a final colon."""
-    out: list[str] = []
-    stack, quote, k = [], "", 0
-    while k < len(line):
-        c = line[k]
-        if quote:
-            if c == "\\":
-                out.append(c)
-                k += 1
-                c = line[k : k + 1]
-            elif c == quote:
-                quote = ""
-        elif c in "\"'":
-            quote = c
-        elif c in CLOSERS:
-            stack.append(CLOSERS[c])
-        elif c in CLOSERS.values():
-            if c not in stack:
-                k += 1
-                continue
-            while stack[-1] != c:
-                out.append(stack.pop())
-            stack.pop()
-        elif c == "#":
-            return _closed("".join(out).rstrip(), quote, stack) + "  " + line[k:]
-        out.append(c)
-        k += 1
-    return _closed("".join(out), quote, stack)
-
-
-def _closed(text: str, quote: str, stack: list[str]) -> str:
-    closers = quote + "".join(reversed(stack))
-    if closers and not quote and text.rstrip().endswith(":"):
-        return text.rstrip()[:-1] + closers + ":"
-    return text + closers
+    """A line whose brackets and strings are closed by the fewest edits."""
+    return syntax_repair.balanced(line)[0]
 
 
 #: Ways to mend a line, in order of trial.
@@ -257,14 +220,6 @@ def syntax_errors(source: str) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def syntax_repair(source: str) -> str:
-    """The source with its syntax errors mended, if the known ways make it compile; else as it is."""
-    text = source
-    for _ in range(MOST_ERRORS):
-        wrong = _error(text)
-        if wrong is None:
-            return text
-        text = _mended(text, wrong[0])
-        if text is None:
-            break
-    return source
+def mended(source: str) -> str:
+    """The source after the fewest edits that make it compile, if the known ones do; else as it is."""
+    return syntax_repair.repaired(source, _error) or source

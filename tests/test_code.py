@@ -44,10 +44,10 @@ def test_unused_functions_are_an_anti_join(spark):
 
 
 def test_syntax_repairs_compile():
-    assert python_rules.syntax_repair("numbers = [1, 2") == "numbers = [1, 2]"
-    assert python_rules.syntax_repair('name = "Munna') == 'name = "Munna"'
+    assert python_rules.mended("numbers = [1, 2") == "numbers = [1, 2]"
+    assert python_rules.mended('name = "Munna') == 'name = "Munna"'
     for broken in ("if x\n    pass", "def f(a):\nreturn a", "if x = 1:\n    pass", "break", "x = 1)"):
-        compile(python_rules.syntax_repair(broken), "f", "exec")
+        compile(python_rules.mended(broken), "f", "exec")
 
 
 @pytest.mark.parametrize("source, template, want", [
@@ -314,5 +314,5 @@ def test_chat_replies_and_attempts():
 def test_python_syntax_errors_are_found_one_after_another():
     assert [line for line, _ in python_rules.syntax_errors("if x\n    y = (1\nz = 2\nfor q in z\n    pass\n")] == [1, 2, 4]
     assert python_rules.syntax_errors("x = 1") == [] and len(python_rules.syntax_errors("\x00")) == 1
-    assert python_rules.balanced_line("foo(a[1), b)") == "foo(a[1]), b" and python_rules.balanced_line("if f(x:") == "if f(x):"
+    assert python_rules.balanced_line("foo(a[1), b)") == "foo(a[1], b)" and python_rules.balanced_line("if f(x:") == "if f(x):"
     assert brackets.balanced_code("f({a: [1}") == "f({a: [1]})"
