@@ -136,3 +136,17 @@ def test_findings_meet_their_chunk_within_the_file(spark):
     made = spark.createDataFrame([("r", "a.java", source), ("r", "a.java", source), ("r", "b.js", "x;\nvar y;")], "repo string, file string, source string")
     got = sorted((r.file, r.line_start, r["name"], r.chunk_start, r.line) for r in scan.numbered_findings(made, ("repo", "file")).collect())
     assert got == [("a.java", 13, "k", 8, 6)] * 2 + [("b.js", 2, "block_1", 1, 2)]
+
+
+def test_table_functions_equal_the_operators(spark):
+    from siltstone.functions import tables
+
+    tables.register(spark)
+    rows = [("r", "a.js", "var a;\nif (a == 1) debugger;"), ("r", "b.py", "import os\ndef f(:\n  pass"), ("r", "c.kt", "println(1)"), (None, "d/e.java", "class A {\n void f() {\n  return;\n }\n}"), ("r", None, "x"), ("r", "f.js", None), ("r", ".js", "var a;")]
+    made = spark.createDataFrame(rows, "repo string, file string, source string")
+    made.createOrReplaceTempView("files_of_test")
+    found = spark.sql("SELECT * FROM file_findings(TABLE(SELECT repo, file, source FROM files_of_test))")
+    want = rules.detect(made, key=("repo", "file"), dispatched_only=False)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() > 4
+    cut = spark.sql("SELECT repo, file, chunk_type, name, line_start, line_end FROM file_chunks(TABLE(SELECT repo, file, source FROM files_of_test))")
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, chunks.chunked(made, ("repo", "file")).select(*cut.columns).collect()))
