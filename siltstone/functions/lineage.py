@@ -1,4 +1,5 @@
-"""Cutting lineage where rows must stay the same between two uses, and the folder that all executors share."""
+"""Cutting lineage where rows must stay the same between two uses, the folder that all executors share, and dealing rows to
+all cores."""
 
 from __future__ import annotations
 
@@ -29,3 +30,15 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Tasks a core that long work on each row is dealt to.
+TASKS_A_CORE = 8
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows, dealt evenly to several tasks a core, for work on each row that is long beside reading it.
+
+    A scan's own partitions do not say where its rows are: a file has a split for every few megabytes, and all rows of a row
+    group are in one of them."""
+    return rows.repartition(max(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))

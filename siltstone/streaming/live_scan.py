@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.lineage import settled
+from siltstone.functions.lineage import dealt, settled
 from siltstone.operators import report, rules
 
 KEY = ("repo", "file")
@@ -33,13 +33,15 @@ def ledger(spark: SparkSession, into: str) -> DataFrame:
 
 
 def take(files: DataFrame, batch: int, into: str, find: Callable[[DataFrame], DataFrame]) -> None:
-    """One batch of the stream: number its findings after those of all batches before, write them, then the ledger's entry."""
+    """One batch of the stream: number its findings after those of all batches before, write them, then the ledger's entry.
+
+    Its files are dealt to all cores first: a batch of a few large files is read by as few tasks."""
     spark = files.sparkSession
     entries = ledger(spark, into)
     if entries.where(F.col("batch") == batch).limit(1).count():
         return
     base = entries.where(F.col("batch") < batch).agg(F.max("last")).first()[0] or 0
-    found = settled(find(files).withColumn("_id", F.monotonically_increasing_id()))
+    found = settled(find(dealt(files)).withColumn("_id", F.monotonically_increasing_id()))
     # Batches that are repeated hold the same files, if not in the same order.
     ordered = F.struct(*(F.col(c) for c in found.columns if c != "_id"))
     keyed = found.withColumn("_key", F.to_json(ordered))

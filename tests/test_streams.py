@@ -114,3 +114,13 @@ def test_a_batch_that_is_killed_and_repeated_gives_the_same_numbers(spark, tmp_p
     assert seen == list(range(1, batch.count() + 1)) and {r.number: (r.file, r.rule) for r in whole.where(F.col("number") <= len(first)).collect()} == first
     live_scan.take(spark.createDataFrame(sources[:1], "repo string, file string, source string"), 0, into, lambda f: rules.detect(f, key=live_scan.KEY))
     assert live_scan.results(spark, into)[0].count() == batch.count()
+
+
+def test_a_batch_of_one_file_is_searched_by_all_cores(spark, tmp_path):
+    rows = spark.range(400).selectExpr("'r' AS repo", "'f' || id || '.js' AS file", "'var a' || id AS source")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = lambda files: rules.detect(files, key=live_scan.KEY).withColumn("task", F.spark_partition_id())
+    live_scan.take(spark.read.parquet(str(tmp_path / "in")), 0, str(tmp_path / "out"), found)
+    got, last = live_scan.results(spark, str(tmp_path / "out"))
+    shares = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert last == sum(shares) == 400 and len(shares) >= spark.sparkContext.defaultParallelism and max(shares) < 100
