@@ -9,8 +9,8 @@ a sequence again. The first page of a host is its first wrapper; each further pa
 
 Merging two wrappers is the same as merging a page into one, so each task folds its pages host by host and what is
 shuffled is one wrapper a task and host. They are merged FAN_IN at a time, in rounds, so a host with a third of all pages
-is folded where its pages are, and never meets in one task. A wrapper has PARTS parts at most; parts of a page that
-were not learnt are judged by their own markup, as all parts are where a host has a single page.
+is folded where its pages are, and never meets in one task. No part is left out: a task hands on a host's wrapper once it
+has more than PARTS parts and begins another, and they meet in the rounds, so the host's wrapper has all its pages' parts.
 
 The wrapper tells where its host's article is: the element that most pages mark as such (article, main, a class or id that
 says so), or else the region with most text that varies from page to page, less the texts that all pages share and lists
@@ -25,7 +25,8 @@ empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import json
-from collections import OrderedDict
+from bisect import bisect_left
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import common
 from siltstone.llm.html_pages import BLOCKS, HEADINGS, LEVELS, Node, read
 
-#: Parts of a wrapper, wrappers that a task holds and wrappers that are merged at once, at most.
+#: Parts beyond which a task hands on a wrapper; wrappers that a task holds and wrappers that are merged at once, at most.
 PARTS, HELD, FAN_IN = 3000, 2000, 64
 #: The longest run of tags that is recognised as a repeated group.
 RUN = 6
@@ -133,7 +134,7 @@ def _same_page(a: Part, b: Part) -> None:
 
 
 def merge(a: Part, b: Part, room: int, same: bool = False) -> int:
-    """Merge b into a; returns the room that is left for new parts."""
+    """Merge b into a; returns the room that is left for new parts, less than 0 if they took more than there was."""
     a.n = max(a.n, b.n) if same else a.n + b.n
     a.many |= b.many
     a.optional |= b.optional
@@ -153,11 +154,9 @@ def _aligned(mine: list[Part], theirs: list[Part], room: int, same: bool) -> tup
 
     def new(p: Part) -> None:
         nonlocal room
-        weight = size(p)
-        if weight <= room:
-            room -= weight
-            p.optional = True
-            out.append(p)
+        room -= size(p)
+        p.optional = True
+        out.append(p)
 
     while i < len(mine) and j < len(theirs):
         a, b = mine[i], theirs[j]
@@ -246,6 +245,17 @@ class Wrapper:
         # Pages of which no single text varies are copies; what they share is no template.
         self.shared = {id(p) for p in _under(root) if p.key == "#" and p.text and p.n >= SHARED and 2 * p.n >= root.n} if _varies(root) else set()
         self.links = {id(p) for p in _under(root) if p.key[1:3] in ("ul", "ol", "di", "ta", "se") and p.many is False and _links(p)}
+        self._inside: dict[int, tuple[list[Part], dict[str, list[int]]]] = {}
+
+    def inside(self, part: Part) -> tuple[list[Part], dict[str, list[int]]]:
+        """The parts within a part, with groups opened, and the places of each key, made when first asked for."""
+        if id(part) not in self._inside:
+            flat = [x for p in part.inside for x in (p.inside if p.key[0] == "(" else [p])]
+            places: dict[str, list[int]] = {}
+            for k, p in enumerate(flat):
+                places.setdefault(p.key, []).append(k)
+            self._inside[id(part)] = flat, places
+        return self._inside[id(part)]
 
     def _marks(self, part: Part, marks: list[int]) -> None:
         for p in part.inside:
@@ -289,19 +299,14 @@ def _links(part: Part) -> bool:
     return len(texts) > 0 and chars > 0 and 10 * sum(p.links for p in texts) >= 7 * chars
 
 
-def followed(parts: list[Part], nodes: list[Node]) -> Iterator[tuple[Node, Part | None]]:
-    """The nodes with the part that each is an occurrence of, if it has been learnt."""
-    flat: list[Part] = []
-    for p in parts:
-        flat += p.inside if p.key[0] == "(" else [p]
-    places: dict[str, list[int]] = {}
-    for k, p in enumerate(flat):
-        places.setdefault(p.key, []).append(k)
+def followed(wrapper: Wrapper, part: Part | None, nodes: list[Node]) -> Iterator[tuple[Node, Part | None]]:
+    """The nodes with the part within `part` that each is an occurrence of, if it has been learnt."""
+    flat, places = wrapper.inside(part) if part else ([], {})
     at = 0
     for node in nodes:
         own = places.get("#" if node.tag == "#" else node.key)
         if own:
-            at = next((k for k in own if k >= at), own[-1])
+            at = own[min(bisect_left(own, at), len(own) - 1)]
         yield node, flat[at] if own else None
 
 
@@ -356,7 +361,7 @@ def _emit_region(page: Node, wrapper: Wrapper, blocks: list[str], held: list[str
 
 
 def _varied(node: Node, part: Part | None, wrapper: Wrapper, strict: bool, inside: bool, blocks: list[str], held: list[str]) -> None:
-    for x, p in followed(part.inside if part else [], node.inside):
+    for x, p in followed(wrapper, part, node.inside):
         here = inside or (p is not None and id(p) in wrapper.region)
         if x.tag == "#":
             if here and not (strict and p is not None and id(p) in wrapper.shared):
@@ -380,24 +385,32 @@ def infer(pages: DataFrame) -> DataFrame:
     """host, n_pages, wrapper (JSON): one row a host."""
     common.prepare(pages.sparkSession)
     schema = pa.schema([("host", pa.string()), ("slot", pa.int64()), ("wrapper", pa.string())])
+    tasks = pages.rdd.getNumPartitions()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), OrderedDict()
+        part, held, room, given = TaskContext.get().partitionId(), OrderedDict(), {}, Counter()
+
+        def handed(host: str) -> tuple:
+            """A wrapper as a row; those of one host get different slots."""
+            slot = part + given[host] * tasks
+            given[host] += 1
+            return host, slot, dump(held.pop(host))
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                     own = of_page(read(page.as_py()))
                     if host in held:
-                        merge(held[host], own, PARTS - size(held[host]))
+                        room[host] = merge(held[host], own, room[host])
                         held.move_to_end(host)
-                        continue
-                    held[host] = own
-                    if len(held) > HELD:
-                        old, wrapper = held.popitem(last=False)
-                        yield old, part, dump(wrapper)
-            for host, wrapper in held.items():
-                yield host, part, dump(wrapper)
+                    else:
+                        held[host], room[host] = own, PARTS - size(own)
+                    if room[host] < 0:
+                        yield handed(host)
+                    elif len(held) > HELD:
+                        yield handed(next(iter(held)))
+            while held:
+                yield handed(next(iter(held)))
 
         yield from common.emit(schema, rows(), lambda row: len(row[2]))
 
@@ -405,7 +418,7 @@ def infer(pages: DataFrame) -> DataFrame:
         texts = sorted((slot, text) for b in batches for slot, text in zip(b.column("slot").to_pylist(), b.column("wrapper").to_pylist(), strict=True))
         whole = load(texts[0][1])
         for _, text in texts[1:]:
-            merge(whole, load(text), PARTS - size(whole))
+            merge(whole, load(text), PARTS)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([dump(whole)])], schema=schema)
 
     found = common.settle(pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(learn, "host string, slot bigint, wrapper string"))

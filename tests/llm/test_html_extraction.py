@@ -120,3 +120,17 @@ def test_on_spark(spark, monkeypatch):
     want = sorted((repr(i), u or "", text_of(p), len(text_of(p))) for i, u, p in rows)
     assert got == want
     assert h.extract(pages.limit(0), h.infer(pages.limit(0))).count() == 0
+
+
+def test_parts_are_learnt_however_many_there_are(spark, monkeypatch):
+    """A page of more parts than PARTS comes first; what the others share is learnt all the same, on Spark too."""
+    rng = random.Random(5)
+    wide = "".join(f"<p class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>w{i}</p>" for i in range(h.PARTS + 1))
+    pages = [f"<div class=b><div class=c><h1>{words(rng, 5)}</h1><p>{words(rng, 60)}</p></div><div class=d><p>About this site</p></div></div>" for _ in range(8)]
+    assert text_of(*pages).count("\n") == 1 and text_of(wide, *pages) == text_of(*pages)
+    rows = [(i, "http://a.b/", p) for i, p in enumerate([wide, *pages, wide, *pages])]
+    monkeypatch.setattr(h, "FAN_IN", 2)
+    wrapper = h.infer(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()
+    assert len(wrapper) == 1 and wrapper[0].n_pages == len(rows)
+    inside = {p.key: p.n for p in h.load(wrapper[0].wrapper).inside}
+    assert inside[" div.b"] == 16 and len(inside) == h.PARTS + 2
