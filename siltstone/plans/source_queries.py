@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.lineage import dealt
 from siltstone.functions.vectors import norm
 from siltstone.operators import retrieval
 from siltstone.sources import files, history, knowledge
@@ -21,9 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A scan's rows, dealt to all cores if it has fewer partitions: what is made of each row is long."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """A scan's rows, dealt to all cores: what is made of each row is long."""
+    return dealt(rows)
 
 
 def query(sql: str | None = None):

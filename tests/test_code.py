@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import brackets, chunks, providers, python_rules, repair, report, retrieval, rules, validation
 from siltstone.plans import scan
+from siltstone.plans.source_queries import spread
 from siltstone.sources import files, knowledge, remote
 
 
@@ -316,3 +317,28 @@ def test_python_syntax_errors_are_found_one_after_another():
     assert python_rules.syntax_errors("x = 1") == [] and len(python_rules.syntax_errors("\x00")) == 1
     assert python_rules.balanced_line("foo(a[1), b)") == "foo(a[1], b)" and python_rules.balanced_line("if f(x:") == "if f(x):"
     assert brackets.balanced_code("f({a: [1}") == "f({a: [1]})"
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    """Most splits of a file with one row group hold nothing, so their number says nothing of where its rows are."""
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = spread(spark.read.parquet(str(tmp_path / "t")))
+        shares = rows.rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(shares) == 4000 and sum(s > 0 for s in shares) > 2 * spark.sparkContext.defaultParallelism and max(shares) < 400
+
+
+def test_equal_files_of_a_batch_are_looked_at_once():
+    asked = []
+
+    def look(source, ext):
+        asked.append((source, ext))
+        return [(source + ext,)] if source else []
+
+    files = [("a", ".js"), ("", ".js"), ("a", ".py"), ("a", ".js"), ("", ".js")]
+    assert brackets.each_once(look, iter(files)) == [[("a.js",)], [], [("a.py",)], [("a.js",)], []]
+    assert asked == files[:3]
