@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import chunk_id, described_chunk, language, let, lines_of, safe_text
-from siltstone.operators.brackets import Shape
+from siltstone.operators.brackets import Shape, each_once
 from siltstone.operators.rules import keyed
 
 BLOCK_LINES, MOST_LINES, CONTEXT = 80, 120, 3
@@ -62,7 +62,7 @@ def _ranged(files: DataFrame, key: tuple[str, ...], look: Callable[[Shape], list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [look(Shape(source, ext)) for ext, source in zip(batch.column("ext").to_pylist(), batch.column("source").to_pylist(), strict=True)]
+            found = each_once(lambda source, ext: look(Shape(source, ext)), zip(batch.column("source").to_pylist(), batch.column("ext").to_pylist(), strict=True))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(kind))], names=[*key, "c"])
 
     columns = ", ".join(f"`{c}` {t}" for c, t in rows.select(*key).dtypes)
