@@ -118,11 +118,12 @@ def examined(files: DataFrame, rules: DataFrame | None, key: tuple[str, ...], di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            own = None if table is not None else batch.column("_rules").to_pylist()
-            for i, (ext, source) in enumerate(zip(batch.column("ext").to_pylist(), batch.column("source").to_pylist(), strict=True)):
-                asked = table.get(ext, []) if own is None else [(r["rule"], r["bug_type"], r["pattern"]) for r in own[i] or []]
-                found.append(look(Shape(source, ext), asked))
+            exts, sources = batch.column("ext").to_pylist(), batch.column("source").to_pylist()
+            asked = table
+            if asked is None:  # the rules that were joined are those of the extension
+                first = {ext: i for i, ext in reversed(list(enumerate(exts)))}
+                asked = {ext: [(r["rule"], r["bug_type"], r["pattern"]) for r in batch.column("_rules")[i].as_py() or []] for ext, i in first.items()}
+            found = brackets.each_once(lambda source, ext: look(Shape(source, ext), asked.get(ext, [])), zip(sources, exts, strict=True))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(kind))], names=[*key, "f"])
 
     columns = ", ".join(f"`{c}` {t}" for c, t in rows.select(*key).dtypes)
