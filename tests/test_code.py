@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import brackets, chunks, providers, python_rules, repair, report, retrieval, rules, validation
+from siltstone.operators import brackets, chunks, providers, python_rules, repair, report, retrieval, rules, structure, validation
 from siltstone.plans import scan
 from siltstone.plans.source_queries import spread
 from siltstone.sources import files, knowledge, remote
@@ -342,3 +342,12 @@ def test_equal_files_of_a_batch_are_looked_at_once():
     files = [("a", ".js"), ("", ".js"), ("a", ".py"), ("a", ".js"), ("", ".js")]
     assert brackets.each_once(look, iter(files)) == [[("a.js",)], [], [("a.py",)], [("a.js",)], []]
     assert asked == files[:3]
+
+
+@given(st.lists(st.sampled_from(["(", ")", "{", "}", "[", "]", "return", "throw", "x", ";", "\n", '"', "`", "${", "/*", "*/", " ", "f", "switch", "case"]), max_size=14))
+@settings(max_examples=600, deadline=None)
+def test_files_without_faults_need_no_outline(parts):
+    shape, whole = brackets.Shape(" ".join(parts), ".js"), brackets.Shape(" ".join(parts), ".js")
+    assert shape.findings() == (whole.outline.errors or whole.outline.unreachable)
+    if structure.plain(shape.tokens):
+        assert shape._outline is None
