@@ -18,9 +18,13 @@ LANGUAGES = {
 VALIDATED = {"python": ".py", "javascript": ".js .jsx", "typescript": ".ts .tsx", "java": ".java", "c": ".c", "cpp": ".cpp", "csharp": ".cs", "go": ".go", "php": ".php"}
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def safe_text(value: Column) -> Column:
-    """Trimmed text; null is empty."""
-    return F.coalesce(F.regexp_replace(value.cast("string"), r"^(?U)\s+|(?U)\s+$", ""), F.lit(""))
+    """Text without white space around it; null is empty. Long texts are not searched for it, only their ends."""
+    return F.coalesce(F.btrim(value.cast("string"), F.lit(WHITE)), F.lit(""))
 
 
 def present(value: Column) -> Column:

@@ -243,7 +243,7 @@ def _echoes(frames):
 
 def _hits(spark, sf_dir):
     """A known bug, and an artifact of the history, for each part."""
-    p, some = _parts(spark, sf_dir), F.col("p_size") % 3 == 0
+    p, some = spread(_parts(spark, sf_dir)), F.col("p_size") % 3 == 0
     past = F.when(F.col("p_partkey") % 2 == 1, True).otherwise(False)
     fields = {
         "source_type": F.when(past, "github").otherwise("dataset"), "dataset_source": F.when(~some, F.col("p_brand")), "source": F.when(past, "github_issue").otherwise("kb"), "artifact_type": F.when(past, "pull_request"), "bug_type": F.col("p_type"),

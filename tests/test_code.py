@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import brackets, chunks, providers, python_rules, repair, report, retrieval, rules, structure, validation
-from siltstone.plans import scan
+from siltstone.plans import scan, scan_queries
 from siltstone.plans.source_queries import spread
 from siltstone.sources import files, knowledge, remote
 
@@ -351,3 +351,16 @@ def test_files_without_faults_need_no_outline(parts):
     assert shape.findings() == (whole.outline.errors or whole.outline.unreachable)
     if structure.plain(shape.tokens):
         assert shape._outline is None
+
+
+def test_white_space_around_texts_is_what_unicode_calls_so(spark):
+    odd = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["﻿", "\U0001f600"]
+    texts = [None, "", " \n", "a  b", " a", "\t\x85a b　 \n", *(f"{c}x{c} y{c}{c}" for c in odd)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_pattern = F.coalesce(F.regexp_replace("t", r"^(?U)\s+|(?U)\s+$", ""), F.lit(""))
+    assert rows.where(~T.safe_text(F.col("t")).eqNullSafe(by_pattern)).count() == 0
+
+
+def test_prompts_of_one_row_group_are_made_by_all_cores(spark):
+    shares = scan_queries._hits(spark, "/root/testdata/sf0.001").rdd.glom().map(len).collect()
+    assert sum(shares) == 200 and sum(s > 0 for s in shares) > spark.sparkContext.defaultParallelism
