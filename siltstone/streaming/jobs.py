@@ -11,12 +11,13 @@ left out. Ties: of events with one number of a job the first that comes counts,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from siltstone.streaming.scan_jobs import ANALYSIS, FILES, STEPS, state
@@ -25,7 +26,10 @@ RANKS = {**{s: k for k, s in enumerate(STEPS)}, "failed": len(STEPS)}
 COUNTING = ("files", "analysis")
 FINAL = ("completed", "failed")
 OUT = "job string, seq long, step string, status string, percent int, problem string"
+_ROW = Row("job", "seq", "step", "status", "percent", "problem")
 _PHASES = {"files": FILES, "analysis": ANALYSIS}
+#: Numbers of early events that are kept as one value.
+BLOCK = 256
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -56,8 +60,9 @@ def judged(events: DataFrame) -> DataFrame:
 
 
 class JobStates(StatefulProcessor):
-    """State of one job: `reached` (awaited number, step) and `early` (events by number). `stalled_after`: seconds without an
-    event after which a job that has not ended is reported; 0: never."""
+    """State of one job: `reached` (awaited number, step) and `early` (events that came too early, in blocks of BLOCK numbers,
+    each read and written at once). `stalled_after`: seconds without an event after which a job that has not ended is
+    reported; 0: never."""
 
     def __init__(self, stalled_after: float = 0):
         self.stalled_after = stalled_after
@@ -65,52 +70,73 @@ class JobStates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.reached = handle.getValueState("reached", StructType([StructField("awaited", LongType()), StructField("step", StringType())]))
-        event = StructType([StructField("step", StringType()), StructField("done", LongType()), StructField("total", LongType())])
-        self.early = handle.getMapState("early", StructType([StructField("seq", LongType())]), event)
+        self.early = handle.getMapState("early", StructType([StructField("block", LongType())]), StructType([StructField("events", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         awaited, step = self.reached.get() if self.reached.exists() else (0, None)
-        fresh: dict[int, tuple] = {}
-        for frame in rows:
-            for seq, *event in sorted(frame[["seq", "step", "done", "total"]].itertuples(index=False)):
-                if seq >= awaited and seq not in fresh and not self.early.containsKey((int(seq),)):
-                    fresh[int(seq)] = tuple(event)
-        out = []
-        while True:
-            if awaited in fresh:
-                event = fresh.pop(awaited)
-            elif self.early.containsKey((awaited,)):
-                event = tuple(self.early.getValue((awaited,)))
-                self.early.removeKey((awaited,))
-            else:
-                break
+        early = _Early(self.early)
+        for seq, *event in sorted((r.seq, r.step, r.done, r.total) for r in rows):
+            if seq >= awaited:
+                early.put(seq, event)
+        while (event := early.take(awaited)) is not None:
             row, step = _judge(key[0], awaited, event, step)
-            out.append(row)
+            yield _ROW(*row)
             awaited += 1
-        for seq, (s, done, total) in fresh.items():
-            self.early.updateValue((seq,), (s, int(done), int(total)))
+        early.write()
         self.reached.update((awaited, step))
         if self.stalled_after:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             if step not in FINAL:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.stalled_after))
-        yield _frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         awaited, step = self.reached.get() if self.reached.exists() else (0, None)
-        yield _frame([(key[0], awaited, step, None, None, "stalled")])
+        yield _ROW(key[0], awaited, step, None, None, "stalled")
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["job", "seq", "step", "status", "percent", "problem"])
-    return frame.astype({"job": object, "seq": "int64", "step": object, "status": object, "percent": "Int32", "problem": object})
-
-
-def _judge(job: str, seq: int, event: tuple, reached: str | None) -> tuple[tuple, str]:
+class _Early:
+    """A job's early events by number, of which a block is read when first asked for, and written back if it has changed."""
+
+    def __init__(self, state: MapState) -> None:
+        self.state = state
+        self.blocks: dict[int, dict[str, list]] = {}
+        self.stored: set[int] = set()
+        self.changed: set[int] = set()
+
+    def _of(self, seq: int) -> dict[str, list]:
+        k = seq // BLOCK
+        if k not in self.blocks:
+            there = self.state.containsKey((k,))
+            self.blocks[k] = json.loads(self.state.getValue((k,))[0]) if there else {}
+            self.stored |= {k} if there else set()
+        return self.blocks[k]
+
+    def put(self, seq: int, event: list) -> None:
+        """Keep an event, unless its number has one."""
+        block = self._of(seq)
+        if str(seq) not in block:
+            block[str(seq)] = event
+            self.changed.add(seq // BLOCK)
+
+    def take(self, seq: int) -> list | None:
+        event = self._of(seq).pop(str(seq), None)
+        if event is not None:
+            self.changed.add(seq // BLOCK)
+        return event
+
+    def write(self) -> None:
+        for k in self.changed:
+            if self.blocks[k]:
+                self.state.updateValue((k,), (json.dumps(self.blocks[k]),))
+            elif k in self.stored:
+                self.state.removeKey((k,))
+
+
+def _judge(job: str, seq: int, event: list, reached: str | None) -> tuple[tuple, str]:
     step, done, total = event
     rank, before = RANKS[step], RANKS.get(reached, -1)
     if reached in FINAL or not (rank > before or (rank == before and step in COUNTING)):
@@ -125,4 +151,4 @@ def states(events: DataFrame, stalled_after: float = 0) -> DataFrame:
     timers' sake, so the trigger should be one of time and not `availableNow`. The session's state store must be RocksDB
     (`PROVIDER`, `ROCKS`)."""
     kind = StructType([StructField("job", StringType()), StructField("seq", LongType()), StructField("step", StringType()), StructField("status", StringType()), StructField("percent", IntegerType()), StructField("problem", StringType())])
-    return events_of(events).groupBy("job").transformWithStateInPandas(JobStates(stalled_after), outputStructType=kind, outputMode="append", timeMode="ProcessingTime" if stalled_after else "None")
+    return events_of(events).groupBy("job").transformWithState(JobStates(stalled_after), outputStructType=kind, outputMode="append", timeMode="ProcessingTime" if stalled_after else "None")

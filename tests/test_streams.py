@@ -124,3 +124,42 @@ def test_a_batch_of_one_file_is_searched_by_all_cores(spark, tmp_path):
     got, last = live_scan.results(spark, str(tmp_path / "out"))
     shares = [r["count"] for r in got.groupBy("task").count().collect()]
     assert last == sum(shares) == 400 and len(shares) >= spark.sparkContext.defaultParallelism and max(shares) < 100
+
+
+class _Counted(dict):
+    """A map state that counts what it is asked."""
+
+    calls = 0
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self[key]
+
+
+def test_early_events_are_read_and_written_by_blocks():
+    """The state is asked a few times a block of numbers, not for each event; what is kept is the first of each number."""
+    held, n = _Counted(), 3 * jobs.BLOCK
+    early = jobs._Early(held)
+    for seq in range(1, n):
+        early.put(seq, ["files", seq, n])
+        early.put(seq, ["later", 0, 0])
+    assert early.take(0) is None
+    early.write()
+    again = jobs._Early(held)
+    again.put(5, ["later", 0, 0])
+    again.put(0, ["queued", 0, 0])
+    assert [again.take(seq) for seq in range(n + 1)] == [["queued", 0, 0], *(["files", seq, n] for seq in range(1, n)), None]
+    again.write()
+    assert not held and held.calls <= 20
