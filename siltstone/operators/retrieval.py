@@ -29,14 +29,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The k greatest scores of each row and their ids; ties go to the smaller id, or to the greater one if `later`."""
-    if scores.shape[1] > 4 * k + 16:  # what is below the k-th score of its row is out; ties with it stay
-        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        keep = np.flatnonzero((scores >= floor[:, None]).any(axis=0))
-        scores, ids = scores[:, keep], ids[:, keep]
-    order = np.lexsort((-ids if later else ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, n: int, k: int, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest scores of each of n rows and their ids, of candidates (row, score, id) of which each row has k, or as
+    many as all others; ties go to the smaller id, or to the greater one if `later`."""
+    order = np.lexsort((-ids if later else ids, -scores, rows))
+    first = np.searchsorted(rows[order], np.arange(n))
+    order = order[np.arange(len(rows)) - first[rows[order]] < k]
+    return scores[order].reshape(n, -1), ids[order].reshape(n, -1)
 
 
 class _Top:
@@ -49,10 +48,15 @@ class _Top:
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         step = max(1, PRODUCTS // max(len(self.matrix), 1))
         for at in range(0, len(ids) if len(self.matrix) else 0, step):
-            here = ids[at : at + step]
-            scores = np.concatenate([self.scores, self.matrix @ vectors[at : at + step].T], axis=1)
-            every = np.concatenate([self.ids, np.broadcast_to(here, (len(self.matrix), len(here)))], axis=1)
-            self.scores, self.ids = _best(scores, every, self.k, self.later)
+            here, products = ids[at : at + step], self.matrix @ vectors[at : at + step].T
+            # what is below the k-th score of its row is out; ties with it stay, and so does what is no number
+            out = products < self.scores[:, -1:] if self.scores.shape[1] == self.k else np.zeros(products.shape, bool)
+            if len(here) > self.k and out.size - np.count_nonzero(out) > 4 * self.k * len(self.matrix):
+                out |= products < np.partition(products, len(here) - self.k, axis=1)[:, [len(here) - self.k]]
+            rows, columns = np.nonzero(~out)
+            rows = np.concatenate([np.repeat(np.arange(len(self.matrix)), self.ids.shape[1]), rows])
+            scores = np.concatenate([self.scores.ravel(), products[~out]])
+            self.scores, self.ids = _best(rows, scores, np.concatenate([self.ids.ravel(), here[columns]]), len(self.matrix), self.k, self.later)
 
     def hits(self, queries: np.ndarray) -> list[pa.Array]:
         return [pa.array(np.repeat(queries, self.ids.shape[1]), pa.int64()), pa.array(self.ids.ravel(), pa.int64()), pa.array(self.scores.ravel(), pa.float64())]

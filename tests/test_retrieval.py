@@ -1,6 +1,7 @@
 """Exact search against full products: held sides, cells of large sides, groups; bounded states and plans."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -108,3 +109,20 @@ def test_versions_of_vectors(spark, tmp_path):
     assert len(held()) == 3 and store.upsert(rows((1, "q")), encode) == 3 and held() == [("1", [1.0, 113.0])]
     assert store.upsert(rows((1, "q")), encode, encoder="other") == 4 and len(store.manifest().parts) == 1
     assert store.upsert(rows(), encode) == 5 and held() == []
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_the_best_are_found_in_little_more_memory_than_their_products(later):
+    """Every step of products is one matrix of PRODUCTS numbers, and what else is held at once is no more than two of these."""
+    rng = np.random.default_rng(7)
+    queries, records, ids = rng.integers(-3, 4, (4000, 6)).astype(float), rng.integers(-3, 4, (3000, 6)).astype(float), rng.permutation(9000)[:3000].astype(np.int64)
+    tracemalloc.start()
+    top = retrieval._Top(queries, 3, later)
+    for at in (0, 2, 1000):
+        top.add(ids[at : {0: 2, 2: 1000, 1000: 3000}[at]], records[at : {0: 2, 2: 1000, 1000: 3000}[at]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    products = queries @ records.T
+    order = np.lexsort((np.broadcast_to(-ids if later else ids, products.shape), -products), axis=1)[:, :3]
+    assert (top.ids == ids[order]).all() and (top.scores == np.take_along_axis(products, order, 1)).all()
+    assert peak < 3.2 * 8 * retrieval.PRODUCTS
