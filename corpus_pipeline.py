@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = common.fresh_path(spark, name)
         stage(spark, rows, sf_dir).write.parquet(path)
         rows = spark.read.parquet(path)
+        common.swept(spark)
     return rows

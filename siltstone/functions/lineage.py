@@ -3,6 +3,7 @@ all cores."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from uuid import uuid4
 
@@ -32,6 +33,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of what earlier steps have left on disk. Spark deletes a shuffle's files, and a checkpoint's where it may, when the
+    driver's JVM finds that nothing refers to them: between the large steps of a long job that is soon enough only if asked."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Tasks a core that long work on each row is dealt to.
 TASKS_A_CORE = 8
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.lineage import fresh_path, settled, shared_dir  # noqa: F401  the operators take them from here
+from siltstone.functions.lineage import fresh_path, settled, shared_dir, swept  # noqa: F401  the operators take them from here
 
 #: Rows and bytes that go to a Python worker at once, with Spark's defaults: 10,000 long texts would not fit its memory.
 ARROW_BATCH = {"maxRecordsPerBatch": ("10000", "500"), "maxBytesPerBatch": ("67108864b", "8388608b")}

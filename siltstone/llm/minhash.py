@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowded = common.settle(common.looked_up(banded, pivots, "bucket"))
     wanted = classes.join(crowded.select("node").distinct(), "node", "left_semi")
     sets = common.settle(_sets(docs, wanted))
+    common.swept(docs.sparkSession)
     facts = sets.select("node", "n", "signature")
 
     # first each class against the pivot of most of its buckets
@@ -263,6 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     y = facts.select(F.col("node").alias("b"), F.struct("n", "signature").alias("y"))
     pairs = common.settle(common.looked_up(often.join(y, "b"), x, "a").where(_possible("x", "y")).select("a", "b"))
     links = common.settle(_verified(pairs, sets))
+    common.swept(docs.sparkSession)  # the sets went to pairs by a shuffle, and go to blocks by another
 
     # then, in buckets of several components, classes that resemble one of another component
     labels = components(links)
@@ -274,7 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = common.looked_up(resembling, firsts, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     clusters = components(stars).withColumnRenamed("component", "cluster")
     clustered = common.settle(resembling.select("node", "component", "n").distinct().join(clusters, "node"))
-    links = links.unionByName(_block_links(clustered, sets))
+    links = links.unionByName(common.settle(_block_links(clustered, sets)))
+    common.swept(docs.sparkSession)
 
     # an id's own texts
     own = several.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
